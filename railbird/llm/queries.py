@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from railbird.llm import sp_tokens
+from railbird.llm import chat, license_scan, mixing, sp_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,14 +22,34 @@ def tokenizer_file(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_tokens.encode(_table(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False)
 
 
+def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
 _QUERIES: dict[str, Query] = {
+    "op2_license_scan": op2_license_scan,
+    "op6_mixing": op6_mixing,
     "op7_sentencepiece": op7_sentencepiece,
+    "op10_chat_rotation": op10_chat_rotation,
+}
+_ORACLES: dict[str, str] = {
+    "op2_license_scan": license_scan.ORACLE,
+    "op6_mixing": mixing.ORACLE,
+    "op10_chat_rotation": chat.ORACLE,
 }
-_ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Query]:
