@@ -47,7 +47,8 @@ def min_label_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         side = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
         )
-        low = side.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Stored, so that both sides of the join are dealt out for it alone and AQE can split a hot node.
+        low = stored(side.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         j = side.join(low, "a")
         if large:
             out = j.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))

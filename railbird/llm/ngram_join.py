@@ -230,7 +230,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     clusters = min_label_components(candidates).withColumnRenamed("root", "cluster")
     cand = stored(clusters.join(classes.select("node", "id", "key", "mult", "words"), "node"))
     sizes = cand.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("words").alias("s"))
-    sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("c") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    # Stored, as the minima below: both sides of the joins are then dealt out for them alone, and AQE can split a hot key.
+    sizes = stored(sizes.select("cluster", F.greatest(F.ceil(F.col("c") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_WORDS)).cast("int").alias("blocks")))
     # One row of each candidate class, that of its smallest id, brings the words.
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(cand, F.col("id").eqNullSafe(F.col("_id")))
     texts = texts.withColumn("w", words_of(F.col("text"))).filter(F.md5(F.concat_ws(" ", "w")) == F.col("key"))
@@ -241,7 +242,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     roots = min_label_components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     c = classes.select("key", "id", "node", "mult").join(links, "node", "left").join(roots, "node", "left")
     c = stored(c.select("key", "id", F.coalesce("root", "node").alias("root"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    low = c.groupBy("root").agg(F.min("id").alias("class_id"))
+    low = stored(c.groupBy("root").agg(F.min("id").alias("class_id")))
     c = c.join(low, "root").select("key", "n_links", "class_id")
     linked = signed.filter("words > 0").select("id", "key").join(c, "key").select("id", "n_links", "class_id")
     alone = signed.filter("words is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("class_id"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from railbird.llm import chat, license_scan, mixing, ngram_join, sp_tokens
+from railbird.llm import chat, embed_dedup, license_scan, mixing, ngram_join, sp_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def tokenizer_file(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Query] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_license_scan": op2_license_scan,
     "op4_ngram_join": op4_ngram_join,
     "op6_mixing": op6_mixing,
@@ -51,6 +56,7 @@ _QUERIES: dict[str, Query] = {
     "op10_chat_rotation": op10_chat_rotation,
 }
 _ORACLES: dict[str, str] = {
+    "op1_embedding_near_dedup": embed_dedup.ORACLE,
     "op2_license_scan": license_scan.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op10_chat_rotation": chat.ORACLE,
