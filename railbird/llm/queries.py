@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from railbird.llm import chat, embed_dedup, license_scan, mixing, ngram_join, sp_tokens
+from railbird.llm import chat, embed_dedup, license_scan, mixing, ngram_join, sp_tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,11 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -51,6 +56,7 @@ _QUERIES: dict[str, Query] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_license_scan": op2_license_scan,
     "op4_ngram_join": op4_ngram_join,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_sentencepiece": op7_sentencepiece,
     "op10_chat_rotation": op10_chat_rotation,
