@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from railbird.llm import chat, embed_dedup, license_scan, mixing, ngram_join, pii, sp_tokens, toxicity
+from railbird.llm import chat, embed_dedup, license_scan, lm, mixing, ngram_join, pii, sp_tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_tokens.encode(_table(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
@@ -65,6 +69,7 @@ _QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_lm_scoring": op8_lm_scoring,
     "op10_chat_rotation": op10_chat_rotation,
 }
 _ORACLES: dict[str, str] = {
