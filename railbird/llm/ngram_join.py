@@ -219,7 +219,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     t = t.withColumn("row", F.monotonically_increasing_id())
     schema = f"id {kind}, key string, row long, words int, bands array<long>"
     signed = stored(t.filter("words > 0").mapInArrow(_signer(bands, rows, n), schema).unionByName(
-        docs.filter(~F.coalesce(F.col(text), F.lit("")).rlike(WORD)).select(F.col(id_col).alias("id"), F.lit(None).cast("string").alias("key")), allowMissingColumns=True
+        docs.filter(~F.lower(F.coalesce(F.col(text), F.lit(""))).rlike(WORD)).select(F.col(id_col).alias("id"), F.lit(None).cast("string").alias("key")), allowMissingColumns=True
     ))
     classes = stored(signed.filter("words > 0").groupBy("key").agg(
         F.min("row").alias("node"), F.count("*").alias("mult"), F.first("words").alias("words"), F.first("bands").alias("bands"), F.min("id").alias("id")
