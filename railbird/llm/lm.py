@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from railbird.llm.common import stored
 
 DEPTH = 5
-P_MIN = 1e-5
+P_MIN = 2e-6
 #: Least count of a context, and least divergence from the shorter context (log-likelihood ratio a symbol in it).
-LEAST_COUNT, LEAST_G2, LEAST_KL = 20, 30.0, 0.02
-SMOOTHING = 4.0
+LEAST_COUNT, LEAST_G2, LEAST_KL = 20, 30.0, 0.005
+SMOOTHING = 20.0
 #: Words of at least this share of all training tokens are frequent: at most 1/FREQUENT of them.
 FREQUENT = 5e-6
 PIECE = 1 << 21

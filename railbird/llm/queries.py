@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from railbird.llm import chat, embed_dedup, license_scan, lm, mixing, ngram_join, pii, sp_tokens, toxicity
+from railbird.llm import chat, embed_dedup, license_scan, lm, media, mixing, ngram_join, pii, sp_tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,11 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op9_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pictures = media.pictures(_table(spark, sf_dir, "embeddings"))
+    return media.copies(pictures).withColumnRenamed("image_id", "vec_id")
+
+
 def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
@@ -70,6 +75,7 @@ _QUERIES: dict[str, Query] = {
     "op6_mixing": op6_mixing,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_media_copies": op9_media_copies,
     "op10_chat_rotation": op10_chat_rotation,
 }
 _ORACLES: dict[str, str] = {
