@@ -247,3 +247,14 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     linked = signed.filter("words > 0").select("id", "key").join(c, "key").select("id", "n_links", "class_id")
     alone = signed.filter("words is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("class_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their class in ``similarity_classes``; each once."""
+    kept = similarity_classes(docs, id_col, text).filter("kept").groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_rows"))
+    kept = stored(kept)
+    out = docs.join(kept.select("_kept"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    if kept.filter("_rows > 1").limit(1).count():  # an id that stands for several rows: equal texts under it stay once
+        key = F.md5(F.concat_ws(" ", words_of(F.col(text))))
+        out = out.withColumn("_key", F.coalesce(F.nullif(key, F.md5(F.lit(""))), F.col(text), F.lit(""))).dropDuplicates([id_col, "_key"]).drop("_key")
+    return out

@@ -18,6 +18,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -280,29 +281,34 @@ def detect(docs: DataFrame, crf: SemiCrf, id_col: str = "doc_id", text: str = "t
     kind = dict(docs.dtypes)[id_col]
 
     def spans_of(t) -> tuple[list[Span], list[Span]]:
-        if not isinstance(t, str) or not t:
+        if not t:
             return [], []
         base = base_spans(t)
         return base, find(t, crf, base)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i, t in zip(pdf["id"], pdf["text"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: list[list[int]] = [[] for _ in KINDS]
+            digests, spans = [], []
+            for t in b.column("text").to_pylist():
                 base, every = spans_of(t)
-                counts = [sum(k == x for x, _, _ in base) for k in KINDS]
-                rows.append((i, *counts, hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(every)))
-            yield pd.DataFrame(rows, columns=[id_col, *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
-
-    def run_redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf[text] = [mask(t, spans_of(t)[1]) if isinstance(t, str) else None for t in pdf[text]]
-            yield pdf
+                for k, c in zip(KINDS, counts):
+                    c.append(sum(k == x for x, _, _ in base))
+                digests.append(hashlib.sha256(join_spans(base).encode()).hexdigest())
+                spans.append(join_spans(every))
+            cols = [b.column("id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(spans, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=[id_col, *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
+
+    def run_redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(text)
+            masked = [t and mask(t, spans_of(t)[1]) for t in b.column(at).to_pylist()]
+            yield b.set_column(at, text, pa.array(masked, pa.string()))
 
     if redact:
-        return docs.mapInPandas(run_redact, docs.schema)
+        return docs.mapInArrow(run_redact, docs.schema)
     src = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    return src.mapInPandas(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return src.mapInArrow(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def mask(text: str, spans: list[Span]) -> str:

@@ -18,7 +18,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,26 +190,21 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", id_col: str = "
     cut into words, so memory follows the longest text, not the partition.
     """
     extra = ", ids array<int>, decoded string" if with_ids else ""
-    dtype = dict(docs.dtypes)[id_col]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
+    kind = dict(docs.dtypes)[id_col]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(model_file)
-        for pdf in batches:
-            rows = [encode_one(words, x if isinstance(x, str) else None) for x in pdf["text"]]
-            out = pd.DataFrame(
-                {
-                    id_col: pdf["id"],
-                    "n_tokens": [len(i) // 4 for i, _ in rows],
-                    "ids_sha256": [hashlib.sha256(i).hexdigest() for i, _ in rows],
-                    "decoded_sha256": [hashlib.sha256(d.encode("utf-8")).hexdigest() for _, d in rows],
-                }
-            )
+        for b in batches:
+            rows = [encode_one(words, t) for t in b.column("text").to_pylist()]
+            sizes = np.array([len(i) // 4 for i, _ in rows], np.int64)
+            ids_hash = [hashlib.sha256(i).hexdigest() for i, _ in rows]
+            text_hash = [hashlib.sha256(d.encode("utf-8")).hexdigest() for _, d in rows]
+            out = {id_col: b.column("id"), "n_tokens": pa.array(sizes), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
             if with_ids:
-                out["ids"] = [np.frombuffer(i, "<u4").astype("int32") for i, _ in rows]
-                out["decoded"] = [d for _, d in rows]
-            yield out
+                flat = np.frombuffer(b"".join([i for i, _ in rows]), "<u4").astype(np.int32)
+                out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+                out["decoded"] = pa.array([d for _, d in rows], pa.string())
+            yield pa.RecordBatch.from_pydict(out)
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    return src.mapInPandas(run, f"`{id_col}` {dtype}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    return src.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")

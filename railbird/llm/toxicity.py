@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -228,15 +229,43 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], id_col: s
     Null and empty texts match nothing and get the score of a text without matches. Repeated rows
     get equal scores. Further columns are neither read nor carried. Map-only.
     """
-    stems, w = model
     kind = dict(docs.dtypes)[id_col]
+    probability = _probability(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = Lexicon(stems)
-        for pdf in batches:
-            f = np.array([lex.features(t if isinstance(t, str) else None) for t in pdf["text"]]).reshape(len(pdf), 7)
-            s = 1 / (1 + np.exp(-np.clip(w[0] + f @ w[1:], -30, 30)))
-            yield pd.DataFrame({id_col: pdf["id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= 0.5).astype("int32")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = probability()
+        for b in batches:
+            s = p(b.column("text"))
+            out = [b.column("id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(out, names=[id_col, "held_out", "score", "predicted"])
 
     src = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text).alias("text"))
-    return src.mapInPandas(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    return src.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+
+
+def clean(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below 0.5. Map-only; cases as in ``score``."""
+    probability = _probability(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = probability()
+        for b in batches:
+            yield b.filter(pa.array(p(b.column(b.schema.get_field_index(text))) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _probability(model: tuple[dict[str, float], np.ndarray]):
+    """A function that a task calls once for its scorer of Arrow text columns."""
+    stems, w = model
+
+    def make():
+        lex = Lexicon(stems)
+
+        def of(texts: pa.Array) -> np.ndarray:
+            f = np.array([lex.features(t) for t in texts.to_pylist()]).reshape(len(texts), 7)
+            return 1 / (1 + np.exp(-np.clip(w[0] + f @ w[1:], -30, 30)))
+
+        return of
+
+    return make
