@@ -10,7 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    return []
+    from railbird.plans import hands
+
+    return [hands]
 
 
 def queries() -> dict[str, Query]:
