@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from railbird.plans import hands
+    from railbird.plans import hands, population
 
-    return [hands]
+    return [hands, population]
 
 
 def queries() -> dict[str, Query]:
