@@ -103,9 +103,10 @@ def _signer(bands: int, rows: int, n: int):
             offsets = col.offsets.to_numpy().astype(np.int64)
             values = col.values.to_numpy(zero_copy_only=False).view(np.uint64)[offsets[0] : offsets[-1]]
             h, off = ngrams(values, offsets - offsets[0], n)
-            got = band_hashes(h, off, bands, rows) if len(off) > 1 else np.empty((0, bands), np.uint64)
-            flat = pa.array(got.view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands), pa.int32()), flat)
+            some = np.diff(off) > 0
+            got = band_hashes(h, np.concatenate([off[:-1][some], off[-1:]]), bands, rows) if some.any() else np.empty((0, bands), np.uint64)
+            # Texts without a word have no bands.
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]), pa.int32()), pa.array(got.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in ("id", "key", "row", "words")], lists], names=["id", "key", "row", "words", "bands"])
 
     return run
@@ -218,9 +219,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     t = t.select("id", F.md5(F.concat_ws(" ", "w")).alias("key"), F.size("w").alias("words"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     t = t.withColumn("row", F.monotonically_increasing_id())
     schema = f"id {kind}, key string, row long, words int, bands array<long>"
-    signed = stored(t.filter("words > 0").mapInArrow(_signer(bands, rows, n), schema).unionByName(
-        docs.filter(~F.lower(F.coalesce(F.col(text), F.lit(""))).rlike(WORD)).select(F.col(id_col).alias("id"), F.lit(None).cast("string").alias("key")), allowMissingColumns=True
-    ))
+    signed = stored(t.mapInArrow(_signer(bands, rows, n), schema))
     classes = stored(signed.filter("words > 0").groupBy("key").agg(
         F.min("row").alias("node"), F.count("*").alias("mult"), F.first("words").alias("words"), F.first("bands").alias("bands"), F.min("id").alias("id")
     ))
@@ -234,7 +233,8 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     sizes = stored(sizes.select("cluster", F.greatest(F.ceil(F.col("c") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_WORDS)).cast("int").alias("blocks")))
     # One row of each candidate class, that of its smallest id, brings the words.
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(cand, F.col("id").eqNullSafe(F.col("_id")))
-    texts = texts.withColumn("w", words_of(F.col("text"))).filter(F.md5(F.concat_ws(" ", "w")) == F.col("key"))
+    # Not written as an equality, which would become a second join key and cut every text into words before the shuffle.
+    texts = texts.withColumn("w", words_of(F.col("text"))).filter(F.instr(F.md5(F.concat_ws(" ", "w")), F.col("key")) == 1)
     members = texts.select("cluster", "node", "mult", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     members = members.groupBy("cluster", "node", "mult").agg(F.first("h").alias("h"))
     found = stored(block_pairs(members, sizes, ["mult", "h"]).mapInArrow(_verifier(n, threshold), "node long, links long, other long"))
@@ -245,7 +245,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     low = stored(c.groupBy("root").agg(F.min("id").alias("class_id")))
     c = c.join(low, "root").select("key", "n_links", "class_id")
     linked = signed.filter("words > 0").select("id", "key").join(c, "key").select("id", "n_links", "class_id")
-    alone = signed.filter("words is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("class_id"))
+    alone = signed.filter("words = 0").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("class_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
