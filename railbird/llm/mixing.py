@@ -110,11 +110,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     ours = ("size", "source_size", "target", "copies", "taken")
     keep = [c for c in docs.columns if c not in ours]
     d = _drawn(docs.select(*keep), id_col, text, source, seed)
-    sizes = d.groupBy(F.col("_source").alias("source")).agg(
+    # One pass over the texts; what the draw needs of a row is a few numbers and a digest.
+    drawn = stored(d.select("_source", "_size", "_p", "_u", "_id", "_tie"))
+    sizes = drawn.groupBy(F.col("_source").alias("source")).agg(
         F.sum("_size").alias("source_size"), F.sum((F.col("_p") * F.col("_size")).cast("decimal(30,0)")).alias("spread")
     )
     sources = stored(source_targets(sizes))
-    slim = _with_sources(d.select("_source", "_size", "_p", "_u", "_id", "_tie"), sources).filter("missing > 0 and _size > 0")
+    slim = _with_sources(drawn, sources).filter("missing > 0 and _size > 0")
     slim = slim.withColumn("_v", _place(F.col("rate"))).withColumn("_b1", F.floor(F.col("_v") * BINS))
     slim = slim.withColumn("_b2", F.floor((F.col("_v") * BINS - F.col("_b1")) * BINS))
     one = slim.groupBy("_source", "_b1").agg(F.sum("_size").alias("_words"), F.first("missing").alias("missing"))
