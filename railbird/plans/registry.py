@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from railbird.plans import hands, population
+    from railbird.plans import hands, population, profiles
 
-    return [hands, population]
+    return [hands, population, profiles]
 
 
 def queries() -> dict[str, Query]:
