@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from railbird.plans import hands, population, profiles
+    from railbird.plans import hands, population, profiles, scoring
 
-    return [hands, population, profiles]
+    return [hands, population, profiles, scoring]
 
 
 def queries() -> dict[str, Query]:
