@@ -34,7 +34,8 @@ def _is(*kinds: str) -> Column:
     return F.col("action_type").isin(*kinds)
 
 
-_PRE = F.col("street") == "preflop"
+def _pre() -> Column:
+    return F.col("street") == "preflop"
 
 
 def annotated(actions: DataFrame) -> DataFrame:
@@ -47,17 +48,17 @@ def annotated(actions: DataFrame) -> DataFrame:
     hand = W.partitionBy("hand_id")
     so_far = hand.orderBy("action_index")
     before = so_far.rowsBetween(W.unboundedPreceding, -1)
-    big = _PRE & _is("raise") & (F.col("amount") > F.col("bb"))
+    big = _pre() & _is("raise") & (F.col("amount") > F.col("bb"))
     a = actions.withColumns(
         {
             "big": big,
             "raises_before": F.coalesce(F.sum(big.cast("int")).over(before), F.lit(0)).cast("long"),
-            "money_before": F.coalesce(F.max(_PRE & _is("call", "raise", "bet")).over(before), F.lit(False)),
+            "money_before": F.coalesce(F.max(_pre() & _is("call", "raise", "bet")).over(before), F.lit(False)),
         }
     )
     a = a.withColumn("raise_n", F.when(F.col("big"), F.col("raises_before") + 1))
     at = lambda n: F.max(F.when(F.col("raise_n") == n, F.struct("player_name", "action_index"))).over(hand)
-    a = a.withColumns({"opener": at(1), "three": at(2), "four": at(3), "pfa": F.max(F.when(_PRE & _is("raise"), F.struct("action_index", "player_name"))).over(hand)["player_name"]})
+    a = a.withColumns({"opener": at(1), "three": at(2), "four": at(3), "pfa": F.max(F.when(_pre() & _is("raise"), F.struct("action_index", "player_name"))).over(hand)["player_name"]})
     return a.withColumn("cbet_at", F.min(F.when((F.col("street") == "flop") & _is("bet") & (F.col("player_name") == F.col("pfa")), F.col("action_index"))).over(hand))
 
 
@@ -66,19 +67,19 @@ def preflop_raises(actions: DataFrame) -> DataFrame:
 
 
 def preflop_aggressor(actions: DataFrame) -> DataFrame:
-    a = actions.filter(_PRE & _is("raise"))
+    a = actions.filter(_pre() & _is("raise"))
     return a.groupBy("hand_id").agg(F.max_by("player_name", "action_index").alias("pfa"))
 
 
 def first_voluntary(actions: DataFrame) -> DataFrame:
     w = W.partitionBy("hand_id", "player_name").orderBy("action_index")
-    a = actions.filter(_PRE & _is(*VOLUNTARY))
+    a = actions.filter(_pre() & _is(*VOLUNTARY))
     return a.select("hand_id", "player_name", "action_index", "action_type", "amount", F.row_number().over(w).cast("long").alias("rn"))
 
 
 def player_first(actions: DataFrame) -> DataFrame:
     """First voluntary action with the raises and the money before it; no join, a frame of the hand's window."""
-    a = annotated(actions).filter(_PRE & _is(*VOLUNTARY))
+    a = annotated(actions).filter(_pre() & _is(*VOLUNTARY))
     first = F.min(F.struct("action_index", "action_type", "amount", "raises_before", (~F.col("money_before")).alias("is_folded_to"))).alias("f")
     return a.groupBy("hand_id", "player_name").agg(first).select("hand_id", "player_name", "f.*")
 
@@ -104,7 +105,7 @@ def _response(cond: Column) -> Column:
 
 def response_after_event(actions: DataFrame) -> DataFrame:
     """(hand_id, player_name, vs_3bet, vs_4bet): the opener's next action after a 3-bet, the 3-bettor's after a 4-bet."""
-    act = _PRE & ~_is(*POSTS)
+    act = _pre() & ~_is(*POSTS)
     r = annotated(actions).groupBy("hand_id", "player_name").agg(
         _response(act & (F.col("player_name") == F.col("opener.player_name")) & (F.col("action_index") > F.col("three.action_index"))).alias("vs_3bet"),
         _response(act & (F.col("player_name") == F.col("three.player_name")) & (F.col("action_index") > F.col("four.action_index"))).alias("vs_4bet"),
@@ -115,20 +116,20 @@ def response_after_event(actions: DataFrame) -> DataFrame:
 def player_hand_facts(hands: DataFrame, players: DataFrame, actions: DataFrame) -> DataFrame:
     """One row per primary hand and seated player with every flag that the metrics need."""
     a = annotated(primary_actions(hands, actions))
-    act = _PRE & ~_is(*POSTS)
+    act = _pre() & ~_is(*POSTS)
     me = F.col("player_name")
-    first = F.min(F.when(_PRE & _is(*VOLUNTARY), F.struct("action_index", "action_type", "amount", "raises_before", "money_before")))
+    first = F.min(F.when(_pre() & _is(*VOLUNTARY), F.struct("action_index", "action_type", "amount", "raises_before", "money_before")))
     bet = lambda street: F.max((F.col("street") == street) & _is("bet"))
     f = a.groupBy("hand_id", "player_name").agg(
-        F.max(_PRE & _is("call", "raise", "bet")).alias("vpip"),
-        F.max(_PRE & _is("raise")).alias("pfr"),
+        F.max(_pre() & _is("call", "raise", "bet")).alias("vpip"),
+        F.max(_pre() & _is("raise")).alias("pfr"),
         first.alias("f"),
         F.max(F.col("big") & (F.col("raises_before") == 0)).alias("opened"),
         F.first(F.struct("opener", "three", "four", "pfa")).alias("seq"),
         _response(act & (me == F.col("opener.player_name")) & (F.col("action_index") > F.col("three.action_index"))).alias("vs_3bet"),
         _response(act & (me == F.col("three.player_name")) & (F.col("action_index") > F.col("four.action_index"))).alias("vs_4bet"),
         _response(act & (F.col("action_index") > F.col("opener.action_index"))).alias("vs_open"),
-        F.max(_PRE & _is("raise") & (F.col("raises_before") == 2)).alias("raised_second"),
+        F.max(_pre() & _is("raise") & (F.col("raises_before") == 2)).alias("raised_second"),
         F.max(act & (F.col("raises_before") == 2)).alias("faced_two"),
         bet("flop").alias("bet_flop"),
         bet("turn").alias("bet_turn"),

@@ -15,10 +15,10 @@ def ingest_new_files(spark: SparkSession, root: str, out: str, checkpoint: str,
     already in the table go to ``out/parse_errors`` as duplicates, rejected blocks as parse errors. A batch that is
     run again after a failure writes to the same folder and replaces what it wrote before.
     """
-    reader = spark.readStream.schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
+    reader = spark.readStream.schema("value string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    files = reader.text(root).select(F.col("_metadata.file_path").alias("source_file"), "value")
+    files = reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
 
     def batch(df: DataFrame, number: int) -> None:
         p = ingest.parsed(ingest.folder_fields(ingest.blocks(df)))
