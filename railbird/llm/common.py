@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plain(df: DataFrame, *cols: str) -> DataFrame:
-    """Only the named columns, so that further columns of the caller never clash with ours."""
-    return df.select(*[F.col(c) for c in cols])
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of at most ``rows`` rows, so that what a Python worker holds stays small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
 
 
 def min_label_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

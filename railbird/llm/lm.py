@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from railbird.llm.common import stored
+from railbird.llm.common import sliced, stored
 
 DEPTH = 5
-P_MIN = 2e-6
+P_MIN = 4e-6
 #: Least count of a context, and least divergence from the shorter context (log-likelihood ratio a symbol in it).
 LEAST_COUNT, LEAST_G2, LEAST_KL = 20, 30.0, 0.005
 SMOOTHING = 20.0
@@ -118,7 +118,7 @@ def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def suffix_tree(texts: DataFrame) -> DataFrame:
-    """Retained contexts of the training ``texts(text)``: (depth, ctx, next, c), ctx and next as packed bytes."""
+    """Retained contexts of the training ``texts(text)``: (depth, ctx, nexts of (next, c)), ctx as packed bytes; one row per context."""
     windows = stored(texts.mapInArrow(_count_windows, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
     total = windows.agg(F.sum("c")).first()[0] or 0
     least = max(LEAST_COUNT, int(P_MIN * total))
@@ -133,54 +133,65 @@ def suffix_tree(texts: DataFrame) -> DataFrame:
     kl = F.sum(F.col("c") / F.col("n") * F.log(F.col("c") / F.col("n") / F.col("q")))
     test = child.join(shorter, ["depth", "pctx", "next"]).groupBy("depth", "ctx").agg(kl.alias("kl"), F.first("n").alias("n"))
     good = test.filter((F.col("kl") >= LEAST_KL) & (2 * F.col("n") * F.col("kl") >= LEAST_G2)).select("depth", "ctx")
-    return often.join(good, ["depth", "ctx"], "left_semi").select("depth", "ctx", "next", "c").unionByName(often.filter("depth = 0").select("depth", "ctx", "next", "c"))
+    kept = often.join(good, ["depth", "ctx"], "left_semi").unionByName(often.filter("depth = 0"))
+    return kept.groupBy("depth", "ctx").agg(F.collect_list(F.struct(F.col("next").cast("int").alias("next"), "c")).alias("nexts"))
 
 
 class Automaton:
     """Suffix automaton of a retained tree: ``step[state * A + symbol]`` and log10 probabilities."""
 
-    def __init__(self, rows: list[tuple[int, int, int, int]]):
-        counts: dict[bytes, dict[int, int]] = {b"": {}}
-        for d, ctx, nxt, c in rows:
-            counts.setdefault(int(ctx).to_bytes(d, "big"), {})[nxt] = c
+    def __init__(self, tree: pa.Table):
+        tree = tree.combine_chunks()
+        nexts = tree.column("nexts").combine_chunks()
+        if isinstance(nexts, pa.ChunkedArray):
+            nexts = nexts.chunk(0) if nexts.num_chunks else pa.array([], nexts.type)
+        off = nexts.offsets.to_numpy()
+        symbol, count = nexts.values.field("next").to_numpy(), nexts.values.field("c").to_numpy()
+        at = {int(c).to_bytes(d, "big"): i for i, (d, c) in enumerate(zip(tree.column("depth").to_pylist(), tree.column("ctx").to_pylist()))}
         # A context's suffixes and prefixes are states too, so that the state after a symbol is known from the state before it.
-        states = set()
-        todo = list(counts)
+        states, todo = {b""}, list(at)
         while todo:
             s = todo.pop()
             if s not in states:
                 states.add(s)
-                if s:
-                    todo += [s[1:], s[:-1]]
+                todo += [s[1:], s[:-1]]
         order = sorted(states, key=lambda s: (len(s), s))
         number = {s: i for i, s in enumerate(order)}
-        seen = sorted({n for row in counts.values() for n in row})
+        del states
+        seen = np.unique(symbol)
         self.symbol = np.full(256, len(seen), np.int32)
         self.symbol[seen] = np.arange(len(seen))
         self.size = a = len(seen) + 1
         unseen = 256 - len(seen)
-        logp = np.zeros((len(order), a), np.float32)
-        step = np.zeros((len(order), a), np.int32)
-        dist: dict[bytes, np.ndarray] = {}
-        root = np.array([counts[b""].get(n, 0) + 0.5 for n in seen] + [0.5])
-        dist[b""] = root / (root[:-1].sum() + 0.5 * unseen) if unseen else root / root[:-1].sum()
+        logp, step = np.zeros((len(order), a), np.float32), np.zeros((len(order), a), np.int32)
+        before: dict[int, np.ndarray] = {}  # distributions of the contexts one byte shorter
+        level: dict[int, np.ndarray] = {}
         for i, s in enumerate(order):
-            if s not in dist:
-                p = dist[s[1:]]
-                if s in counts:
-                    row = np.zeros(a)
-                    for n, c in counts[s].items():
-                        row[self.symbol[n]] = c
-                    p = (row + SMOOTHING * p) / (row.sum() + SMOOTHING)
-                dist[s] = p
-            logp[i] = np.log10(dist[s])
-            # After a symbol: the longest state that ends the context; the shorter context's step is known already.
+            if i and len(s) > len(order[i - 1]):
+                before, level = level, {}
+            parent = number[s[1:]] if s else 0
+            p = before.get(parent)
+            k = at.get(s)
+            row = np.zeros(a)
+            if k is not None:
+                row[self.symbol[symbol[off[k] : off[k + 1]]]] = count[off[k] : off[k + 1]]
+            if not s:  # the empty context: every byte has half a count, the last column stands for each unseen byte
+                row += 0.5
+                p = row / (row[:-1].sum() + 0.5 * unseen)
+            elif k is not None:
+                p = (row + SMOOTHING * p) / (row.sum() + SMOOTHING)
+            level[i] = p
+            logp[i] = np.log10(p)
+        # A context steps to the longest state that ends it: its own child, or what its shorter context steps to.
+        own = np.zeros(step.shape, bool)
+        for s, i in number.items():
             if s:
-                step[i] = step[number[s[1:]]]
-            for b in seen:
-                t = number.get(s + bytes([b]))
-                if t is not None:
-                    step[i, self.symbol[b]] = t
+                own[number[s[:-1]], self.symbol[s[-1]]] = True
+                step[number[s[:-1]], self.symbol[s[-1]]] = i
+        for i, s in enumerate(order):
+            if s:
+                parent = number[s[1:]]
+                step[i] = np.where(own[i], step[i], step[parent])
         self.step, self.logp = step.ravel(), logp.ravel()
 
     def scores(self, x: np.ndarray, off: np.ndarray, lane: int = 256) -> np.ndarray:
@@ -212,7 +223,7 @@ def _scorer(tree: Automaton, frequent: np.ndarray, value: np.ndarray):
 
         ctx = TaskContext.get()
         serial = (ctx.partitionId() if ctx else os.getpid()) << 33
-        for b in batches:
+        for b in sliced(batches, 2048):
             score = np.concatenate([tree.scores(x, off) for _, _, x, off in _pieces(b.column("text"))] or [np.zeros(0)])
             col = b.column("h")
             off = col.offsets.to_numpy().astype(np.int64)
@@ -256,7 +267,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     # Sums of log10(c + 0.1), relative to an unknown word's -1.
     value = np.log10(np.array([r["c"] for r in top], np.float64) + 0.1) + 1
     spark = docs.sparkSession
-    tree = Automaton([tuple(r) for r in suffix_tree(train.select("text")).collect()])  # contexts bounded by P_MIN
+    tree = Automaton(suffix_tree(train.select("text")).toArrow())  # contexts bounded by P_MIN
     shared = spark.sparkContext.broadcast((tree, frequent, value))
     schema = f"row long, id {kind}, held_out boolean, n_tokens long, score double, seen double, known long, rare array<long>"
 
