@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from railbird.llm.common import min_label_components, stored
+from railbird.llm.common import min_label_components, sliced, stored
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.999
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -98,7 +98,7 @@ def band_hashes(h: np.ndarray, offsets: np.ndarray, bands: int, rows: int, cache
 
 def _signer(bands: int, rows: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             col = b.column("h")
             offsets = col.offsets.to_numpy().astype(np.int64)
             values = col.values.to_numpy(zero_copy_only=False).view(np.uint64)[offsets[0] : offsets[-1]]

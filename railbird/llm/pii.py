@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from railbird.llm.common import sliced
+
 #: The kinds in their order and the base patterns (possessive where that changes no match).
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -287,7 +289,7 @@ def detect(docs: DataFrame, crf: SemiCrf, id_col: str = "doc_id", text: str = "t
         return base, find(t, crf, base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             counts: list[list[int]] = [[] for _ in KINDS]
             digests, spans = [], []
             for t in b.column("text").to_pylist():
@@ -300,7 +302,7 @@ def detect(docs: DataFrame, crf: SemiCrf, id_col: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
     def run_redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             at = b.schema.get_field_index(text)
             masked = [t and mask(t, spans_of(t)[1]) for t in b.column(at).to_pylist()]
             yield b.set_column(at, text, pa.array(masked, pa.string()))

@@ -50,7 +50,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_tokens.encode(_table(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False)
+    return sp_tokens.encode(_table(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False, with_text=False)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

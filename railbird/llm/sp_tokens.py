@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from railbird.llm.common import sliced
+
 SPACE = "▁"
 #: Words remembered by one Python worker; at this number the memory starts afresh.
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 300_000
 #: Longer words are encoded piecewise without being remembered.
 MEMORY_CHARS = 64
 
@@ -182,19 +184,19 @@ def encode_one(words: _Words, text: str | None) -> tuple[bytes, str]:
     return head + b"".join([i for i, _ in got]) + tail, decoded[1:]
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
-    """One row per row of ``docs``: (id, ids array<int> or only digests, n_tokens, ids_sha256, decoded, decoded_sha256).
+def encode(docs: DataFrame, model_file: str, text: str = "text", id_col: str = "doc_id", with_ids: bool = True, with_text: bool = True) -> DataFrame:
+    """One row per row of ``docs``: (id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>][, decoded]).
 
     Null and empty texts encode to the begin and end id and decode to the empty text. Repeated rows
     stay. Further columns of ``docs`` are not carried. Map-only: no shuffle; a long text is one row,
     cut into words, so memory follows the longest text, not the partition.
     """
-    extra = ", ids array<int>, decoded string" if with_ids else ""
+    extra = (", ids array<int>" if with_ids else "") + (", decoded string" if with_text else "")
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(model_file)
-        for b in batches:
+        for b in sliced(batches):
             rows = [encode_one(words, t) for t in b.column("text").to_pylist()]
             sizes = np.array([len(i) // 4 for i, _ in rows], np.int64)
             ids_hash = [hashlib.sha256(i).hexdigest() for i, _ in rows]
@@ -203,6 +205,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", id_col: str = "
             if with_ids:
                 flat = np.frombuffer(b"".join([i for i, _ in rows]), "<u4").astype(np.int32)
                 out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+            if with_text:
                 out["decoded"] = pa.array([d for _, d in rows], pa.string())
             yield pa.RecordBatch.from_pydict(out)
 

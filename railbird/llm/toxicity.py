@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railbird.llm.common import stored
+from railbird.llm.common import sliced, stored
 
 #: Learning reads about so many labelled rows at most (a share of them by a hash of the id).
 MAX_LABELLED = 20_000
@@ -234,7 +234,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = probability()
-        for b in batches:
+        for b in sliced(batches):
             s = p(b.column("text"))
             out = [b.column("id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(out, names=[id_col, "held_out", "score", "predicted"])
@@ -249,7 +249,7 @@ def clean(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = probability()
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array(p(b.column(b.schema.get_field_index(text))) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
