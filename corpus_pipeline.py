@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the decoded text."""
-    return sp_tokens.encode(docs, tokenizer_file()).drop("decoded")
+    return sp_tokens.encode(docs, tokenizer_file(), with_text=False)
 
 
 STAGES: list[tuple[str, Stage]] = [
