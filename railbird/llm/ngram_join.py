@@ -231,8 +231,9 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     sizes = cand.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("words").alias("s"))
     # Stored, as the minima below: both sides of the joins are then dealt out for them alone, and AQE can split a hot key.
     sizes = stored(sizes.select("cluster", F.greatest(F.ceil(F.col("c") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_WORDS)).cast("int").alias("blocks")))
-    # One row of each candidate class, that of its smallest id, brings the words.
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(cand, F.col("id").eqNullSafe(F.col("_id")))
+    # One row of each candidate class, that of its smallest id, brings the words. Both joins of texts with ids are merge joins
+    # at every size: the ids grow with the corpus, so a plan that broadcasts them on small inputs says nothing about large ones.
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(cand.hint("merge"), F.col("id").eqNullSafe(F.col("_id")))
     # Not written as an equality, which would become a second join key and cut every text into words before the shuffle.
     texts = texts.withColumn("w", words_of(F.col("text"))).filter(F.instr(F.md5(F.concat_ws(" ", "w")), F.col("key")) == 1)
     members = texts.select("cluster", "node", "mult", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
@@ -253,7 +254,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """The rows of ``docs``, all columns, that stand for their class in ``similarity_classes``; each once."""
     kept = similarity_classes(docs, id_col, text).filter("kept").groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_rows"))
     kept = stored(kept)
-    out = docs.join(kept.select("_kept"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    out = docs.join(kept.select("_kept").hint("merge"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
     if kept.filter("_rows > 1").limit(1).count():  # an id that stands for several rows: equal texts under it stay once
         key = F.md5(F.concat_ws(" ", words_of(F.col(text))))
         out = out.withColumn("_key", F.coalesce(F.nullif(key, F.md5(F.lit(""))), F.col(text), F.lit(""))).dropDuplicates([id_col, "_key"]).drop("_key")
