@@ -179,3 +179,23 @@ def test_copies(spark):
     got = {r.image_id: r.class_id for r in media.copies(df).collect()}
     assert sum(got[i] == i - i % 4 for i in range(40)) >= 38
     assert got[90] == 90 and got[92] == 91 and got[93] == 0 and got[91] == 91
+
+
+def test_copies_in_crowded_keys(spark):
+    """Every key is shared by many unrelated pictures, and unrelated ones are its first and last."""
+    rng = np.random.default_rng(8)
+    rows, want = [], set()
+
+    def add(node, z, bits, keys):
+        rows.append((node, [float(x) for x in (*z[0], *z[1])], bytearray(np.packbits(bits, axis=1).tobytes()), [int(k) for k in keys]))
+
+    for g in range(60):
+        z, bits, keys = rng.uniform(0, 100, (2, 12)), rng.random((12, 256)) < 0.5, np.arange(12) % 3
+        add(1000 + g, z, bits, keys)
+        if g % 3 == 1:
+            add(2000 + g, z + 5, bits ^ (rng.random(bits.shape) < 0.05), keys)
+            want.add((1000 + g, 2000 + g))
+    for node in (1, 9999):
+        add(node, rng.uniform(0, 100, (2, 12)), rng.random((12, 256)) < 0.5, np.arange(12) % 3)
+    df = spark.createDataFrame(rows, "node long, xy array<float>, bits binary, keys array<long>")
+    assert {(r.a, r.b) for r in media.links(df).collect()} == want
