@@ -2,11 +2,14 @@
 
 A text is lower-cased (A-Z) and its words are joined by single spaces and closed by a newline, so the
 model's probability of that byte string is a probability of the token sequence. Contexts of up to
-``DEPTH`` bytes are counted over all training texts. A context is retained if it makes up at least the
-share ``P_MIN`` of all symbols (which bounds their number to 1/P_MIN a length) and its next-symbol
-distribution diverges from that of the context one byte shorter; each retained context is smoothed
-towards the shorter one. The longest retained suffix scores the next symbol; the tree is turned
-into an automaton whose states are contexts, which runs over many texts at once.
+``DEPTH`` bytes are counted over all training texts. A context is retained if it occurs at least
+``LEAST_COUNT`` times and its next-symbol distribution diverges from that of the context one byte shorter; each
+retained context is smoothed towards the shorter one. The longest retained suffix scores the next symbol.
+
+Contexts of at least the share ``P_MIN`` of all symbols are frequent (at most 1/P_MIN a length). The retained ones become an
+automaton whose states are contexts, which runs over many texts at once. The rare ones stay a table: places whose
+longest context is rare give their window of DEPTH + 1 bytes, and the distinct windows are joined with the rare contexts. A rare
+context is longer than every frequent one at its place, so the joined ones carry the automaton's probability on.
 
 The word part: counts of all training words, joined with the words of each text. Words above a
 fixed share of all tokens (a bounded number) are broadcast; only rare words are shuffled.
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from railbird.llm.common import sliced, stored
 
 DEPTH = 5
+#: Share of all symbols from which a context is frequent.
 P_MIN = 4e-6
 #: Least count of a context, and least divergence from the shorter context (log-likelihood ratio a symbol in it).
 LEAST_COUNT, LEAST_G2, LEAST_KL = 20, 30.0, 0.005
@@ -84,6 +88,15 @@ def _pieces(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         lo = hi
 
 
+def _windows(x: np.ndarray) -> np.ndarray:
+    """The DEPTH + 1 bytes that end at each symbol, oldest byte first; 0 for the first DEPTH symbols."""
+    x = x.astype(np.uint64)
+    key = np.zeros(len(x), np.uint64)
+    for k in range(DEPTH + 1):
+        key[DEPTH:] |= x[k : len(x) - DEPTH + k] << _U(8 * (DEPTH - k))
+    return key
+
+
 def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of all windows of DEPTH + 1 bytes (oldest byte first) in a task's texts."""
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -98,10 +111,7 @@ def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     parts, held = [], 0
     for b in batches:
         for _, _, x, off in _pieces(b.column("text")):
-            x = x.astype(np.uint64)
-            key = np.zeros(len(x), np.uint64)
-            for k in range(DEPTH + 1):
-                key[DEPTH:] |= x[k : len(x) - DEPTH + k] << _U(8 * (DEPTH - k))
+            key = _windows(x)
             real = np.ones(len(x), bool)
             for k in range(DEPTH):
                 real[off[:-1] + k] = False
@@ -117,16 +127,21 @@ def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["key", "c"])
 
 
-def suffix_tree(texts: DataFrame) -> DataFrame:
-    """Retained contexts of the training ``texts(text)``: (depth, ctx, nexts of (next, c)), ctx as packed bytes; one row per context."""
+def suffix_tree(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(retained, frequent, bar) of the training ``texts(text)``.
+
+    retained(depth, ctx, n, nexts of (next, c)): one row per retained context, ctx as packed bytes, n its count.
+    frequent(depth, ctx): all contexts, retained or not, whose count reaches bar.
+    """
     windows = stored(texts.mapInArrow(_count_windows, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
     total = windows.agg(F.sum("c")).first()[0] or 0
-    least = max(LEAST_COUNT, int(P_MIN * total))
+    bar = max(LEAST_COUNT, int(P_MIN * total))
     each = windows.select(F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.col("key").bitwiseAND((1 << (8 * (d + 1))) - 1).alias("k")) for d in range(DEPTH + 1)])).alias("x"), "c")
     grams = each.groupBy("x.depth", "x.k").agg(F.sum("c").alias("c"))
     grams = stored(grams.select("depth", F.shiftright("k", 8).alias("ctx"), F.col("k").bitwiseAND(255).alias("next"), "c"))
-    sums = grams.groupBy("depth", "ctx").agg(F.sum("c").alias("n")).filter((F.col("n") >= least) | (F.col("depth") == 0))
-    often = stored(grams.join(stored(sums), ["depth", "ctx"]))
+    sums = grams.groupBy("depth", "ctx").agg(F.sum("c").alias("n")).filter((F.col("n") >= LEAST_COUNT) | (F.col("depth") == 0))
+    sums = stored(sums)
+    often = stored(grams.join(sums, ["depth", "ctx"]))
     shorter = often.select((F.col("depth") + 1).alias("depth"), F.col("ctx").alias("pctx"), "next", (F.col("c") / F.col("n")).alias("q"))
     mask = F.element_at(F.array(*[F.lit((1 << (8 * d)) - 1).cast("long") for d in range(DEPTH + 1)]), F.col("depth"))
     child = often.filter("depth > 0").withColumn("pctx", F.col("ctx").bitwiseAND(mask))
@@ -134,7 +149,8 @@ def suffix_tree(texts: DataFrame) -> DataFrame:
     test = child.join(shorter, ["depth", "pctx", "next"]).groupBy("depth", "ctx").agg(kl.alias("kl"), F.first("n").alias("n"))
     good = test.filter((F.col("kl") >= LEAST_KL) & (2 * F.col("n") * F.col("kl") >= LEAST_G2)).select("depth", "ctx")
     kept = often.join(good, ["depth", "ctx"], "left_semi").unionByName(often.filter("depth = 0"))
-    return kept.groupBy("depth", "ctx").agg(F.collect_list(F.struct(F.col("next").cast("int").alias("next"), "c")).alias("nexts"))
+    kept = kept.groupBy("depth", "ctx").agg(F.first("n").alias("n"), F.collect_list(F.struct(F.col("next").cast("int").alias("next"), "c")).alias("nexts"))
+    return stored(kept), sums.filter((F.col("depth") > 0) & (F.col("n") >= bar)).select("depth", "ctx"), bar
 
 
 class Automaton:
@@ -215,7 +231,41 @@ class Automaton:
         return np.add.reduceat(p, off[:-1]) if len(off) > 1 else np.zeros(0)
 
 
-def _scorer(tree: Automaton, frequent: np.ndarray, value: np.ndarray):
+def _among(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(x), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
+
+
+def _odd(x: np.ndarray, off: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows of the places whose context of DEPTH bytes is not among ``often``, how many of them each text has)."""
+    key = _windows(x)
+    real = np.ones(len(x), bool)
+    for k in range(DEPTH):
+        real[off[:-1] + k] = False
+    u, at = np.unique(key >> _U(8), return_inverse=True)
+    odd = np.flatnonzero(real & ~_among(often, u)[at])
+    return key[odd].astype(np.int64), np.diff(np.searchsorted(odd, off))
+
+
+def _prober(tree: Automaton, often: list[np.ndarray]):
+    """From windows (key) to (key, base, depth, ctx, next) for each of their contexts that is not frequent; base is the automaton's probability."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column("key").to_numpy().astype(np.uint64)
+            x = np.stack([(key >> _U(8 * (DEPTH - k))) & _U(255) for k in range(DEPTH + 1)], 1).astype(np.uint8).ravel()
+            base = 10 ** tree.scores(x, np.arange(len(key) + 1) * (DEPTH + 1))
+            for d in range(1, DEPTH + 1):
+                ctx = (key >> _U(8)) & _U((1 << (8 * d)) - 1)
+                at = np.flatnonzero(~_among(often[d], ctx))
+                cols = [key[at].astype(np.int64), base[at], np.full(len(at), d, np.int32), ctx[at].astype(np.int64), (key[at] & _U(255)).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "base", "depth", "ctx", "next"])
+
+    return run
+
+
+def _scorer(tree: Automaton, often: list[np.ndarray], frequent: np.ndarray, value: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -224,7 +274,14 @@ def _scorer(tree: Automaton, frequent: np.ndarray, value: np.ndarray):
         ctx = TaskContext.get()
         serial = (ctx.partitionId() if ctx else os.getpid()) << 33
         for b in sliced(batches, 2048):
-            score = np.concatenate([tree.scores(x, off) for _, _, x, off in _pieces(b.column("text"))] or [np.zeros(0)])
+            scores, odd, counts = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, _, x, off in _pieces(b.column("text")):
+                scores.append(tree.scores(x, off))
+                keys, n = _odd(x, off, often[DEPTH])
+                odd.append(keys)
+                counts.append(n)
+            score = np.concatenate(scores)
+            odd = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]), pa.int32()), pa.array(np.concatenate(odd)))
             col = b.column("h")
             off = col.offsets.to_numpy().astype(np.int64)
             h = col.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
@@ -238,13 +295,25 @@ def _scorer(tree: Automaton, frequent: np.ndarray, value: np.ndarray):
             rows = np.arange(b.num_rows, dtype=np.int64) + serial
             serial += b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), b.column("id"), b.column("held_out"), pa.array(np.diff(off) + 1), pa.array(score), pa.array(v[off[1:]] - v[off[:-1]]), pa.array(np.diff(k[off])), pa.ListArray.from_arrays(pa.array(roff, pa.int32()), pa.array(rest))],
-                names=["row", "id", "held_out", "n_tokens", "score", "seen", "known", "rare"],
+                [pa.array(rows), b.column("id"), b.column("held_out"), pa.array(np.diff(off) + 1), pa.array(score), pa.array(v[off[1:]] - v[off[:-1]]), pa.array(np.diff(k[off])), pa.ListArray.from_arrays(pa.array(roff, pa.int32()), pa.array(rest)), odd],
+                names=["row", "id", "held_out", "n_tokens", "score", "seen", "known", "rare", "odd"],
             )
 
     return run
 
 
+def _rare_contexts(rows: DataFrame, contexts: DataFrame, prober) -> DataFrame:
+    """What rare retained ``contexts`` change in the scores of ``rows(row, odd)``: (row, change)."""
+    places = rows.select("row", F.explode("odd").alias("key"))
+    probes = places.select("key").distinct().mapInArrow(prober, "key long, base double, depth int, ctx long, next int")
+    each = contexts.select("depth", "ctx", "n", F.map_from_entries("nexts").alias("nexts"))
+    met = probes.join(each, ["depth", "ctx"]).select("key", "base", F.struct("depth", "n", F.coalesce(F.try_element_at("nexts", F.col("next")), F.lit(0)).alias("c")).alias("x"))
+    met = met.groupBy("key").agg(F.first("base").alias("base"), F.sort_array(F.collect_list("x")).alias("xs"))
+    p = F.aggregate("xs", F.col("base"), lambda p, x: (x["c"] + SMOOTHING * p) / (x["n"] + SMOOTHING))
+    change = stored(met.select("key", F.log10(p / F.col("base")).alias("change")))
+    return places.join(change, "key").groupBy("row").agg(F.sum("change").alias("change"))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
@@ -267,9 +336,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     # Sums of log10(c + 0.1), relative to an unknown word's -1.
     value = np.log10(np.array([r["c"] for r in top], np.float64) + 0.1) + 1
     spark = docs.sparkSession
-    tree = Automaton(suffix_tree(train.select("text")).toArrow())  # contexts bounded by P_MIN
-    shared = spark.sparkContext.broadcast((tree, frequent, value))
-    schema = f"row long, id {kind}, held_out boolean, n_tokens long, score double, seen double, known long, rare array<long>"
+    retained, common, bar = suffix_tree(train.select("text"))
+    tree = Automaton(retained.filter((F.col("n") >= bar) | (F.col("depth") == 0)).drop("n").toArrow())  # contexts bounded by P_MIN
+    common = common.toArrow()  # also
+    depths, ctx = common.column("depth").to_numpy(), common.column("ctx").to_numpy().astype(np.uint64)
+    often = [np.sort(ctx[depths == d]) for d in range(DEPTH + 1)]
+    shared = spark.sparkContext.broadcast((tree, often, frequent, value))
+    schema = f"row long, id {kind}, held_out boolean, n_tokens long, score double, seen double, known long, rare array<long>, odd array<long>"
 
     def run(batches):
         yield from _scorer(*shared.value)(batches)
@@ -277,12 +350,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     rows = stored(d.select("id", "held_out", "text", hashes.alias("h")).mapInArrow(run, schema))
     rare = rows.select("row", F.explode("rare").alias("h")).join(counts, "h")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("c") + 0.1) + 1).alias("s"), F.count("*").alias("k"))
-    out = rows.drop("rare").join(rare, "row", "left")
+    changes = _rare_contexts(rows, retained.filter((F.col("n") < bar) & (F.col("depth") > 0)), lambda batches: _prober(*shared.value[:2])(batches))
+    out = rows.drop("rare", "odd").join(rare, "row", "left").join(changes, "row", "left")
     norm = float(np.log10(n + 0.1 * (v + 1)))
     end_known = 1 if ends else 0
     end_value = float(np.log10(ends + 0.1)) + 1
     total = F.col("seen") + F.coalesce("s", F.lit(0.0)) + end_value
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0)) + end_known).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (total - F.col("n_tokens") * (1 + norm)).alias("base_score"), "score",
+        F.lit(n).cast("long").alias("train_tokens"), (total - F.col("n_tokens") * (1 + norm)).alias("base_score"), (F.col("score") + F.coalesce("change", F.lit(0.0))).alias("score"),
     )

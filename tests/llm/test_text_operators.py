@@ -198,6 +198,18 @@ def test_automaton_equals_recursion():
         assert auto.scores(x, off)[0] == pytest.approx(want, rel=1e-4)
 
 
+def test_contexts_are_kept_however_large_the_corpus(spark, monkeypatch):
+    """What is frequent only decides where a context is kept, not whether."""
+    rng = random.Random(6)
+    words = ["abra", "cadabra", "Öl", "lorem", "ipsum", "zebra"]
+    data = [(i, " ".join(rng.choices(words, [50, 40, 5, 9, 8, 1], k=rng.randint(0, 25)))) for i in range(300)] + [(300, None), (301, "")]
+    run = lambda: [r.score for r in sorted(lm.score(docs(spark, data)).collect(), key=lambda r: r.doc_id)]
+    want = run()
+    for share in (0.5, 0.02):
+        monkeypatch.setattr(lm, "P_MIN", share)
+        assert run() == pytest.approx(want, rel=1e-4)
+
+
 def test_chat(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hé"), (1, 3, "ann", None), (2, 0, "system", "x"), (None, 5, None, "lost"), (1, 700, "bob", "bye"), (1, 2, "bob", "hé")]
     df = spark.createDataFrame([(*t, "p") for t in turns], "conv_id long, turn long, role string, text string, participant string")
