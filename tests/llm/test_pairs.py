@@ -199,3 +199,20 @@ def test_copies_in_crowded_keys(spark):
         add(node, rng.uniform(0, 100, (2, 12)), rng.random((12, 256)) < 0.5, np.arange(12) % 3)
     df = spark.createDataFrame(rows, "node long, xy array<float>, bits binary, keys array<long>")
     assert {(r.a, r.b) for r in media.links(df).collect()} == want
+
+
+def test_small_crops_and_strong_shrinking():
+    rng = np.random.default_rng(9)
+    half = lambda p: (p[::2, ::2] + p[1::2, ::2] + p[::2, 1::2] + p[1::2, 1::2]) / 4
+    crop, small, other = [], [], []
+    pics = []
+    for _ in range(8):
+        fine, coarse = media._box(media._box(rng.normal(size=(1, 448, 448)), 2), 1)[0], np.kron(media._box(rng.normal(size=(1, 112, 112)), 1)[0], np.ones((4, 4)))
+        coarse = media._box(coarse[None], 3)[0]
+        pics.append(np.clip(128 + 40 * (fine / fine.std() + coarse / coarse.std()), 0, 255).round())
+    same = lambda p, q: media.agreement(*media.describe(p[None])[0], *media.describe(q[None])[0]) >= media.AGREE
+    for i, p in enumerate(pics):
+        crop.append(same(p, p[200:312, 150:262]))
+        small.append(same(p, half(half(p))))
+        other.append(same(pics[i - 1], half(half(p))) or same(pics[i - 1], p[200:312, 150:262]))
+    assert sum(crop) >= 7 and sum(small) >= 7 and not any(other)
