@@ -173,7 +173,7 @@ def _model(kind: str, rounds: int):
     return Pipeline(stages=[GBTClassifier(featuresCol="x", labelCol="y", maxIter=rounds, stepSize=0.05, maxDepth=3, seed=42)])
 
 
-def out_of_fold(d: DataFrame, kinds: tuple[str, ...] = ("constant", "logistic", "boosted"), folds: int = 5, rounds: int = 5) -> DataFrame:
+def out_of_fold(d: DataFrame, kinds: tuple[str, ...] = ("constant", "logistic", "boosted"), folds: int = 5, rounds: int = 300) -> DataFrame:
     """``d(x, y, fold, ..)`` -> (model, scores): every row is scored by models that saw none of its fold.
 
     A loop over folds and models, each a distributed fit; the constant model is the mean label.
@@ -193,15 +193,15 @@ def out_of_fold(d: DataFrame, kinds: tuple[str, ...] = ("constant", "logistic",
     return out
 
 
-def permutation_importance(d: DataFrame, names: list[str], repeats: int = 2, buckets: int = 64, seed: int = 3) -> DataFrame:
-    """Drop of the held-out AUC when a feature is shuffled: (feature, drop).
+def permutation_importance(d: DataFrame, names: list[str], repeats: int = 5, buckets: int = 64, seed: int = 3, rounds: int = 300) -> DataFrame:
+    """Drop of the held-out AUC of boosting when a feature is shuffled: (feature, drop).
 
     The shuffled copy takes the feature of another row: rows are dealt into hash buckets and numbered in two hash orders
     there, so the shuffle is a join on (bucket, number).
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    model = _model("logistic", 0).fit(d.filter("fold <> 0"))
+    model = _model("boosted", rounds).fit(d.filter("fold <> 0"))
     rid = F.xxhash64("hand_id", "action_index")
     test = d.filter("fold = 0").select(rid.alias("rid"), "y", vector_to_array("x").alias("v"))
     score = lambda df: model.transform(df.withColumn("x", array_to_vector("v"))).select("y", "f", F.round(vector_to_array("probability")[1], 6).alias("p"))

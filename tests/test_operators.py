@@ -94,3 +94,33 @@ def test_folds_keep_groups_together(spark):
     g = spark.createDataFrame([(f"s{i}", 10 * i) for i in range(11)], "session string, n int")
     f = [r.fold for r in decisions.group_folds(g).collect()]
     assert sorted(set(f)) == [0, 1, 2, 3, 4] and len(f) == 11
+
+
+def planted(spark):
+    """Labels that only two features together tell, and a third feature without meaning."""
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        u, v, w = (float(x) for x in rng.random(3))
+        y = int((u > 0.45) != (v > 0.35))
+        rows.append((str(i), 0, f"P{i % 9}", f"s{i % 10}", y, float(y), i % 2, [u, v, w]))
+    df = spark.createDataFrame(rows, "hand_id string, action_index long, player_name string, session string, label int, y double, fold long, f array<double>")
+    return df.withColumn("x", array_to_vector("f")).cache()
+
+
+def test_boosting_finds_what_a_line_does_not(spark):
+    s = decisions.out_of_fold(planted(spark), ("constant", "logistic", "boosted"), 2, 5)
+    got = {r.model: r.roc_auc for r in decisions.auc(s, F.col("label"), "p", "model").collect()}
+    assert got["boosted"] > 0.9 > 0.75 > got["logistic"] and got["boosted"] > got["constant"]
+    drop = {r.feature: r["drop"] for r in decisions.permutation_importance(planted(spark), ["u", "v", "w"], repeats=1, rounds=5).collect()}
+    assert min(drop["u"], drop["v"]) > 0.2 > 0.1 > abs(drop["w"])
+
+
+def test_models_have_the_rounds_of_the_survey():
+    import inspect
+
+    of = lambda f, name: inspect.signature(f).parameters[name].default
+    assert of(decisions.out_of_fold, "rounds") == of(decisions.permutation_importance, "rounds") == 300
+    assert of(decisions.permutation_importance, "repeats") == 5
