@@ -70,10 +70,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     t = F.broadcast(t.withColumn("h", F.xxhash64("w1", "w2")))
     d = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), words(F.col(text)).alias("w"))
     d = d.withColumn("n_words", F.size("w").cast("long"))
-    # The last entry, of a hash that no k-gram has in the table below, keeps texts without a hit.
-    grams = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(F.col("w"), i + 1)))
-    g = d.select("_row", "_id", "n_words", "w", F.posexplode(F.concat(grams, F.array(F.lit(None).cast("long")))).alias("pos", "gh"))
-    hit = (F.get(F.col("w"), F.col("pos")) == F.col("w1")) & (F.get(F.col("w"), F.col("pos") + 1) == F.col("w2"))
+    # A k-gram takes its own words along and nothing else of the text, so time and memory are linear in a text's length.
+    gram = lambda x, i: F.struct(F.xxhash64(x, F.get(F.col("w"), i + 1)).alias("h"), x.alias("a"), F.get(F.col("w"), i + 1).alias("b"))
+    grams = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), gram)
+    # The last entry, without a hash, keeps texts without a hit.
+    none = F.lit(None).cast("struct<h:bigint,a:string,b:string>")
+    g = d.select("_row", "_id", "n_words", F.posexplode(F.concat(grams, F.array(none))).alias("pos", "g"))
+    g = g.select("_row", "_id", "n_words", "pos", F.col("g.h").alias("gh"), F.col("g.a").alias("a"), F.col("g.b").alias("b"))
+    hit = (F.col("a") == F.col("w1")) & (F.col("b") == F.col("w2"))
     j = g.join(t, g["gh"] == t["h"], "left").filter(hit | F.col("gh").isNull())
     votes = j.groupBy("_row", "_id", "n_words", "tmpl", "label", "is_base", "grams", (F.col("pos") - F.col("tpos")).alias("diag")).agg(
         F.collect_set("tpos").alias("tposs"), F.min("pos").alias("lo"), (F.max("pos") + K).alias("hi")
