@@ -14,7 +14,7 @@ import hashlib
 import math
 import random
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railbird.llm.common import sliced
+from railbird.llm.common import share_of, sliced
 
 #: The kinds in their order and the base patterns (possessive where that changes no match).
 KINDS = ("email", "ip", "card", "phone")
@@ -33,12 +33,12 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 TRIGGER = re.compile(r"[0-9@]")
-#: Labelled documents for learning, at most about so many.
+#: Learning reads about so many documents at most, and so many distinct islands in them (those of the least digests).
 MAX_SAMPLE = 6_000
 MAX_ISLANDS = 1_500
-#: Number groups in one candidate segment.
-MAX_GROUPS = 8
-NUMBER_RUN = re.compile(r"[+(]?[0-9](?:[0-9().\x20/-]{0,60}[0-9])?")
+#: Number groups in one candidate segment, characters between two of them, and signs before the first.
+MAX_GROUPS, MAX_GAP, MAX_LEAD = 8, 4, 2
+NUMBER_RUN = re.compile(r"[+(]?[0-9](?:[().\x20/-]*[0-9])*")
 GROUP = re.compile(r"[0-9]+")
 AT_RUN = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?:\s?[\[(]?\s?(?:@|\bat\b)\s?[\])]?\s?)[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[\[(]?\s?\bdot\b\s?[\])]?\s?)[A-Za-z0-9-]{1,63}){1,5}")
 CUES = {k: frozenset(v.split()) for k, v in {"email": "mail email contact e-mail correo courriel", "ip": "ip host server addr address", "card": "card visa mastercard credit karte carte tarjeta", "phone": "tel phone call mobile fax telefon téléphone teléfono"}.items()}
@@ -112,12 +112,17 @@ def candidates(text: str, begin: int, end: int) -> list[Span]:
         groups = [g.span() for g in GROUP.finditer(text, *m.span())]
         for i, (s, _) in enumerate(groups):
             lead = {s}
-            while s > begin and text[s - 1] in "+(":
+            while s > begin and text[s - 1] in "+(" and len(lead) <= MAX_LEAD:
                 s -= 1
                 lead.add(s)
+            n = 0
             for j in range(i, min(i + MAX_GROUPS, len(groups))):
-                n = sum(e - b for b, e in groups[i : j + 1])
-                if 4 <= n <= 19:
+                if j > i and groups[j][0] - groups[j - 1][1] > MAX_GAP:
+                    break
+                n += groups[j][1] - groups[j][0]
+                if n > 19:
+                    break
+                if n >= 4:
                     for b in lead:
                         out.update((k, b, groups[j][1]) for k in KINDS[1:])
     for m in AT_RUN.finditer(text, begin, end):
@@ -238,19 +243,23 @@ def variants(text: str, gold: list[Span]) -> list[tuple[str, list[Span]]]:
     return [(text[:s] + f + text[e:], [(k, s + (4 if f.startswith("tel ") else 0), s + len(f))]) for f in forms]
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = MAX_SAMPLE) -> SemiCrf:
-    """The field, learned from about ``most`` documents with a digit or an at-sign, chosen by the hash of their id."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = MAX_SAMPLE, islands_most: int = MAX_ISLANDS) -> SemiCrf:
+    """The field, learned from about ``most`` documents with a digit or an at-sign, chosen by the hash of their id and text.
+
+    Of their distinct islands the ``islands_most`` with the least digests are used. Null texts have none; without islands
+    the field finds nothing. Repeated texts are one island.
+    """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).filter(F.col("text").rlike("[0-9@]"))
     n = rows.count()
     if n > most:
-        rows = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+        rows = rows.filter(share_of(most / n, "_id", "text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [(hashlib.md5(t.encode()).hexdigest(), t, join_spans(g)) for text in pdf["text"] for t, g in _snippets(text)]
             yield pd.DataFrame(got, columns=["h", "text", "spans"])
 
-    found = rows.select("text").mapInPandas(run, "h string, text string, spans string").distinct().orderBy("h").limit(MAX_ISLANDS).collect()
+    found = rows.select("text").mapInPandas(run, "h string, text string, spans string").distinct().orderBy("h").limit(islands_most).collect()
     data = []
     for r in found:
         gold = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)]
@@ -262,12 +271,18 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int
 def find(text: str, crf: SemiCrf, base: list[Span]) -> list[Span]:
     """Base spans and the field's further spans, which overlap none of them."""
     out = list(base)
-    taken = sorted((s, e) for _, s, e in base)
+    taken: list[list[int]] = []  # what the base spans cover, as stretches that do not touch
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    ends = [e for _, e in taken]
+    free = lambda s, e: (k := bisect_right(ends, s)) == len(taken) or taken[k][0] >= e
     for begin, end in islands(text):
-        a, b = max(0, begin - 30), min(len(text), end + 10)
-        near = [(s, e) for s, e in taken if s < b and e > a]
-        segs = [x for x in candidates(text, begin, end) if all(x[2] <= s or x[1] >= e for s, e in near)]
+        segs = [x for x in candidates(text, begin, end) if free(x[1], x[2])]
         if segs:
+            a, b = max(0, begin - 30), min(len(text), end + 10)
             part = text[a:b]
             out += [(k, s + a, e + a) for k, s, e in crf.decode(part, [(k, s - a, e - a) for k, s, e in segs])]
     return out

@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railbird.llm.common import sliced, stored
+from railbird.llm.common import share_of, sliced, stored
 
 #: Learning reads about so many labelled rows at most (a share of them by a hash of the id).
 MAX_LABELLED = 20_000
 #: Stems kept at most.
 MAX_STEMS = 5_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Distinct stems that one task counts before it sends them on.
+HELD_STEMS = 100_000
 #: Words within so many words of an insult are near it.
 NEAR = 4
 NEGATION_SCOPE = 3
@@ -125,15 +127,16 @@ class Lexicon:
         starts = [e + 1 - n for e, n in self.auto.iter(low)]
         starts = sorted({s for s in starts if not (s and low[s - 1].isalpha())})
         sums = np.zeros(7)
-        done = -1
+        done = 0
         for s in starts:
             if s < done:
                 continue
-            begin = max(low.rfind(c, 0, s) for c in ".!?;:\n") + 1
+            # The clause begins after the last end mark since the clause before, so every character is looked at once.
+            begin = max(max(low.rfind(c, done, s) for c in ".!?;:\n") + 1, done)
             m = CLAUSE_END.search(low, s)
             done = m.start() if m else len(low)
             symbols = []
-            for w in WORD.findall(low, max(begin, 0), done):
+            for w in WORD.findall(low, begin, done):
                 v = self.weight(w)
                 symbols.append(("I", v) if v > 0 else (c := word_class(w), 3.0 if c == "K" else 0.0))
             total, *counts = clause_weight(symbols)
@@ -144,7 +147,15 @@ class Lexicon:
 
 
 def _stem_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of stems, sent on whenever HELD_STEMS of them are held."""
     pos, neg = Counter(), Counter()
+
+    def flush() -> pd.DataFrame:
+        items = [(s, c, 0) for s, c in pos.items()] + [(s, 0, c) for s, c in neg.items()]
+        pos.clear()
+        neg.clear()
+        return pd.DataFrame(items, columns=["stem", "pos", "neg"])
+
     for pdf in batches:
         for text, toxic in zip(pdf["text"], pdf["toxic"]):
             words = set(WORD.findall((text or "").lower()))
@@ -152,18 +163,15 @@ def _stem_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for n in PREFIXES:
                 found.update([w[:n] for w in words if len(w) >= n])
             (pos if toxic else neg).update(found)
-    for counts, name in ((pos, "pos"), (neg, "neg")):
-        items = list(counts.items())
-        for k in range(0, len(items), 50_000):
-            part = items[k : k + 50_000]
-            one, zero = [c for _, c in part], [0] * len(part)
-            yield pd.DataFrame({"stem": [s for s, _ in part], "pos": one if name == "pos" else zero, "neg": zero if name == "pos" else one})
+            if len(pos) + len(neg) >= HELD_STEMS:
+                yield flush()
+    yield flush()
 
 
 def sample_share(df: DataFrame, id_col: str, most: int) -> DataFrame:
     """About ``most`` rows at most: those whose id's hash falls under the share; all of a smaller table."""
     n = df.count()
-    return df if n <= most else df.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    return df if n <= most else df.filter(share_of(most / n, id_col))
 
 
 def learn_stems(sample: DataFrame) -> dict[str, float]:
