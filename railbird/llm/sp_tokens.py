@@ -9,7 +9,8 @@ compatible. The ids are recovered backwards from the end of the table.
 
 Texts are first cut where no piece of the vocabulary can reach across (two neighbouring characters
 that no piece holds side by side in the classes below), which leaves words; a word that a Python
-worker has met before comes from a bounded memory.
+worker has met before comes from a memory bounded in bytes. Only the ids of a word are remembered, and its decoded text where that
+is not the word itself.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ from pyspark.sql import functions as F
 from railbird.llm.common import sliced
 
 SPACE = "▁"
-#: Words remembered by one Python worker; at this number the memory starts afresh.
-MEMORY_WORDS = 300_000
+#: Bytes of words, and number of pairs of pieces, that one Python worker remembers, about.
+MEMORY_BYTES = 48 << 20
+MEMORY_PAIRS = 150_000
+#: Bytes of ids in one batch of results, about.
+BATCH_BYTES = 4 << 20
 #: Longer words are encoded piecewise without being remembered.
 MEMORY_CHARS = 64
 
@@ -59,7 +63,7 @@ class PieceTable:
         auto.make_automaton()
         self.auto = auto
         self.piece = {i: p for p, i in self.ids.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.chars = {p for p in self.ids if len(p) == 1}
         self.cut = self._cuts()
 
@@ -91,7 +95,9 @@ class PieceTable:
         """Pair compatibility: does ``u + t`` encode to ``[u, t]``? u is -1 at the start of a word."""
         a, b = self.piece.get(u, ""), self.piece[t]
         ok = self.merge(list(a + b)) == ([a, b] if a else [b])
-        self.pairs[u, t] = ok
+        if len(self.pairs) >= MEMORY_PAIRS:
+            self.pairs.clear()
+        self.pairs[u * len(self.text) + t] = ok
         return ok
 
     def encode_word(self, w: str) -> list[int]:
@@ -110,17 +116,17 @@ class PieceTable:
         return out
 
     def _span(self, w: str) -> list[int]:
-        n, pairs = len(w), self.pairs
+        n, pairs, size = len(w), self.pairs, len(self.text)
         last, back = [-1] * (n + 1), [0] * (n + 1)
-        for end, (t, size) in self.auto.iter(w):
+        for end, (t, long) in self.auto.iter(w):
             end += 1
             if last[end] >= 0:
                 continue
-            begin = end - size
+            begin = end - long
             u = last[begin]
             if u < 0 and begin:
                 continue
-            ok = pairs.get((u, t))
+            ok = pairs.get(u * size + t)
             if ok is None:
                 ok = self.fits(u, t)
             if ok:
@@ -133,6 +139,8 @@ class PieceTable:
 
     def decode_ids(self, ids: list[int]) -> str:
         """Text of whole words' ids; byte tokens that are not UTF-8 become U+FFFD each."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.text[i] for i in ids])
         out, raw = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -148,18 +156,31 @@ class PieceTable:
 
 
 class _Words(dict):
-    """word -> (ids as little-endian unsigned 32-bit integers, decoded text)."""
+    """word -> ids as little-endian unsigned 32-bit integers.
+
+    Two generations share the memory: when the younger one is full it becomes the older one, whose words return
+    to the younger one when they are met again. ``decoded`` has the words that decode to another text than their own.
+    """
 
     def __init__(self, table: PieceTable):
         super().__init__()
-        self.table = table
-
-    def __missing__(self, w: str) -> tuple[bytes, str]:
-        ids = self.table.encode_word(w)
-        got = (b"".join(i.to_bytes(4, "little") for i in ids), self.table.decode_ids(ids))
+        self.table, self.older, self.held = table, {}, 0
+        self.decoded: dict[str, str] = {}
+
+    def __missing__(self, w: str) -> bytes:
+        got = self.older.get(w)
+        if got is None:
+            ids = self.table.encode_word(w)
+            got = b"".join([i.to_bytes(4, "little") for i in ids])
+            text = self.table.decode_ids(ids)
+            if text != w.replace(SPACE, " "):
+                self.decoded[w] = text
         if len(w) <= MEMORY_CHARS:
-            if len(self) >= MEMORY_WORDS:
+            self.held += 180 + len(w) + len(got)
+            if self.held > MEMORY_BYTES // 2:
+                self.older = dict(self)
                 self.clear()
+                self.held = 0
             self[w] = got
         return got
 
@@ -169,6 +190,7 @@ _loaded: dict[str, _Words] = {}
 
 def _words(model_file: str) -> _Words:
     if model_file not in _loaded:
+        _loaded.clear()  # a worker keeps one model
         _loaded[model_file] = _Words(PieceTable(model_file))
     return _loaded[model_file]
 
@@ -179,9 +201,17 @@ def encode_one(words: _Words, text: str | None) -> tuple[bytes, str]:
     head, tail = t.bos.to_bytes(4, "little"), t.eos.to_bytes(4, "little")
     if not text:
         return head + tail, ""
-    got = [words[w] for w in t.cut.findall((SPACE + text).replace(" ", SPACE))]
-    decoded = "".join([d for _, d in got])
-    return head + b"".join([i for i, _ in got]) + tail, decoded[1:]
+    if len(words.decoded) > 10_000:
+        words.decoded = {k: v for k, v in words.decoded.items() if k in words or k in words.older}
+    marked = (SPACE + text).replace(" ", SPACE)
+    found = t.cut.findall(marked)
+    ids = b"".join([words[w] for w in found])
+    if words.decoded:
+        odd = words.decoded
+        decoded = "".join([odd[w] if w in odd else w.replace(SPACE, " ") for w in found])
+    else:
+        decoded = marked.replace(SPACE, " ")  # every word decodes to itself
+    return head + ids + tail, decoded[1:]
 
 
 def encode(docs: DataFrame, model_file: str, text: str = "text", id_col: str = "doc_id", with_ids: bool = True, with_text: bool = True) -> DataFrame:
@@ -197,17 +227,25 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(model_file)
         for b in sliced(batches):
-            rows = [encode_one(words, t) for t in b.column("text").to_pylist()]
-            sizes = np.array([len(i) // 4 for i, _ in rows], np.int64)
-            ids_hash = [hashlib.sha256(i).hexdigest() for i, _ in rows]
-            text_hash = [hashlib.sha256(d.encode("utf-8")).hexdigest() for _, d in rows]
-            out = {id_col: b.column("id"), "n_tokens": pa.array(sizes), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
-            if with_ids:
-                flat = np.frombuffer(b"".join([i for i, _ in rows]), "<u4").astype(np.int32)
-                out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
-            if with_text:
-                out["decoded"] = pa.array([d for _, d in rows], pa.string())
-            yield pa.RecordBatch.from_pydict(out)
+            done, held = 0, 0
+            rows: list[tuple[int, str, str, bytes | None, str | None]] = []
+            for k, text in enumerate(b.column("text")):
+                raw, decoded = encode_one(words, text.as_py())
+                rows.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest(), raw if with_ids else None, decoded if with_text else None))
+                held += (len(raw) if with_ids else 0) + (len(decoded) if with_text else 0)
+                if held >= BATCH_BYTES or k + 1 == b.num_rows:
+                    yield batch(b.column("id").slice(done, k + 1 - done), rows)
+                    done, held, rows = k + 1, 0, []
+
+    def batch(ids: pa.Array, rows: list) -> pa.RecordBatch:
+        sizes = np.array([r[0] for r in rows], np.int64)
+        out = {id_col: ids, "n_tokens": pa.array(sizes), "ids_sha256": pa.array([r[1] for r in rows], pa.string()), "decoded_sha256": pa.array([r[2] for r in rows], pa.string())}
+        if with_ids:
+            flat = np.frombuffer(b"".join([r[3] for r in rows]), "<u4").astype(np.int32)
+            out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+        if with_text:
+            out["decoded"] = pa.array([r[4] for r in rows], pa.string())
+        return pa.RecordBatch.from_pydict(out)
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     return src.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
