@@ -1,15 +1,15 @@
 """Language-model scores: a probabilistic suffix tree over bytes, beside unigram word scores.
 
 A text is lower-cased (A-Z) and its words are joined by single spaces and closed by a newline, so the
-model's probability of that byte string is a probability of the token sequence. Contexts of up to
-``DEPTH`` bytes are counted over all training texts. A context is retained if it occurs at least
+model's probability of that byte string is a probability of the token sequence. Windows of ``DEPTH`` + 1 bytes are counted over all
+training texts, and shorter ones are sums of them. A context is retained if it occurs at least
 ``LEAST_COUNT`` times and its next-symbol distribution diverges from that of the context one byte shorter; each
-retained context is smoothed towards the shorter one. The longest retained suffix scores the next symbol.
+retained context is smoothed towards the shorter one, and the longest retained suffix of a context scores the next symbol.
 
-Contexts of at least the share ``P_MIN`` of all symbols are frequent (at most 1/P_MIN a length). The retained ones become an
-automaton whose states are contexts, which runs over many texts at once. The rare ones stay a table: places whose
-longest context is rare give their window of DEPTH + 1 bytes, and the distinct windows are joined with the rare contexts. A rare
-context is longer than every frequent one at its place, so the joined ones carry the automaton's probability on.
+The tree is a Spark table for each depth: a join brings what the shorter context says of the next symbol, a window over the
+symbols of one context (256 at most) decides whether it is retained. At the last depth this gives the probability of every window
+of any text. The most frequent windows, at most ``MOST_WINDOWS``, are looked up inside the task that reads a text; all others are
+joined. Which ones these are changes no score.
 
 The word part: counts of all training words, joined with the words of each text. Words above a
 fixed share of all tokens (a bounded number) are broadcast; only rare words are shuffled.
@@ -22,19 +22,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from railbird.llm.common import sliced, stored
+from railbird.llm.common import forget, sliced, stored
 
 DEPTH = 5
-#: Share of all symbols from which a context is frequent.
-P_MIN = 4e-6
-#: Least count of a context, and least divergence from the shorter context (log-likelihood ratio a symbol in it).
+#: Windows that are looked up inside a task, at most (20 bytes each).
+MOST_WINDOWS = 2_000_000
+#: Least count of a context, and least divergence from the shorter context (log-likelihood ratio, and a symbol in it).
 LEAST_COUNT, LEAST_G2, LEAST_KL = 20, 30.0, 0.005
 SMOOTHING = 20.0
 #: Words of at least this share of all training tokens are frequent: at most 1/FREQUENT of them.
 FREQUENT = 5e-6
 PIECE = 1 << 21
+#: Distinct windows that one task holds before it sends their counts on.
+HELD = 1_000_000
 _U = np.uint64
 END = 10
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -97,175 +100,119 @@ def _windows(x: np.ndarray) -> np.ndarray:
     return key
 
 
+def _real(n: int, off: np.ndarray) -> np.ndarray:
+    """Which of ``n`` symbols are scored: all but the DEPTH newlines before each text."""
+    real = np.ones(n, bool)
+    for k in range(DEPTH):
+        real[off[:-1] + k] = False
+    return real
+
+
 def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of all windows of DEPTH + 1 bytes (oldest byte first) in a task's texts."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    """(key, c) of the windows of DEPTH + 1 bytes (oldest byte first) in a task's texts; those of held-out texts count 0."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
 
-    def merge(parts):
-        nonlocal keys, counts
-        k = np.concatenate([keys, *[p for p, _ in parts]])
-        c = np.concatenate([counts, *[p for _, p in parts]])
+    def flush() -> pa.RecordBatch:
+        k, c = np.concatenate([p for p, _ in parts]), np.concatenate([p for _, p in parts])
         keys, at = np.unique(k, return_inverse=True)
-        counts = np.bincount(at, weights=c, minlength=len(keys)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(np.bincount(at, weights=c, minlength=len(keys)).astype(np.int64))], names=["key", "c"])
 
-    parts, held = [], 0
     for b in batches:
-        for _, _, x, off in _pieces(b.column("text")):
-            key = _windows(x)
-            real = np.ones(len(x), bool)
-            for k in range(DEPTH):
-                real[off[:-1] + k] = False
-            parts.append(np.unique(key[real], return_counts=True))
-            held += len(parts[-1][0])
-            if held > 2_000_000:
-                merge(parts)
+        out = b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        for lo, hi, x, off in _pieces(b.column("text")):
+            key, real = _windows(x), _real(len(x), off)
+            train = np.repeat(~out[lo:hi], np.diff(off))
+            for some, one in ((real & train, 1), (real & ~train, 0)):
+                keys, n = np.unique(key[some], return_counts=True)
+                parts.append((keys, n * one))
+                held += len(keys)
+            if held > HELD:
+                yield flush()
                 parts, held = [], 0
     if parts:
-        merge(parts)
-    for lo in range(0, len(keys), 200_000):
-        k, c = keys[lo : lo + 200_000].astype(np.int64), counts[lo : lo + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["key", "c"])
+        yield flush()
 
 
-def suffix_tree(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(retained, frequent, bar) of the training ``texts(text)``.
+def suffix_tree(texts: DataFrame) -> list[DataFrame]:
+    """For ``texts(text, held_out)``: for each depth 0 to DEPTH the table (key, c, n, kept, p) of all windows of depth + 1 bytes.
 
-    retained(depth, ctx, n, nexts of (next, c)): one row per retained context, ctx as packed bytes, n its count.
-    frequent(depth, ctx): all contexts, retained or not, whose count reaches bar.
+    key is the window as packed bytes, its last byte the next symbol and the others its context; c its count in training texts, n that of
+    its context, kept whether the context is retained, p the probability of the symbol by the longest retained
+    suffix of the context. A context without training text is never retained.
     """
-    windows = stored(texts.mapInArrow(_count_windows, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
-    total = windows.agg(F.sum("c")).first()[0] or 0
-    bar = max(LEAST_COUNT, int(P_MIN * total))
-    each = windows.select(F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.col("key").bitwiseAND((1 << (8 * (d + 1))) - 1).alias("k")) for d in range(DEPTH + 1)])).alias("x"), "c")
-    grams = each.groupBy("x.depth", "x.k").agg(F.sum("c").alias("c"))
-    grams = stored(grams.select("depth", F.shiftright("k", 8).alias("ctx"), F.col("k").bitwiseAND(255).alias("next"), "c"))
-    sums = grams.groupBy("depth", "ctx").agg(F.sum("c").alias("n")).filter((F.col("n") >= LEAST_COUNT) | (F.col("depth") == 0))
-    sums = stored(sums)
-    often = stored(grams.join(sums, ["depth", "ctx"]))
-    shorter = often.select((F.col("depth") + 1).alias("depth"), F.col("ctx").alias("pctx"), "next", (F.col("c") / F.col("n")).alias("q"))
-    mask = F.element_at(F.array(*[F.lit((1 << (8 * d)) - 1).cast("long") for d in range(DEPTH + 1)]), F.col("depth"))
-    child = often.filter("depth > 0").withColumn("pctx", F.col("ctx").bitwiseAND(mask))
-    kl = F.sum(F.col("c") / F.col("n") * F.log(F.col("c") / F.col("n") / F.col("q")))
-    test = child.join(shorter, ["depth", "pctx", "next"]).groupBy("depth", "ctx").agg(kl.alias("kl"), F.first("n").alias("n"))
-    good = test.filter((F.col("kl") >= LEAST_KL) & (2 * F.col("n") * F.col("kl") >= LEAST_G2)).select("depth", "ctx")
-    kept = often.join(good, ["depth", "ctx"], "left_semi").unionByName(often.filter("depth = 0"))
-    kept = kept.groupBy("depth", "ctx").agg(F.first("n").alias("n"), F.collect_list(F.struct(F.col("next").cast("int").alias("next"), "c")).alias("nexts"))
-    return stored(kept), sums.filter((F.col("depth") > 0) & (F.col("n") >= bar)).select("depth", "ctx"), bar
-
-
-class Automaton:
-    """Suffix automaton of a retained tree: ``step[state * A + symbol]`` and log10 probabilities."""
-
-    def __init__(self, tree: pa.Table):
-        tree = tree.combine_chunks()
-        nexts = tree.column("nexts").combine_chunks()
-        if isinstance(nexts, pa.ChunkedArray):
-            nexts = nexts.chunk(0) if nexts.num_chunks else pa.array([], nexts.type)
-        off = nexts.offsets.to_numpy()
-        symbol, count = nexts.values.field("next").to_numpy(), nexts.values.field("c").to_numpy()
-        at = {int(c).to_bytes(d, "big"): i for i, (d, c) in enumerate(zip(tree.column("depth").to_pylist(), tree.column("ctx").to_pylist()))}
-        # A context's suffixes and prefixes are states too, so that the state after a symbol is known from the state before it.
-        states, todo = {b""}, list(at)
-        while todo:
-            s = todo.pop()
-            if s not in states:
-                states.add(s)
-                todo += [s[1:], s[:-1]]
-        order = sorted(states, key=lambda s: (len(s), s))
-        number = {s: i for i, s in enumerate(order)}
-        del states
-        seen = np.unique(symbol)
-        self.symbol = np.full(256, len(seen), np.int32)
-        self.symbol[seen] = np.arange(len(seen))
-        self.size = a = len(seen) + 1
-        unseen = 256 - len(seen)
-        logp, step = np.zeros((len(order), a), np.float32), np.zeros((len(order), a), np.int32)
-        before: dict[int, np.ndarray] = {}  # distributions of the contexts one byte shorter
-        level: dict[int, np.ndarray] = {}
-        for i, s in enumerate(order):
-            if i and len(s) > len(order[i - 1]):
-                before, level = level, {}
-            parent = number[s[1:]] if s else 0
-            p = before.get(parent)
-            k = at.get(s)
-            row = np.zeros(a)
-            if k is not None:
-                row[self.symbol[symbol[off[k] : off[k + 1]]]] = count[off[k] : off[k + 1]]
-            if not s:  # the empty context: every byte has half a count, the last column stands for each unseen byte
-                row += 0.5
-                p = row / (row[:-1].sum() + 0.5 * unseen)
-            elif k is not None:
-                p = (row + SMOOTHING * p) / (row.sum() + SMOOTHING)
-            level[i] = p
-            logp[i] = np.log10(p)
-        # A context steps to the longest state that ends it: its own child, or what its shorter context steps to.
-        own = np.zeros(step.shape, bool)
-        for s, i in number.items():
-            if s:
-                own[number[s[:-1]], self.symbol[s[-1]]] = True
-                step[number[s[:-1]], self.symbol[s[-1]]] = i
-        for i, s in enumerate(order):
-            if s:
-                parent = number[s[1:]]
-                step[i] = np.where(own[i], step[i], step[parent])
-        self.step, self.logp = step.ravel(), logp.ravel()
-
-    def scores(self, x: np.ndarray, off: np.ndarray, lane: int = 256) -> np.ndarray:
-        """log10 probability of each normalized text."""
-        n, a = len(x), self.size
-        lanes = -(-n // lane)
-        sym = np.full(lanes * lane + DEPTH, self.symbol[END], np.int32)
-        sym[DEPTH : DEPTH + n] = self.symbol[x]
-        # All lanes advance together; each begins DEPTH symbols early, after which its state is exact.
-        cols = np.lib.stride_tricks.sliding_window_view(sym, lane + DEPTH)[::lane].T.copy()
-        state = np.zeros(lanes, np.int32)
-        out = np.empty((lane, lanes), np.float32)
-        for t in range(lane + DEPTH):
-            at = state * a + cols[t]
-            if t >= DEPTH:
-                out[t - DEPTH] = self.logp[at]
-            state = self.step[at]
-        p = out.T.ravel()[:n].astype(np.float64)
-        for k in range(DEPTH):
-            p[off[:-1] + k] = 0.0
-        return np.add.reduceat(p, off[:-1]) if len(off) > 1 else np.zeros(0)
-
-
-def _among(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(x), bool)
-    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
-
-
-def _odd(x: np.ndarray, off: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(windows of the places whose context of DEPTH bytes is not among ``often``, how many of them each text has)."""
-    key = _windows(x)
-    real = np.ones(len(x), bool)
-    for k in range(DEPTH):
-        real[off[:-1] + k] = False
-    u, at = np.unique(key >> _U(8), return_inverse=True)
-    odd = np.flatnonzero(real & ~_among(often, u)[at])
-    return key[odd].astype(np.int64), np.diff(np.searchsorted(odd, off))
-
-
-def _prober(tree: Automaton, often: list[np.ndarray]):
-    """From windows (key) to (key, base, depth, ctx, next) for each of their contexts that is not frequent; base is the automaton's probability."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = b.column("key").to_numpy().astype(np.uint64)
-            x = np.stack([(key >> _U(8 * (DEPTH - k))) & _U(255) for k in range(DEPTH + 1)], 1).astype(np.uint8).ravel()
-            base = 10 ** tree.scores(x, np.arange(len(key) + 1) * (DEPTH + 1))
-            for d in range(1, DEPTH + 1):
-                ctx = (key >> _U(8)) & _U((1 << (8 * d)) - 1)
-                at = np.flatnonzero(~_among(often[d], ctx))
-                cols = [key[at].astype(np.int64), base[at], np.full(len(at), d, np.int32), ctx[at].astype(np.int64), (key[at] & _U(255)).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "base", "depth", "ctx", "next"])
-
-    return run
-
-
-def _scorer(tree: Automaton, often: list[np.ndarray], frequent: np.ndarray, value: np.ndarray):
+    grams = {DEPTH: stored(texts.mapInArrow(_count_windows, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))}
+    for d in range(DEPTH - 1, -1, -1):
+        shorter = F.col("key").bitwiseAND((1 << (8 * (d + 1))) - 1)
+        grams[d] = stored(grams[d + 1].groupBy(shorter.alias("key")).agg(F.sum("c").alias("c")))
+    total = grams[0].agg(F.sum("c")).first()[0] or 0
+    levels = [grams[0].select("key", "c", F.lit(total).cast("long").alias("n"), F.lit(True).alias("kept"), ((F.col("c") + 0.5) / (total + 128.0)).alias("p"))]
+    for d in range(1, DEPTH + 1):
+        below = levels[-1].select(F.col("key").alias("low"), (F.col("c") / F.greatest("n", F.lit(1))).alias("q"), F.col("p").alias("shorter"))
+        g = grams[d].withColumn("low", F.col("key").bitwiseAND((1 << (8 * d)) - 1)).join(below, "low")
+        context = W.partitionBy("ctx")
+        g = g.withColumn("ctx", F.shiftright("key", 8)).withColumns({"n": F.sum("c").over(context), "a": F.sum(F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / F.col("q")))).over(context)})
+        gain = F.col("a") - F.col("n") * F.log(F.col("n").cast("double"))  # n times the divergence
+        kept = (F.col("n") >= LEAST_COUNT) & (gain >= LEAST_KL * F.col("n")) & (2 * gain >= LEAST_G2)
+        g = g.withColumn("kept", F.coalesce(kept, F.lit(False)))
+        p = F.when(F.col("kept"), (F.col("c") + SMOOTHING * F.col("shorter")) / (F.col("n") + SMOOTHING)).otherwise(F.col("shorter"))
+        levels.append(stored(g.select("key", "c", "n", "kept", p.alias("p"))))
+        forget(grams[d])
+    return levels
+
+
+class Lookup:
+    """log10 probabilities of windows, found by key: sorted by a mixed key, with the first place of each value of its leading bits."""
+
+    MIX = _U(0x9E3779B97F4A7C15)
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        mixed = key.astype(np.uint64) * self.MIX
+        order = np.argsort(mixed)
+        self.key, self.value = mixed[order], value[order].astype(np.float32)
+        bits = max(1, int(len(key)).bit_length())
+        self.shift = _U(64 - bits)
+        lead = (self.key >> self.shift).astype(np.int64)
+        self.start = np.searchsorted(lead, np.arange((1 << bits) + 1)).astype(np.int32)
+        self.longest = int(np.diff(self.start).max()) if len(key) else 0
+
+    def __call__(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, 0 where there is none; which keys are missing)."""
+        mixed = key * self.MIX
+        lead = (mixed >> self.shift).astype(np.int64)
+        at, end = self.start[lead], self.start[lead + 1]
+        out, missing = np.zeros(len(key), np.float32), np.ones(len(key), bool)
+        todo = np.flatnonzero(at < end)
+        for _ in range(self.longest):
+            place = at[todo]
+            hit = self.key[place] == mixed[todo]
+            found = todo[hit]
+            out[found], missing[found] = self.value[place[hit]], False
+            todo = todo[~hit]
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
+            if not len(todo):
+                break
+        return out, missing
+
+
+def frequent_windows(windows: DataFrame, most: int = MOST_WINDOWS) -> tuple[DataFrame, DataFrame]:
+    """(the windows of the highest counts, ``most`` at most; all others), cut at one count."""
+    step = 1.1
+    rank = F.floor(F.log(F.col("c").cast("double")) / float(np.log(step)))
+    ranks = windows.filter("c > 0").groupBy(rank.alias("rank")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()  # some hundred rows
+    least, held = None, 0
+    for r in sorted(ranks, key=lambda r: -r["rank"]):
+        held += r["n"]
+        if held > most:
+            break
+        least = r["least"]
+    if least is None:
+        return windows.limit(0), windows
+    return windows.filter(F.col("c") >= least), windows.filter(F.col("c") < least)
+
+
+def _scorer(lookup: Lookup, frequent: np.ndarray, value: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -276,10 +223,13 @@ def _scorer(tree: Automaton, often: list[np.ndarray], frequent: np.ndarray, valu
         for b in sliced(batches, 2048):
             scores, odd, counts = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, _, x, off in _pieces(b.column("text")):
-                scores.append(tree.scores(x, off))
-                keys, n = _odd(x, off, often[DEPTH])
-                odd.append(keys)
-                counts.append(n)
+                key, real = _windows(x), _real(len(x), off)
+                p, missing = lookup(key)
+                p[~real] = 0
+                scores.append(np.add.reduceat(p.astype(np.float64), off[:-1]))
+                rest = np.flatnonzero(missing & real)
+                odd.append(key[rest].astype(np.int64))
+                counts.append(np.diff(np.searchsorted(rest, off)))
             score = np.concatenate(scores)
             odd = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]), pa.int32()), pa.array(np.concatenate(odd)))
             col = b.column("h")
@@ -302,18 +252,6 @@ def _scorer(tree: Automaton, often: list[np.ndarray], frequent: np.ndarray, valu
     return run
 
 
-def _rare_contexts(rows: DataFrame, contexts: DataFrame, prober) -> DataFrame:
-    """What rare retained ``contexts`` change in the scores of ``rows(row, odd)``: (row, change)."""
-    places = rows.select("row", F.explode("odd").alias("key"))
-    probes = places.select("key").distinct().mapInArrow(prober, "key long, base double, depth int, ctx long, next int")
-    each = contexts.select("depth", "ctx", "n", F.map_from_entries("nexts").alias("nexts"))
-    met = probes.join(each, ["depth", "ctx"]).select("key", "base", F.struct("depth", "n", F.coalesce(F.try_element_at("nexts", F.col("next")), F.lit(0)).alias("c")).alias("x"))
-    met = met.groupBy("key").agg(F.first("base").alias("base"), F.sort_array(F.collect_list("x")).alias("xs"))
-    p = F.aggregate("xs", F.col("base"), lambda p, x: (x["c"] + SMOOTHING * p) / (x["n"] + SMOOTHING))
-    change = stored(met.select("key", F.log10(p / F.col("base")).alias("change")))
-    return places.join(change, "key").groupBy("row").agg(F.sum("change").alias("change"))
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
@@ -336,12 +274,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     # Sums of log10(c + 0.1), relative to an unknown word's -1.
     value = np.log10(np.array([r["c"] for r in top], np.float64) + 0.1) + 1
     spark = docs.sparkSession
-    retained, common, bar = suffix_tree(train.select("text"))
-    tree = Automaton(retained.filter((F.col("n") >= bar) | (F.col("depth") == 0)).drop("n").toArrow())  # contexts bounded by P_MIN
-    common = common.toArrow()  # also
-    depths, ctx = common.column("depth").to_numpy(), common.column("ctx").to_numpy().astype(np.uint64)
-    often = [np.sort(ctx[depths == d]) for d in range(DEPTH + 1)]
-    shared = spark.sparkContext.broadcast((tree, often, frequent, value))
+    *shorter, windows = suffix_tree(d.select("text", "held_out"))
+    forget(*shorter)
+    top, others = frequent_windows(windows)
+    top = top.select("key", F.log10("p").alias("p")).toArrow()  # MOST_WINDOWS rows at most
+    lookup = Lookup(top.column("key").to_numpy(), top.column("p").to_numpy())
+    shared = spark.sparkContext.broadcast((lookup, frequent, value))
     schema = f"row long, id {kind}, held_out boolean, n_tokens long, score double, seen double, known long, rare array<long>, odd array<long>"
 
     def run(batches):
@@ -350,13 +288,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     rows = stored(d.select("id", "held_out", "text", hashes.alias("h")).mapInArrow(run, schema))
     rare = rows.select("row", F.explode("rare").alias("h")).join(counts, "h")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("c") + 0.1) + 1).alias("s"), F.count("*").alias("k"))
-    changes = _rare_contexts(rows, retained.filter((F.col("n") < bar) & (F.col("depth") > 0)), lambda batches: _prober(*shared.value[:2])(batches))
-    out = rows.drop("rare", "odd").join(rare, "row", "left").join(changes, "row", "left")
+    odd = rows.select("row", F.explode("odd").alias("key")).join(others.select("key", F.log10("p").alias("p")), "key")
+    rest = stored(odd.groupBy("row").agg(F.sum("p").alias("rest")))
+    out = rows.drop("rare", "odd").join(rare, "row", "left").join(rest, "row", "left")
     norm = float(np.log10(n + 0.1 * (v + 1)))
     end_known = 1 if ends else 0
     end_value = float(np.log10(ends + 0.1)) + 1
     total = F.col("seen") + F.coalesce("s", F.lit(0.0)) + end_value
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0)) + end_known).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (total - F.col("n_tokens") * (1 + norm)).alias("base_score"), (F.col("score") + F.coalesce("change", F.lit(0.0))).alias("score"),
+        F.lit(n).cast("long").alias("train_tokens"), (total - F.col("n_tokens") * (1 + norm)).alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )
