@@ -10,9 +10,9 @@ from railbird.functions.rates import count_if, pct, rounded
 from railbird.plans import schema as S
 
 
-def hand_counts(hands: DataFrame, year: str = "year") -> DataFrame:
+def hand_counts(hands: DataFrame, year: str = "year", years: tuple[int, int] = S.STUDY_YEARS) -> DataFrame:
     """Counts per dataset and folder year, with totals (null keys). Inclusion looks at the hand's own year."""
-    inc = S.included_audit()
+    inc = S.included_audit(years)
     h = hands.withColumn("_inc", inc).withColumn("_y", F.col(year))
     g = h.rollup("dataset", "_y").agg(
         F.count("*").alias("total"), count_if(F.col("is_usd")).alias("usd"), count_if(~F.col("is_usd")).alias("non_usd"), count_if(F.col("is_cap")).alias("cap"), count_if(~F.col("is_cap")).alias("non_cap"), count_if(F.col("_inc")).alias("included")
@@ -20,12 +20,12 @@ def hand_counts(hands: DataFrame, year: str = "year") -> DataFrame:
     return g.withColumnRenamed("_y", "year")
 
 
-def monthly(hands: DataFrame) -> DataFrame:
-    return hands.groupBy("dataset", F.date_format("timestamp", "yyyy-MM").alias("year_month")).agg(count_if(S.included_audit()).alias("included_hands"), F.count("*").alias("total_hands"))
+def monthly(hands: DataFrame, years: tuple[int, int] = S.STUDY_YEARS) -> DataFrame:
+    return hands.groupBy("dataset", F.date_format("timestamp", "yyyy-MM").alias("year_month")).agg(count_if(S.included_audit(years)).alias("included_hands"), F.count("*").alias("total_hands"))
 
 
-def players_dealt(hands: DataFrame) -> DataFrame:
-    six, inc, n = F.col("num_players_dealt") == 6, S.included_audit(), F.count("*")
+def players_dealt(hands: DataFrame, years: tuple[int, int] = S.STUDY_YEARS) -> DataFrame:
+    six, inc, n = F.col("num_players_dealt") == 6, S.included_audit(years), F.count("*")
     h = hands.withColumns({"_six": six, "_inc": inc})
     g = h.rollup("dataset", "year").agg(n.alias("hands"), count_if(F.col("_six")).alias("hands_6_dealt"), count_if(F.col("_inc")).alias("included"), count_if(F.col("_six") & F.col("_inc")).alias("included_6_dealt"))
     return g.withColumns({"pct_6_dealt": pct(F.col("hands_6_dealt"), F.col("hands")), "pct_included_6": pct(F.col("included_6_dealt"), F.col("included"))})
@@ -37,9 +37,9 @@ def dealt_distribution(hands: DataFrame) -> DataFrame:
     return g.groupBy("dataset", "year").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("num_players_dealt", "n")))).alias("dealt_distribution"))
 
 
-def unique_players(hands: DataFrame, players: DataFrame, approximate: bool = False) -> DataFrame:
+def unique_players(hands: DataFrame, players: DataFrame, approximate: bool = False, years: tuple[int, int] = S.STUDY_YEARS) -> DataFrame:
     """Players, hands and seats of included hands at year, dataset and grand level; distinct counts do not add up, so each level counts anew."""
-    h = hands.filter(S.included_audit()).select("hand_id", "dataset", "year")
+    h = hands.filter(S.included_audit(years)).select("hand_id", "dataset", "year")
     seats = h.join(players.select("hand_id", "player_name"), "hand_id")
     distinct = F.approx_count_distinct("player_name") if approximate else F.count_distinct("player_name")
     g = seats.rollup("dataset", "year").agg(distinct.alias("unique_players"), F.count("*").alias("player_hand_instances"))
@@ -73,9 +73,9 @@ def duplicates_top(hands: DataFrame, top: int = 100, sample: int = 5) -> DataFra
     return g.select("hand_id", "count", F.col("occurrences")[0]["dataset"].alias("first_dataset"), F.col("occurrences")[0]["file"].alias("first_file"), (F.size("datasets") > 1).alias("cross_dataset"), "datasets", "occurrences")
 
 
-def coverage_matrix(hands: DataFrame, years: list[int]) -> DataFrame:
+def coverage_matrix(hands: DataFrame, years: list[int], study: tuple[int, int] = S.STUDY_YEARS) -> DataFrame:
     """Included hands by dataset and year, zero filled, each with log10(n + 1)."""
-    m = hands.groupBy("dataset").pivot("year", years).agg(count_if(S.included_audit())).fillna(0)
+    m = hands.groupBy("dataset").pivot("year", years).agg(count_if(S.included_audit(study))).fillna(0)
     return m.select("dataset", *[F.col(str(y)).alias(f"n_{y}") for y in years], *[rounded(F.log10(F.col(str(y)) + 1.0), 6).alias(f"log_{y}") for y in years])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from railbird.functions.rates import rounded
 from railbird.plans.schema import POSTS
+from railbird.plans.stored import stored
 
 NUMERIC = ("players_left", "raises_before", "actions_before", "pot_bb", "to_call_bb", "pot_odds", "spr", "size_pot")
 BOOLEAN = ("facing_bet", "in_position", "was_preflop_aggressor", "all_in")
@@ -104,13 +105,26 @@ def size_bucket(x: Column) -> Column:
 
 
 def group_folds(groups: DataFrame, k: int = 5, group: str = "session", size: str = "n") -> DataFrame:
-    """Fold of each group: by size from large to small, dealt round (ties by name). ``groups`` has one row per group."""
-    w = W.orderBy(F.desc(size), group)
-    return groups.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("long"))
+    """Fold of each group: by size from large to small, dealt round (ties by name). ``groups`` has one row per group.
 
+    Groups are sorted in ranges and numbered in each of them, so no task sees them all.
+    """
+    s = stored(groups.repartitionByRange(F.desc(size), F.col(group)).withColumn("_part", F.spark_partition_id()))
+    parts = s.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a task
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(W.partitionBy("_part").orderBy(F.desc(size), group)) - 1
+    s = s.withColumn("_nth", nth).join(F.broadcast(parts.select("_part", before.alias("_before"))), "_part")
+    return s.withColumn("fold", ((F.col("_before") + F.col("_nth")) % k).cast("long")).drop("_part", "_nth", "_before")
+
+
+def group_split(groups: DataFrame, share: float = 0.2, group: str = "session", seed: int = 42) -> DataFrame:
+    """Adds test: true for about ``share`` of all groups, chosen by a digest of seed and name, so no group is on both sides."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col(group).cast("string"))), 1, 12), 16, 10).cast("double")
+    return groups.withColumn("test", draw < share * float(2**48))
 
-def auc(scores: DataFrame, label: Column, score: str, *keys: str) -> DataFrame:
-    """ROC-AUC and average precision per ``keys``.
+
+def auc(scores: DataFrame, label: Column, score: str, *keys: str, threshold: float = 0.5) -> DataFrame:
+    """ROC-AUC, average precision and the accuracy of ``score >= threshold`` per ``keys``.
 
     Rows are first counted by distinct score, so ties share their average rank and the running sums go over distinct scores.
     """
@@ -132,14 +146,17 @@ def auc(scores: DataFrame, label: Column, score: str, *keys: str) -> DataFrame:
     step = F.col("p") * (F.col("tp") - F.col("p1")).cast("double") / (F.col("tn") - F.col("n1"))
     neg = total - pos
     a = (twice - pos * (pos + 1)).cast("double") / 2 / F.nullif((pos * neg).cast("double"), F.lit(0.0))
-    return x.groupBy(*keys).agg(total.alias("n"), pos.alias("positives"), rounded(a, 6).alias("roc_auc"), rounded(F.sum(step) / F.nullif(pos, F.lit(0)), 6).alias("avg_precision"))
+    return x.groupBy(*keys).agg(
+        total.alias("n"), pos.alias("positives"), rounded(a, 6).alias("roc_auc"), rounded(F.sum(step) / F.nullif(pos, F.lit(0)), 6).alias("avg_precision"),
+        rounded(F.sum(F.when(F.col("s") >= threshold, F.col("p")).otherwise(F.col("n") - F.col("p"))) / total, 6).alias("accuracy"),
+    )
 
 
-def entity_scores(scores: DataFrame, keys: list[str], score: str, label: str, least: int) -> DataFrame:
+def entity_scores(scores: DataFrame, keys: list[str], score: str, label: str, least: int = 50) -> DataFrame:
     return scores.groupBy(*keys).agg(F.count("*").alias("decisions"), F.avg(score).alias("mean_score"), F.max(label).alias("label")).filter(F.col("decisions") >= least)
 
 
-def evidence_curve(scores: DataFrame, entity: str, label: Column, score: str, row_id: str, sizes: tuple[int, ...], repeats: int, seed: int = 7) -> DataFrame:
+def evidence_curve(scores: DataFrame, entity: str, label: Column, score: str, row_id: str, sizes: tuple[int, ...] = (1, 5, 10, 25, 50, 100, 200), repeats: int = 20, seed: int = 7) -> DataFrame:
     """Mean AUC over ``repeats`` when an entity is judged by k of its rows, drawn by a digest of seed, repeat and row."""
     reps = scores.select(entity, label.alias("label"), F.col(score).alias("score"), F.col(row_id).alias("rid"), F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep"))
     w = W.partitionBy(entity, "rep").orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("rep"), F.col("rid"))), "rid")
@@ -193,7 +210,7 @@ def out_of_fold(d: DataFrame, kinds: tuple[str, ...] = ("constant", "logistic",
     return out
 
 
-def permutation_importance(d: DataFrame, names: list[str], repeats: int = 5, buckets: int = 64, seed: int = 3, rounds: int = 300) -> DataFrame:
+def permutation_importance(d: DataFrame, names: list[str], repeats: int = 5, seed: int = 3, rounds: int = 300) -> DataFrame:
     """Drop of the held-out AUC of boosting when a feature is shuffled: (feature, drop).
 
     The shuffled copy takes the feature of another row: rows are dealt into hash buckets and numbered in two hash orders
@@ -204,6 +221,7 @@ def permutation_importance(d: DataFrame, names: list[str], repeats: int = 5, buc
     model = _model("boosted", rounds).fit(d.filter("fold <> 0"))
     rid = F.xxhash64("hand_id", "action_index")
     test = d.filter("fold = 0").select(rid.alias("rid"), "y", vector_to_array("x").alias("v"))
+    buckets = max(1, test.count() // 50_000)
     score = lambda df: model.transform(df.withColumn("x", array_to_vector("v"))).select("y", "f", F.round(vector_to_array("probability")[1], 6).alias("p"))
     base = auc(score(test.withColumn("f", F.lit("-"))), F.col("y") == 1, "p").first()["roc_auc"]
     parts = None

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from railbird.operators import ingest, sequence
 from railbird.sources import fixture, handtext
 
+#: The test tables' hands are older than the study.
+YEARS = (1995, 2025)
 Q = "hand_id, dataset, timestamp, year, month, stakes_raw, sb, bb, is_usd, is_cap, is_ante, is_included, is_primary, table_name, max_players, button_seat, num_players_dealt"
 
 
@@ -46,12 +48,12 @@ def ingest_blocks(spark, sf_dir):
 
 
 def ingest_hands(spark, sf_dir):
-    return ingest.hands_of(_ok(spark, sf_dir).filter("status = 'ok'")).select(*Q.split(", "))
+    return ingest.hands_of(_ok(spark, sf_dir).filter("status = 'ok'"), YEARS).select(*Q.split(", "))
 
 
 def ingest_hand_summary(spark, sf_dir):
     cols = "hand_id, num_players_flop, pot_total, rake, board_flop, board_turn, board_river, last_street, had_showdown".split(", ")
-    return ingest.hands_of(_ok(spark, sf_dir).filter("status = 'ok'")).select(*cols)
+    return ingest.hands_of(_ok(spark, sf_dir).filter("status = 'ok'"), YEARS).select(*cols)
 
 
 def ingest_players(spark, sf_dir):
@@ -78,7 +80,7 @@ def ingest_rejects(spark, sf_dir):
 
 
 def ingest_stats(spark, sf_dir):
-    return ingest.slice_stats(_ok(spark, sf_dir))
+    return ingest.slice_stats(_ok(spark, sf_dir), YEARS)
 
 
 def dedupe_first_wins(spark, sf_dir):

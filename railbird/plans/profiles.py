@@ -19,15 +19,15 @@ def _h(spark, sf_dir):
 
 
 def audit_hand_counts(spark, sf_dir):
-    return audits.hand_counts(_h(spark, sf_dir))
+    return audits.hand_counts(_h(spark, sf_dir), years=hq.YEARS)
 
 
 def audit_monthly(spark, sf_dir):
-    return audits.monthly(_h(spark, sf_dir))
+    return audits.monthly(_h(spark, sf_dir), hq.YEARS)
 
 
 def audit_players_dealt(spark, sf_dir):
-    return audits.players_dealt(_h(spark, sf_dir))
+    return audits.players_dealt(_h(spark, sf_dir), hq.YEARS)
 
 
 def audit_dealt_distribution(spark, sf_dir):
@@ -37,7 +37,7 @@ def audit_dealt_distribution(spark, sf_dir):
 
 def audit_unique_players(spark, sf_dir):
     h, p = fixture.hands_players(spark, sf_dir)
-    return audits.unique_players(h, p)
+    return audits.unique_players(h, p, years=hq.YEARS)
 
 
 def _dup(spark, sf_dir):
@@ -61,7 +61,7 @@ YEARS = list(range(1995, 2003))
 
 
 def audit_coverage_matrix(spark, sf_dir):
-    return audits.coverage_matrix(_h(spark, sf_dir), YEARS)
+    return audits.coverage_matrix(_h(spark, sf_dir), YEARS, hq.YEARS)
 
 
 def corpus_metadata(spark, sf_dir):
@@ -150,6 +150,10 @@ def pca_map(spark, sf_dir):
     return outliers.pca(table(spark, sf_dir, "embeddings"))
 
 
+def pca_components(spark, sf_dir):
+    return outliers.pca_loadings(table(spark, sf_dir, "embeddings"))
+
+
 def isolation_forest(spark, sf_dir):
     return outliers.isolation_forest(table(spark, sf_dir, "embeddings"))
 
@@ -168,7 +172,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         audit_hand_counts, audit_monthly, audit_players_dealt, audit_dealt_distribution, audit_unique_players, audit_duplicates_summary, audit_duplicates_by_dataset, audit_duplicates_top, audit_coverage_matrix, corpus_metadata, stratified_pick,
-        check_ranges, check_invariants, check_zero_sum, check_rake_drag, quality_checks, panel_clean, histogram_density, peer_filter, zscores, style_correlation, outlier_reasons, reason_share, pca_map, isolation_forest, lof, outlier_agreement,
+        check_ranges, check_invariants, check_zero_sum, check_rake_drag, quality_checks, panel_clean, histogram_density, peer_filter, zscores, style_correlation, outlier_reasons, reason_share, pca_map, pca_components, isolation_forest, lof, outlier_agreement,
     )
 }
 

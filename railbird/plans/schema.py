@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Names of the tables' enumerations.
 DATASETS = ("NL50", "NL200", "NL5K")
 POSITIONS = ("LJ", "HJ", "CO", "BTN", "SB", "BB")
 EARLY = ("LJ", "HJ", "CO", "BTN")
 STREETS = ("preflop", "flop", "turn", "river")
 POSTS = ("post_sb", "post_bb", "post_ante")
-FIRST_YEAR, LAST_YEAR = 1995, 2025
+#: Years of the study: first and last. Every function that applies them takes others as ``years``.
+STUDY_YEARS = (2011, 2025)
 
 HANDS = (
     "hand_id string, dataset string, timestamp timestamp_ntz, year long, month long, stakes_raw string, sb long, bb long, is_usd boolean, is_cap boolean, "
@@ -27,17 +29,17 @@ ACTIONS = "hand_id string, action_index long, street string, player_name string,
 PARSE_ERRORS = "source_file string, hand_id string, error_type string, message string"
 
 
-def included_audit() -> Column:
+def included_audit(years: tuple[int, int] = STUDY_YEARS) -> Column:
     """The audits' weaker rule: dollars, no cap game, a year of the study."""
-    return F.col("is_usd") & ~F.col("is_cap") & F.col("year").between(FIRST_YEAR, LAST_YEAR)
+    return F.col("is_usd") & ~F.col("is_cap") & F.col("year").between(*years)
 
 
-def included() -> Column:
-    return included_audit() & ~F.col("is_ante") & (F.col("max_players") == 6)
+def included(years: tuple[int, int] = STUDY_YEARS) -> Column:
+    return included_audit(years) & ~F.col("is_ante") & (F.col("max_players") == 6)
 
 
-def primary() -> Column:
-    return included() & (F.col("num_players_dealt") == 6)
+def primary(years: tuple[int, int] = STUDY_YEARS) -> Column:
+    return included(years) & (F.col("num_players_dealt") == 6)
 
 
 def position_rank(position: Column) -> Column:

@@ -10,7 +10,8 @@ from railbird.plans.stored import stored
 from railbird.session import table
 from railbird.sources import decision_log, fixture
 
-FOLDS, LEAST, KS, REPEATS = 5, 50, (1, 5, 10, 25), 5
+#: LEAST_HERE is the least number of decisions on the test tables, where few entities have the LEAST of the study.
+FOLDS, LEAST, LEAST_HERE, KS, REPEATS = 5, 50, 10, (1, 5, 10, 25, 50, 100, 200), 20
 
 
 def _acts(spark, sf_dir):
@@ -59,10 +60,14 @@ def group_kfold(spark, sf_dir):
     return _folds(_labelled(spark, sf_dir))
 
 
+def group_split(spark, sf_dir):
+    return decisions.group_split(_labelled(spark, sf_dir).select("session").distinct())
+
+
 def entity_scores(spark, sf_dir):
     d = _labelled(spark, sf_dir).withColumn("score", F.floor(F.col("size_pot") / (1 + F.col("size_pot")) * 10000).cast("long"))
     e = d.groupBy("player_name", "session").agg(F.count("*").alias("decisions"), (F.sum("score") / 10000.0 / F.count("*")).alias("mean_score"), F.max("label").alias("label"))
-    return e.filter(F.col("decisions") >= 10).withColumn("label", F.col("label").cast("long"))
+    return e.filter(F.col("decisions") >= LEAST_HERE).withColumn("label", F.col("label").cast("long"))
 
 
 def entity_auc(spark, sf_dir):
@@ -91,7 +96,7 @@ def oof_scores(spark, sf_dir):
 
 def oof_entities(spark, sf_dir):
     s = decisions.out_of_fold(_design(spark, sf_dir), ("logistic",), FOLDS)
-    return decisions.entity_scores(s, ["player_name", "session"], "p", "label", 10)
+    return decisions.entity_scores(s, ["player_name", "session"], "p", "label", LEAST_HERE)
 
 
 def feature_ablation(spark, sf_dir):
@@ -121,7 +126,7 @@ def ingest_decision_log(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        decision_features, decision_mix, style_stats, bet_size_histogram, size_buckets, group_kfold, entity_scores, entity_auc, auc_ap, evidence_curve, oof_scores, oof_entities, feature_ablation, permutation_importance, ingest_decision_log,
+        decision_features, decision_mix, style_stats, bet_size_histogram, size_buckets, group_kfold, group_split, entity_scores, entity_auc, auc_ap, evidence_curve, oof_scores, oof_entities, feature_ablation, permutation_importance, ingest_decision_log,
     )
 }
 
@@ -159,7 +164,7 @@ def _auc(src: str, keys: str = "") -> str:
     k = f"{keys}, " if keys else ""
     part = f"PARTITION BY {keys}" if keys else ""
     return f"""c_ AS (SELECT {k}s, sum(y)::BIGINT AS p, count(*) AS n FROM {src} GROUP BY {k}s), w_ AS (SELECT *, coalesce(sum(n) OVER ({part} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n1, coalesce(sum(p) OVER ({part} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p1, sum(p) OVER ({part}) AS tp, sum(n) OVER ({part}) AS tn FROM c_),
-auc_ AS (SELECT {k}max(tn)::BIGINT AS n, max(tp)::BIGINT AS positives, {_r('(sum(p * (2 * n1 + n + 1)) - max(tp) * (max(tp) + 1))::DOUBLE / 2 / nullif((max(tp) * (max(tn) - max(tp)))::DOUBLE, 0)', 6)} AS roc_auc, {_r('sum(p * (tp - p1)::DOUBLE / (tn - n1)) / nullif(max(tp), 0)', 6)} AS avg_precision FROM w_ {f'GROUP BY {keys}' if keys else ''})"""
+auc_ AS (SELECT {k}max(tn)::BIGINT AS n, max(tp)::BIGINT AS positives, {_r('(sum(p * (2 * n1 + n + 1)) - max(tp) * (max(tp) + 1))::DOUBLE / 2 / nullif((max(tp) * (max(tn) - max(tp)))::DOUBLE, 0)', 6)} AS roc_auc, {_r('sum(p * (tp - p1)::DOUBLE / (tn - n1)) / nullif(max(tp), 0)', 6)} AS avg_precision, {_r('sum(CASE WHEN s >= 0.5 THEN p ELSE n - p END)::DOUBLE / max(tn)', 6)} AS accuracy FROM w_ {f'GROUP BY {keys}' if keys else ''})"""
 
 
 _ENT = _A + f", sc AS (SELECT *, floor(size_pot / (1 + size_pot) * 10000)::BIGINT AS score FROM df), en AS (SELECT player_name, session, count(*) AS decisions, sum(score)::DOUBLE / 10000.0 / count(*) AS mean_score, max(label)::BIGINT AS label FROM sc GROUP BY ALL HAVING count(*) >= 10)"
@@ -169,6 +174,7 @@ ORACLES = {
     "style_stats": _A + f", hp AS (SELECT label, hand_id, player_name, bool_or(decision IN ('call', 'raise')) AS v, bool_or(decision = 'raise') AS r FROM df WHERE street = 'preflop' GROUP BY ALL), h2 AS (SELECT label, {_sh('v', 'true')} AS vpip_pct, {_sh('r', 'true')} AS pfr_pct FROM hp GROUP BY label), g AS (SELECT label, {_sh(chr(100) + 'ecision = ' + repr('raise'), 'street = ' + repr('preflop') + ' AND raises_before = 2')} AS three_bet_pct, {_sh('decision = ' + repr('bet'), 'street = ' + repr('flop') + ' AND was_preflop_aggressor AND NOT facing_bet')} AS flop_cbet_pct, {_sh('decision = ' + repr('fold'), 'street = ' + repr('flop') + ' AND facing_bet')} AS fold_to_flop_bet_pct, {_sh('decision = ' + repr('raise'), 'street = ' + repr('flop') + ' AND facing_bet')} AS raise_vs_flop_bet_pct, {_sh('size_pot > 1.05', 'decision IN ' + repr(('bet', 'raise')) + ' AND street <> ' + repr('preflop'))} AS overbet_pct, {_sh('all_in', 'true')} AS all_in_pct FROM df GROUP BY label) SELECT * FROM h2 JOIN g USING (label)",
     "bet_size_histogram": _A + f", b AS (SELECT street, label, {_HIST} AS bin, count(*) AS n FROM df WHERE decision IN ('bet', 'raise') AND street <> 'preflop' GROUP BY ALL) SELECT street, label, bin, n, {_r('n::DOUBLE / (sum(n) OVER (PARTITION BY street, label) * 0.1::DOUBLE)', 6)} AS density FROM b",
     "size_buckets": _A + f" SELECT {_BUCKET} AS bucket, count(*) AS n FROM df GROUP BY ALL",
+    "group_split": _A + " SELECT DISTINCT session, ('0x' || substr(md5('42/' || session), 1, 12))::BIGINT::DOUBLE < 0.2::DOUBLE * 281474976710656.0::DOUBLE AS test FROM df",
     "group_kfold": _A + f", se AS (SELECT session, count(*) AS n FROM df GROUP BY ALL) SELECT session, n, (row_number() OVER (ORDER BY n DESC, session) - 1) % {FOLDS} AS fold FROM se",
     "entity_scores": _ENT + " SELECT player_name, session, decisions, mean_score, label FROM en",
     "entity_auc": _ENT + ", z_ AS (SELECT mean_score AS s, label AS y FROM en), " + _auc("z_") + " SELECT * FROM auc_",

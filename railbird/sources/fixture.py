@@ -2,15 +2,22 @@
 
 A stand-in for parsed hand histories: one hand per order. The sequences are not legal games; the operators
 need only their order. ``SQL`` is the same derivation for DuckDB.
+
+The tables are derived once for a session and folder, written by dataset and year as ingest writes them, and read from there.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railbird.operators.ingest import invested
+from railbird.plans import schema as S
+from railbird.plans.stored import shared_dir
 from railbird.session import table
+from railbird.sources.slices import read_slices, write_slices
 
 LABELS = ("SB", "BB", "LJ", "HJ", "CO", "BTN")
 #: Sources of the pseudo-random numbers of a seat: name -> expression of k and i.
@@ -45,7 +52,7 @@ def seats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.selectExpr("*", "cast(k as string) AS hand_id", "concat('P', (k * 7 + i * 13) % 79) AS player_name", "(i + 4) % 6 AS o")
 
 
-def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derived_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     moves = [
         f"CASE WHEN {cond} THEN named_struct('action_index', cast({idx} as long), 'street', '{street}', 'action_type', {kind}, 'amount', cast({amount} as long)) END"
         for cond, idx, street, kind, amount in MOVES
@@ -54,9 +61,9 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.selectExpr("hand_id", "action_index", "street", "player_name", "action_type", "amount", "cast(null as long) AS to_call", "false AS is_all_in", "cast(null as string) AS raw_line")
 
 
-def hands_players(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def derived_hands_players(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(hands, players); both rest on one aggregation of the actions by hand and player."""
-    per = invested(actions(spark, sf_dir)).withColumnRenamed("folded", "_folded")
+    per = invested(derived_actions(spark, sf_dir)).withColumnRenamed("folded", "_folded")
     s = seats(spark, sf_dir).select("hand_id", "k", "ck", "timestamp", "dataset", "bb", "sb", "i", "player_name").join(per, ["hand_id", "player_name"], "left")
     h = s.groupBy("hand_id").agg(
         *[F.first(c).alias(c) for c in ("k", "ck", "timestamp", "dataset", "bb", "sb")],
@@ -89,12 +96,38 @@ def hands_players(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return hands, players
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
+def folder(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the session's hands, players and actions tables of ``sf_dir``; written at the first call."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        root = f"{shared_dir(spark)}/hands-{uuid.uuid4().hex}"
+        h, p = derived_hands_players(spark, sf_dir)
+        write_slices(h, f"{root}/hands")
+        # Players and actions lie in the slice of their hand; its columns come from the small hands table.
+        of = read_slices(spark, f"{root}/hands").select("hand_id", "dataset", "year")
+        write_slices(p.join(of, "hand_id"), f"{root}/players")
+        write_slices(derived_actions(spark, sf_dir).join(of, "hand_id"), f"{root}/actions")
+        _written[key] = root
+    return _written[key]
+
+
 def hands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hands_players(spark, sf_dir)[0]
+    return read_slices(spark, f"{folder(spark, sf_dir)}/hands")
 
 
 def players(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hands_players(spark, sf_dir)[1]
+    return read_slices(spark, f"{folder(spark, sf_dir)}/players", S.PLAYERS + ", dataset string, year long").drop("dataset", "year")
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_slices(spark, f"{folder(spark, sf_dir)}/actions", S.ACTIONS + ", dataset string, year long").drop("dataset", "year")
+
+
+def hands_players(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return hands(spark, sf_dir), players(spark, sf_dir)
 
 
 def with_duplicates(h: DataFrame) -> DataFrame:
@@ -119,19 +152,19 @@ SQL = (
     """w AS (SELECT *, CASE WHEN action_type IN ('post_sb', 'post_bb', 'call', 'bet') THEN amount ELSE 0 END AS b, CASE WHEN action_type = 'raise' THEN amount END AS a FROM actions),
 x AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY hand_id, player_name, street ORDER BY action_index DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM w),
 st AS (SELECT hand_id, player_name, street, greatest(sum(b), coalesce(max(a + later), 0)) AS inv, bool_or(action_type = 'fold') AS folded, bool_or(street = 'flop' AND action_type <> 'fold') AS on_flop FROM x GROUP BY ALL),
-pl AS (SELECT hand_id, player_name, sum(inv) AS invested, bool_or(folded) AS folded, bool_or(on_flop) AS on_flop, bool_or(street = 'flop') AS saw_flop, bool_or(street = 'turn') AS saw_turn, bool_or(street = 'river') AS saw_river FROM st GROUP BY ALL),
-h0 AS (SELECT hand_id, any_value(k) AS k, any_value(ck) AS ck, any_value(timestamp) AS timestamp, any_value(dataset) AS dataset, any_value(bb) AS bb, any_value(sb) AS sb, sum(invested)::BIGINT AS pot, count(*) AS dealt,
+pl AS MATERIALIZED (SELECT hand_id, player_name, sum(inv) AS invested, bool_or(folded) AS folded, bool_or(on_flop) AS on_flop, bool_or(street = 'flop') AS saw_flop, bool_or(street = 'turn') AS saw_turn, bool_or(street = 'river') AS saw_river FROM st GROUP BY ALL),
+h0 AS MATERIALIZED (SELECT hand_id, any_value(k) AS k, any_value(ck) AS ck, any_value(timestamp) AS timestamp, any_value(dataset) AS dataset, any_value(bb) AS bb, any_value(sb) AS sb, sum(invested)::BIGINT AS pot, count(*) AS dealt,
   count(*) FILTER (on_flop) AS on_flop, bool_or(saw_flop) AS saw_flop, bool_or(saw_turn) AS saw_turn, bool_or(saw_river) AS saw_river, coalesce(min(i) FILTER (NOT folded), 1) AS winner, count(*) FILTER (NOT folded) AS nleft
   FROM s1 JOIN pl USING (hand_id, player_name) GROUP BY hand_id),
 h1 AS (SELECT *, (CASE WHEN saw_flop THEN least(pot // 20, 3 * bb) ELSE 0 END)::BIGINT AS rake FROM h0),
-hands AS (SELECT hand_id, dataset, timestamp, year(timestamp) AS year, month(timestamp) AS month,
+hands AS MATERIALIZED (SELECT hand_id, dataset, timestamp, year(timestamp) AS year, month(timestamp) AS month,
   CASE WHEN k % 23 <> 5 THEN '$' || printf('%.2f', sb / 100.0) || '/$' || printf('%.2f', bb / 100.0) || ' USD' ELSE '€' || printf('%.2f', sb / 100.0) || '/€' || printf('%.2f', bb / 100.0) || ' EUR' END || CASE WHEN k % 17 = 3 THEN ' Cap' ELSE '' END AS stakes_raw,
   sb, bb, k % 23 <> 5 AS is_usd, k % 17 = 3 AS is_cap, k % 41 = 7 AS is_ante, k % 23 <> 5 AND k % 17 <> 3 AND k % 41 <> 7 AS is_included, k % 23 <> 5 AND k % 17 <> 3 AND k % 41 <> 7 AND k % 10 <> 7 AS is_primary,
   'T' || (ck % 50) AS table_name, 6::BIGINT AS max_players, 6::BIGINT AS button_seat, dealt AS num_players_dealt, CASE WHEN saw_flop THEN on_flop ELSE 0 END AS num_players_flop, pot AS pot_total, rake,
   CASE WHEN saw_flop THEN '[Ah Kd 7c]' END AS board_flop, CASE WHEN saw_turn THEN '2s' END AS board_turn, CASE WHEN saw_river THEN '9h' END AS board_river,
   CASE WHEN saw_river AND nleft >= 2 THEN 'showdown' WHEN saw_river THEN 'river' WHEN saw_turn THEN 'turn' WHEN saw_flop THEN 'flop' ELSE 'preflop' END AS last_street, saw_river AND nleft >= 2 AS had_showdown,
   dataset || '/' || year(timestamp) || '/' || dataset || '-' || year(timestamp) || '-' || (k % 4) || '.txt' AS source_file FROM h1),
-players AS (SELECT s1.hand_id, s1.player_name, i + 1 AS seat, ['SB', 'BB', 'LJ', 'HJ', 'CO', 'BTN'][i + 1] AS position, 100 * h1.bb AS stack_start,
+players AS MATERIALIZED (SELECT s1.hand_id, s1.player_name, i + 1 AS seat, ['SB', 'BB', 'LJ', 'HJ', 'CO', 'BTN'][i + 1] AS position, 100 * h1.bb AS stack_start,
   (CASE WHEN i = winner THEN pot - rake + CASE WHEN h1.k % 97 = 0 THEN 100 ELSE 0 END ELSE 0 END - invested)::BIGINT AS net_won,
   CASE WHEN h1.saw_river AND nleft >= 2 AND i = winner THEN '2c' END AS hole_card_1, CASE WHEN h1.saw_river AND nleft >= 2 AND i = winner THEN '3d' END AS hole_card_2, h1.saw_river AND nleft >= 2 AND i = winner AS showed_hand, false AS is_hero
   FROM s1 JOIN pl USING (hand_id, player_name) JOIN h1 ON h1.hand_id = s1.hand_id)"""

@@ -6,34 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railbird.operators import ingest
+from railbird.plans.stored import forget, stored
+from railbird.sources import handtext
 
 
 def ingest_new_files(spark: SparkSession, root: str, out: str, checkpoint: str, max_files: int | None = None) -> None:
     """Parse the files under ``root`` that no earlier run has read and append their hands to ``out/hands``.
 
     A file-source query with availableNow keeps the list of read files in ``checkpoint``. Hands whose id is
-    already in the table go to ``out/parse_errors`` as duplicates, rejected blocks as parse errors. A batch that is
-    run again after a failure writes to the same folder and replaces what it wrote before.
+    already in the table go to ``out/parse_errors`` as duplicates, rejected blocks and files that are no text as errors. A batch that
+    is run again after a failure writes to the same folder and replaces what it wrote before; the folder is named by the
+    query's id (kept in the checkpoint) and the batch, so a new checkpoint never overwrites what an earlier one wrote.
     """
-    reader = spark.readStream.schema("value string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    files = reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
+    files = reader.load(root).select(F.col("path").alias("source_file"), F.try_validate_utf8(F.col("content").cast("string")).alias("value"))
 
     def batch(df: DataFrame, number: int) -> None:
-        p = ingest.parsed(ingest.folder_fields(ingest.blocks(df)))
+        query = spark.read.text(f"{checkpoint}/metadata").first()["value"].split('"')[3]
+        name = f"{query}-{number}"
+        # Parsed once for all that is written of it.
+        p = stored(ingest.parsed(ingest.folder_fields(ingest.blocks(df))))
         hands = ingest.first_wins(_with_block(p))
         try:
-            known = spark.read.parquet(f"{out}/hands").filter(F.col("batch") != number).select("hand_id")
+            known = spark.read.parquet(f"{out}/hands").filter(F.col("batch") != name).select("hand_id")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             known = hands.select("hand_id").limit(0)
         fresh = hands.join(known, "hand_id", "left_anti").drop("block_no")
         again = hands.join(known, "hand_id", "left_semi").select("source_file", "hand_id", F.lit("duplicate").alias("error_type"), F.lit("seen before").alias("message"))
-        errors = ingest.rejects(p).unionByName(again).unionByName(ingest.duplicates(_with_block(p)))
-        fresh.write.mode("overwrite").parquet(f"{out}/hands/batch={number}")
-        errors.write.mode("overwrite").parquet(f"{out}/parse_errors/batch={number}")
+        errors = ingest.rejects(p).unionByName(handtext.unreadable(df)).unionByName(again).unionByName(ingest.duplicates(_with_block(p)))
+        fresh.write.mode("overwrite").parquet(f"{out}/hands/batch={name}")
+        errors.write.mode("overwrite").parquet(f"{out}/parse_errors/batch={name}")
+        forget(p)
 
     q = files.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(batch).start()
     q.awaitTermination()

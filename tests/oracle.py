@@ -37,3 +37,4 @@ def compare(spark, name, query, sql, sf_dir):
     want = rows(list(rel.columns), rel.fetchall())
     assert got[1] == want[1], name
     assert got[0] == want[0], name
+    return len(want[0])

@@ -114,6 +114,41 @@ def test_files_slices_and_increments(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "report")).first().n == "2"
 
 
+def test_unreadable_files_and_new_checkpoints(spark, tmp_path):
+    root = tmp_path / "corpus" / "NL50" / "2014"
+    root.mkdir(parents=True)
+    (root / "a.txt").write_text(FULL)
+    (root / "bad.txt").write_bytes(b"PokerStars Hand #9: \xff\xfe\xff")
+    t = handtext.read_texts(spark, str(tmp_path / "corpus"))
+    assert [r.source_file.rpartition("/")[2] for r in handtext.unreadable(t).collect()] == ["bad.txt"]
+    out = str(tmp_path / "out")
+    ingest_new_files(spark, str(tmp_path / "corpus"), out, str(tmp_path / "cp1"))
+    errors = lambda: sorted((r.error_type, r.hand_id) for r in spark.read.parquet(f"{out}/parse_errors").collect())
+    assert errors() == [("read_error", None)]
+    # Another checkpoint reads the files again and must not overwrite what the first one wrote.
+    (root / "c.txt").write_text(WALK)
+    ingest_new_files(spark, str(tmp_path / "corpus"), out, str(tmp_path / "cp2"))
+    assert sorted(r.hand_id for r in spark.read.parquet(f"{out}/hands").collect()) == ["1", "2"]
+    assert ("duplicate", "1") in errors()
+
+
+def test_tables_are_read_as_slices(spark, sf):
+    from railbird.plans import hands
+    from railbird.sources import fixture
+
+    assert fixture.folder(spark, sf) == fixture.folder(spark, sf)
+    plan = hands.scan_pruned(spark, sf)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(dataset" in plan
+    assert fixture.players(spark, sf).join(fixture.hands(spark, sf), "hand_id", "left_anti").count() == 0
+
+
+def test_study_years(spark):
+    from railbird.plans import schema
+
+    h = spark.createDataFrame([(2010,), (2011,), (2025,)], "year long").selectExpr("year", "true is_usd", "false is_cap")
+    assert h.filter(schema.included_audit()).count() == 2 and h.filter(schema.included_audit((1995, 2025))).count() == 3
+
+
 def test_decision_log(spark):
     logs = spark.createDataFrame([("h", "players = ['A']\nactions = ['d dh p1 AsKs', 'p1 cbr 250', 'p2 f']\n"), ("g", "nothing")], "hand string, value string")
     assert [(r.step, r.action) for r in decision_log.read_actions(logs).orderBy("step").collect()] == [(0, "d dh p1 AsKs"), (1, "p1 cbr 250"), (2, "p2 f")]

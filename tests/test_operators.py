@@ -124,3 +124,52 @@ def test_models_have_the_rounds_of_the_survey():
     of = lambda f, name: inspect.signature(f).parameters[name].default
     assert of(decisions.out_of_fold, "rounds") == of(decisions.permutation_importance, "rounds") == 300
     assert of(decisions.permutation_importance, "repeats") == 5
+
+
+def test_group_folds_and_split(spark):
+    rows = [(f"s{i:03d}", i % 7) for i in range(200)]
+    g = spark.createDataFrame(rows, "session string, n long").repartition(9)
+    want = {s: k % 5 for k, (s, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    assert {r.session: r.fold for r in decisions.group_folds(g).collect()} == want
+    test = [r.test for r in decisions.group_split(g).collect()]
+    assert 20 <= sum(test) <= 60 and len(test) == 200
+
+
+def test_accuracy_of_scores(spark):
+    d = spark.createDataFrame([(0.9, 1), (0.5, 0), (0.4, 0), (0.2, 1)], "p double, y int")
+    r = decisions.auc(d, F.col("y"), "p").first()
+    assert r.accuracy == 0.5 and r.n == 4 and decisions.auc(d, F.col("y"), "p", threshold=0.6).first().accuracy == 0.75
+
+
+def test_vectors_that_are_null_or_ragged(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)] + [(100, None), (101, [1.0]), (102, [1.0, None, 2.0, 3.0]), (103, [float("nan")] * 4), (104, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    pc = {r.vec_id: r for r in outliers.pca(df).collect()}
+    assert len(pc) == 65 and pc[0].pc1 is not None and all(pc[i].pc1 is None for i in range(100, 105))
+    x = outliers.isolation_forest(df, trees=10, sample=16).collect()
+    assert len(x) == 65 and sum(r.iso_score is None for r in x) == 5
+    assert outliers.nearest(df, 3).select("id").distinct().count() == 60
+    load = outliers.pca_loadings(df).collect()
+    assert len(load) == 8 and 0 < sum({r.component: r.explained for r in load}.values()) <= 1
+    none = df.filter("vec_id >= 100")
+    assert outliers.pca(none).filter("pc1 is not null").count() == 0 and outliers.isolation_forest(none, trees=2).count() == 5
+
+
+def test_isolation_forest_samples_follow_a_share_of_all_hashes(spark):
+    df = spark.range(4000).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
+    r = outliers.isolation_forest(df.unionByName(spark.createDataFrame([(9999, [50.0, 50.0])], "vec_id long, embedding array<double>")), trees=20, sample=64)
+    top = r.orderBy(F.desc("iso_score")).first()
+    assert top.vec_id == 9999 and top.iso_flag
+
+
+def test_nearest_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(90, 3)), 1)
+    x[40:60] = x[40]  # equal rows: ties go to the smaller id
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.id, r.rank): r.other for r in outliers.nearest(df, 4, block=32).collect()}
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    for i in range(90):
+        order = sorted((j for j in range(90) if j != i), key=lambda j: (d[i, j], j))[:4]
+        assert [got[i, k + 1] for k in range(4)] == order

@@ -14,11 +14,15 @@ def test_every_sql_has_a_query():
     assert set(O) <= set(Q)
 
 
+#: Their least numbers of hands leave nothing of the smallest tables.
+LARGER = {"player_year", "player_dispersion", "bb100_dispersion", "player_stayers", "pairs_export", "pairs_players", "peer_filter", "zscores", "outlier_reasons", "reason_share"}
+
+
 @pytest.mark.parametrize("name", sorted(O))
 def test_same_rows(spark, sf, name):
-    compare(spark, name, Q[name], O[name], sf)
+    assert compare(spark, name, Q[name], O[name], sf.replace("sf0.001", "sf0.01") if name in LARGER else sf) > 0
 
 
-@pytest.mark.parametrize("name", ["pca_map", "isolation_forest", "outlier_agreement"])
+@pytest.mark.parametrize("name", ["pca_map", "pca_components", "isolation_forest", "outlier_agreement"])
 def test_runs(spark, sf, name):
     assert Q[name](spark, sf).count() > 0
