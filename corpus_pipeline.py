@@ -15,30 +15,49 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go."""
+    """Documents that the toxicity score rejects go.
+
+    Null and empty texts match nothing and stay. Repeated rows score alike: all stay or all go. An empty table, or one without
+    labels, learns nothing and keeps every text without a seed insult. All columns are kept, whatever their names.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.clean(docs, toxicity.learn(docs, labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
+    """One document of each group of near copies stays: the one with the smallest id.
+
+    Null texts and texts without a word are no copies and stay. Rows that repeat the smallest id with the same words stay
+    once. A null id stays only where its group has no other. All columns are kept, whatever their names.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data give way to the name of their kind."""
+    """Personal data give way to the name of their kind; n_chars follows the text.
+
+    Null and empty texts stay as they are (n_chars null and 0), repeated rows stay, very long texts take linear time. All
+    columns are kept, whatever their names; without a column n_chars none is added.
+    """
     masked = pii.detect(docs, pii.learn(docs), redact=True)
     return masked.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it.
+
+    Null and empty texts have no size and are not taken. Of repeated rows as many are taken as the target asks for. A null source is a
+    source of its own. All columns are kept, whatever their names.
+    """
     mixed = mixing.mix(docs).filter("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    return mixed.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the decoded text."""
+    """Token ids of every document, with digests of the ids and of the decoded text.
+
+    Null and empty texts are the begin and end id. Repeated rows stay; other columns are not carried.
+    """
     return sp_tokens.encode(docs, tokenizer_file(), with_text=False)
 
 

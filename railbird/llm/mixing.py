@@ -8,7 +8,7 @@ ratio of random odds to inclusion odds, ``Q = (U/(1-U)) / (p/(1-p))``; documents
 order of Q until the source's missing words are reached (Rosen 1997). U comes from a digest of the
 id, so a rerun draws the same documents.
 
-The cut in that order is found by two rounds of binned sums and one exact window over the documents
+The cut in that order is found by two rounds of binned sums and one exact window over the distinct places
 of a single bin, so no source, however large, meets in one task.
 """
 
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from railbird.llm.common import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating; null is the last source.
 WEIGHTS = (5, 2, 1)
@@ -74,12 +76,16 @@ def _with_sources(docs: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _drawn(docs: DataFrame, id_col: str, text: str, source: str, seed: str) -> DataFrame:
-    """Adds _source, _size, _p (10-bit square root of the size), _u and _tie."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    """(doc, _source, _size, _p, _u, _id, _tie): doc holds all columns of a row; _p is the 10-bit square root of the size."""
+    tie = F.md5(F.coalesce(F.col(text), F.lit("")))
+    # Rows without an id draw by their text, so that they are sampled too.
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), tie))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed), key)), 1, 12), 16, 10).cast("double") + 0.5
-    return docs.withColumns(
-        {"_source": F.col(source), "_size": word_count(F.col(text)), "_u": u / F.lit(float(2**48)), "_id": key, "_tie": F.md5(F.coalesce(F.col(text), F.lit("")))}
-    ).withColumn("_p", F.floor(F.sqrt(F.col("_size").cast("double")) * 1024).cast("long"))
+    d = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(source).alias("_source"), word_count(F.col(text)).alias("_size"),
+        (u / F.lit(float(2**48))).alias("_u"), key.alias("_id"), tie.alias("_tie"),
+    )
+    return d.withColumn("_p", F.floor(F.sqrt(F.col("_size").cast("double")) * 1024).cast("long"))
 
 
 def _place(rate: Column) -> Column:
@@ -97,19 +103,43 @@ def _boundary(binned: DataFrame, bin_col: str) -> DataFrame:
     return c.groupBy("_source").agg(F.min(F.struct(F.col(bin_col), (F.col("_cum") - F.col("_words")).alias("before"))).alias("_b"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix-1") -> DataFrame:
-    """``docs`` + size, source_size, target, copies, taken (all rows stay; copies is 0 or more).
+def _cut(last: DataFrame) -> DataFrame:
+    """(source, cut of (_v, _id, _tie, k, n)): the last place taken from; of its n equal rows k are taken.
 
-    Null and empty texts have size 0 and take nothing. A null source is a source of its own. Repeated
-    rows draw the same number and stay next to each other in the order; equal places are ordered by
-    id and text digest. An empty table gives an empty result. No document is taken more than
-    ``MOST_COPIES`` times. Names that begin with ``_`` and the five result names are ours.
+    Equal places (repeated rows) are one row with a count, so they do not meet one by one.
     """
-    from railbird.llm.common import stored
+    at = last.groupBy("_source", "_v", "_id", "_tie").agg(F.first("_size").alias("s"), F.count("*").alias("n"), F.first("missing").alias("missing"))
+    order = W.partitionBy("_source").orderBy("_v", "_id", "_tie").rowsBetween(W.unboundedPreceding, -1)
+    at = at.withColumn("before", F.coalesce(F.sum(F.col("s") * F.col("n")).over(order), F.lit(0)))
+    # The j-th of the rows is taken if that brings the sum nearer to what is missing.
+    nearer = lambda j: (F.col("missing") - (F.col("before") + (j - 1) * F.col("s")).cast("double")) >= ((F.col("before") + j * F.col("s")).cast("double") - F.col("missing"))
+    j = F.floor((F.col("missing") - F.col("before")) / F.col("s") + 0.5)
+    k = F.when(nearer(j + 1), j + 1).when(nearer(j), j).otherwise(j - 1)
+    at = at.withColumn("k", F.least(F.greatest(k, F.lit(0)), F.col("n"))).filter("k > 0")
+    return at.groupBy(F.col("_source").alias("source")).agg(F.max(F.struct("_v", "_id", "_tie", "k", "n")).alias("cut"))
+
+
+def _first_of_equals(edge: DataFrame) -> DataFrame:
+    """``edge`` (rows that share their source's cut) with _chosen for cut.k of them; numbered task by task, so no task sees them all."""
+    edge = stored(edge.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id()))
+    parts = edge.groupBy("_source", "_part").agg(F.count("*").alias("_c"))
+    earlier = W.partitionBy("_source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(F.col("_source").alias("_s"), F.col("_part").alias("_t"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_offset"))
+    nth = F.row_number().over(W.partitionBy("_source", "_part").orderBy("_nth"))
+    j = edge.withColumn("_nth", nth).join(parts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_t")))
+    return j.withColumn("_chosen", F.col("_offset") + F.col("_nth") <= F.col("cut.k")).drop("_s", "_t", "_part", "_nth", "_offset")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix-1") -> DataFrame:
+    """(doc, size, source_size, target, copies, taken) for every row of ``docs``; copies is 0 or more.
 
-    ours = ("size", "source_size", "target", "copies", "taken")
-    keep = [c for c in docs.columns if c not in ours]
-    d = _drawn(docs.select(*keep), id_col, text, source, seed)
+    doc is a struct of all columns of ``docs``, so names of its columns cannot clash with ours. Null and empty
+    texts have size 0 and take nothing. A null source is a source of its own. Rows without an id draw by a digest of their
+    text. Equal places are ordered by id and text digest; repeated rows share a place, and as many of
+    them are taken as bring the source nearest to its target (which of them is open, as they are equal in id, text and source). An
+    empty table gives an empty result. No document is taken more than ``MOST_COPIES`` times.
+    """
+    d = _drawn(docs, id_col, text, source, seed)
     # One pass over the texts; what the draw needs of a row is a few numbers and a digest.
     drawn = stored(d.select("_source", "_size", "_p", "_u", "_id", "_tie"))
     sizes = drawn.groupBy(F.col("_source").alias("source")).agg(
@@ -127,30 +157,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     two = inside.groupBy("_source", "_b2").agg(F.sum("_size").alias("_words"), F.first("missing").alias("missing"))
     b2 = _boundary(two, "_b2").select(F.col("_source").alias("source"), F.col("_b._b2").alias("c2"), F.col("_b.before").alias("w2"))
     last = _with_sources(inside, b2).filter("_b2 = c2").withColumn("missing", F.col("missing") - F.col("w2"))
-    order = W.partitionBy("_source").orderBy("_v", "_id", "_tie").rowsBetween(W.unboundedPreceding, 0)
-    cum = F.sum("_size").over(order)
-    last = last.withColumn("_cum", cum).filter(
-        (F.col("missing") - (F.col("_cum") - F.col("_size")).cast("double")) >= (F.col("_cum").cast("double") - F.col("missing"))
-    )
-    cut = last.groupBy(F.col("_source").alias("source")).agg(F.max(F.struct("_v", "_id", "_tie")).alias("cut"))
-    for extra in (b2.select("source", "c2"), cut):
+    for extra in (b2.select("source", "c2"), _cut(last)):
         at = at.join(extra, at["source"].eqNullSafe(extra["source"]), "left").drop(extra["source"])
-    out = _with_sources(d, stored(at)).withColumn("_v", _place(F.col("rate")))
+    at = stored(at)
+    out = _with_sources(d, at).withColumn("_v", _place(F.col("rate")))
     b = F.floor(F.col("_v") * BINS)
     bb = F.floor((F.col("_v") * BINS - b) * BINS)
-    within = (bb < F.col("c2")) | ((bb == F.col("c2")) & (F.struct("_v", "_id", "_tie") <= F.col("cut")))
-    chosen = (F.col("missing") > 0) & (F.col("_size") > 0) & ((b < F.col("c1")) | ((b == F.col("c1")) & within))
-    out = out.withColumn("copies", F.col("whole") + F.coalesce(chosen, F.lit(False)).cast("long"))
-    return out.select(
-        *[F.col(c) for c in keep], F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken")
-    )
+    key, cut = F.struct("_v", "_id", "_tie"), F.struct("cut._v", "cut._id", "cut._tie")
+    within = (bb < F.col("c2")) | ((bb == F.col("c2")) & (key <= cut))
+    wanted = (F.col("missing") > 0) & (F.col("_size") > 0)
+    out = out.withColumn("_chosen", F.coalesce(wanted & ((b < F.col("c1")) | ((b == F.col("c1")) & within)), F.lit(False)))
+    if at.filter("cut.k < cut.n").limit(1).count():
+        split = F.coalesce(F.col("_chosen") & (F.col("cut.k") < F.col("cut.n")) & (key == cut), F.lit(False))
+        out = out.filter(~split).unionByName(_first_of_equals(out.filter(split)))
+    out = out.withColumn("copies", F.col("whole") + F.col("_chosen").cast("long"))
+    return out.select("doc", F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         (('0x' || substr(md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u,
-         md5(coalesce(text, '')) AS tie, coalesce(CAST(doc_id AS VARCHAR), '') AS id
+         (('0x' || substr(md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u,
+         md5(coalesce(text, '')) AS tie, coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, ''))) AS id
   FROM documents),
 p AS (SELECT *, floor(sqrt(size::DOUBLE) * 1024)::BIGINT AS p FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, sum((p * size)::HUGEINT)::DOUBLE AS spread FROM p GROUP BY source),

@@ -46,7 +46,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,8 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pictures = media.pictures(_table(spark, sf_dir, "embeddings"))
-    return media.copies(pictures).withColumnRenamed("image_id", "vec_id")
+    vectors = _table(spark, sf_dir, "embeddings")
+    return media.copies(media.pictures(vectors), number=vectors.count()).withColumnRenamed("image_id", "vec_id")
 
 
 def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
