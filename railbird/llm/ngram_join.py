@@ -4,8 +4,10 @@
    band and row counts are chosen for a target recall at the threshold (``choose_bands``). Texts
    with the same words are one class from here on, so exact copies cost nothing.
 2. Classes are shuffled on their band hashes; each bucket gives a star of candidate links, whose connected
-   components are the candidate clusters.
-3. A cluster is dealt into blocks of bounded size, and every pair of blocks is one row that compares the full
+   components are the candidate clusters. A cluster of one block is compared as a whole. A larger one is compared as a whole or
+   bucket by bucket, whichever moves fewer texts, so that chains of chance candidates do not multiply the work; a pair that shares
+   several buckets counts in the one of its lowest band.
+3. What is compared is dealt into blocks of bounded size, and every pair of blocks is one row that compares the full
    n-gram sets of its members. It gives a link count per member and a spanning forest of
    the links, never the pairs themselves.
 4. Components of the forests are the final classes.
@@ -24,8 +26,8 @@ from railbird.llm.common import min_label_components, sliced, stored
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.999
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A block holds about so many classes and so many words.
-BLOCK_DOCS, BLOCK_WORDS = 64, 300_000
+#: A block holds about so many classes and so many words. A group of B blocks moves B * B / 2 of them.
+BLOCK_DOCS, BLOCK_WORDS = 512, 1_000_000
 #: Columns of the membership matrix that are multiplied at a time.
 SLICE = 8192
 _U = np.uint64
@@ -125,20 +127,22 @@ def compare(sets: list[np.ndarray], split: int, threshold: float) -> np.ndarray:
     col, which = place[col[keep]], which[keep]
     order = np.argsort(col, kind="stable")
     col, which = col[order], which[order]
-    inter = np.zeros((m, m), np.float32)
+    cut = split if 0 < split < m else 0  # rows before it meet those after it; without it all meet all
+    inter = np.zeros((cut or m, m - cut), np.float32)
     total = int(often.sum())
     for lo in range(0, total, SLICE):
         s, e = np.searchsorted(col, [lo, lo + SLICE])
         x = np.zeros((m, min(SLICE, total - lo)), np.float32)
         x[which[s:e], col[s:e] - lo] = 1
-        inter += x @ x.T
+        inter += x[: cut or m] @ x[cut:].T
     inter = np.rint(inter).astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - inter
-    linked = (union > 0) & (inter >= threshold * union - 1e-9)
-    np.fill_diagonal(linked, False)
-    if 0 < split < m:
-        linked[:split, :split] = False
-        linked[split:, split:] = False
+    union = sizes[: cut or m, None] + sizes[None, cut:] - inter
+    near = (union > 0) & (inter >= threshold * union - 1e-9)
+    if not cut:
+        np.fill_diagonal(near, False)
+        return near
+    linked = np.zeros((m, m), bool)
+    linked[:cut, cut:], linked[cut:, :cut] = near, near.T
     return linked
 
 
@@ -153,28 +157,43 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _verifier(n: int, threshold: float):
-    def members(chunk: pa.Scalar) -> tuple[list[int], list[int], list[np.ndarray]]:
+def only_lowest(linked: np.ndarray, bands: np.ndarray, bucket: int) -> np.ndarray:
+    """``linked`` without the pairs that share a bucket of a lower band than that of ``bucket``."""
+    own = int((bands[0] == bucket).argmax())
+    for band in range(own):
+        linked = linked & (bands[:, band, None] != bands[None, :, band])
+    return linked
+
+
+def _verifier(n: int, threshold: float, by_bucket: bool):
+    def members(chunk: pa.Scalar) -> tuple[list[int], list[int], list[np.ndarray], np.ndarray]:
         items = chunk.values
         off = items.field("h").offsets.to_numpy().astype(np.int64)
         values = items.field("h").values.to_numpy(zero_copy_only=False).view(np.uint64)
         h, goff = ngrams(values[off[0] : off[-1]], off - off[0], n)
-        return items.field("node").to_pylist(), items.field("mult").to_pylist(), [h[goff[i] : goff[i + 1]] for i in range(len(goff) - 1)]
+        bands = np.zeros((len(items), 0), np.int64)
+        if by_bucket:
+            b = items.field("bands")
+            at = b.offsets.to_numpy()
+            bands = b.values.to_numpy()[at[0] : at[-1]].reshape(len(items), -1)
+        return items.field("node").to_pylist(), items.field("mult").to_pylist(), [h[goff[i] : goff[i + 1]] for i in range(len(goff) - 1)], bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 16, 1 << 20):
             node: list[int] = []
             links: list[int] = []
             other: list[int | None] = []
             for i in range(b.num_rows):
-                nodes, mult, sets = members(b.column("ma")[i])
+                nodes, mult, sets, bands = members(b.column("ma")[i])
                 split = len(nodes)
                 if b.column("mb")[i].is_valid:
-                    n2, m2, s2 = members(b.column("mb")[i])
-                    nodes, mult, sets = nodes + n2, mult + m2, sets + s2
+                    n2, m2, s2, b2 = members(b.column("mb")[i])
+                    nodes, mult, sets, bands = nodes + n2, mult + m2, sets + s2, np.concatenate([bands, b2])
                 if len(nodes) < 2:
                     continue
                 linked = compare(sets, split, threshold)
+                if by_bucket:
+                    linked = only_lowest(linked, bands, b.column("cluster")[i].as_py())
                 count = linked @ np.array(mult, np.int64)
                 root = forest(linked)
                 for k in np.flatnonzero(count):
@@ -200,8 +219,24 @@ def block_pairs(members: DataFrame, sizes: DataFrame, payload: list[str]) -> Dat
     # One row per pair of blocks, so joins on (cluster, block) are as even as the blocks are.
     j = tasks.filter("block < block2").join(blocks.withColumnRenamed("m", "ma"), ["cluster", "block"])
     j = j.join(blocks.select("cluster", F.col("block").alias("block2"), F.col("m").alias("mb")), ["cluster", "block2"])
-    same = blocks.select(F.col("m").alias("ma"), F.lit(None).cast(blocks.schema["m"].dataType).alias("mb"))
-    return same.filter(F.size("ma") > 1).unionByName(j.select("ma", "mb"))
+    same = blocks.select("cluster", F.col("m").alias("ma"), F.lit(None).cast(blocks.schema["m"].dataType).alias("mb"))
+    return same.filter(F.size("ma") > 1).unionByName(j.select("cluster", "ma", "mb"))
+
+
+def _blocks_of(count: str, words: str):
+    return F.greatest(F.ceil(F.col(count) / BLOCK_DOCS), F.ceil(F.col(words) / BLOCK_WORDS)).cast("int")
+
+
+def bucket_plan(large: DataFrame, entries: DataFrame) -> DataFrame:
+    """(cluster, bucket, blocks) of the clusters that are compared bucket by bucket, as that moves fewer classes than comparing them whole.
+
+    ``large(cluster, c, blocks)`` are the clusters of several blocks, ``entries(cluster, bucket, node, words)`` their members' buckets.
+    """
+    b = entries.groupBy("cluster", "bucket").agg(F.count("*").alias("n"), F.sum("words").alias("s")).filter("n > 1")
+    b = stored(b.select("cluster", "bucket", "n", _blocks_of("n", "s").alias("blocks")))
+    cost = b.groupBy("cluster").agg(F.sum(F.col("n") * F.col("blocks")).alias("cost"))
+    better = large.join(cost, "cluster").filter(F.col("cost") < F.col("c") * F.col("blocks")).select("cluster")
+    return b.join(better, "cluster", "left_semi").select("cluster", "bucket", "blocks")
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -230,7 +265,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     cand = stored(clusters.join(classes.select("node", "id", "key", "mult", "words"), "node"))
     sizes = cand.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("words").alias("s"))
     # Stored, as the minima below: both sides of the joins are then dealt out for them alone, and AQE can split a hot key.
-    sizes = stored(sizes.select("cluster", F.greatest(F.ceil(F.col("c") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_WORDS)).cast("int").alias("blocks")))
+    sizes = stored(sizes.select("cluster", "c", _blocks_of("c", "s").alias("blocks")))
     # One row of each candidate class, that of its smallest id, brings the words. Both joins of texts with ids are merge joins
     # at every size: the ids grow with the corpus, so a plan that broadcasts them on small inputs says nothing about large ones.
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(cand.hint("merge"), F.col("id").eqNullSafe(F.col("_id")))
@@ -238,7 +273,21 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     texts = texts.withColumn("w", words_of(F.col("text"))).filter(F.instr(F.md5(F.concat_ws(" ", "w")), F.col("key")) == 1)
     members = texts.select("cluster", "node", "mult", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     members = members.groupBy("cluster", "node", "mult").agg(F.first("h").alias("h"))
-    found = stored(block_pairs(members, sizes, ["mult", "h"]).mapInArrow(_verifier(n, threshold), "node long, links long, other long"))
+    schema = "node long, links long, other long"
+    large = sizes.filter("blocks > 1")
+    if large.limit(1).count():
+        members = stored(members)
+        own = cand.join(large.select("cluster"), "cluster", "left_semi").select("cluster", "node", "words")
+        entries = own.join(classes.select("node", "bands"), "node").select("cluster", "node", "words", F.explode(F.array_distinct("bands")).alias("bucket"))
+        plan = stored(bucket_plan(large, entries))
+        some = entries.join(plan.select("cluster", "bucket"), ["cluster", "bucket"], "left_semi").select("bucket", "node")
+        by_bucket = some.join(members, "node").join(classes.select("node", "bands"), "node").select(F.col("bucket").alias("cluster"), "node", "mult", "bands", "h")
+        by_bucket = block_pairs(by_bucket, plan.select(F.col("bucket").alias("cluster"), "blocks"), ["mult", "bands", "h"])
+        whole = sizes.join(plan.select("cluster"), "cluster", "left_anti").select("cluster", "blocks")
+        found = block_pairs(members, whole, ["mult", "h"]).mapInArrow(_verifier(n, threshold, False), schema)
+        found = stored(found.unionByName(by_bucket.mapInArrow(_verifier(n, threshold, True), schema)))
+    else:
+        found = stored(block_pairs(members, sizes.select("cluster", "blocks"), ["mult", "h"]).mapInArrow(_verifier(n, threshold, False), schema))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = min_label_components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     c = classes.select("key", "id", "node", "mult").join(links, "node", "left").join(roots, "node", "left")
@@ -251,11 +300,16 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their class in ``similarity_classes``; each once."""
-    kept = similarity_classes(docs, id_col, text).filter("kept").groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_rows"))
+    """The rows of ``docs``, all columns (of any name), that stand for their class in ``similarity_classes``; each once.
+
+    Texts without a word and null texts are classes of their own and stay. Rows of a class that repeat its smallest id stay once; an
+    id under several classes stays once for each. An empty table gives an empty result.
+    """
+    kept = similarity_classes(docs, id_col, text).filter("kept").groupBy(F.col(id_col).alias("kept")).agg(F.count("*").alias("rows"))
     kept = stored(kept)
-    out = docs.join(kept.select("_kept").hint("merge"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    if kept.filter("_rows > 1").limit(1).count():  # an id that stands for several rows: equal texts under it stay once
-        key = F.md5(F.concat_ws(" ", words_of(F.col(text))))
-        out = out.withColumn("_key", F.coalesce(F.nullif(key, F.md5(F.lit(""))), F.col(text), F.lit(""))).dropDuplicates([id_col, "_key"]).drop("_key")
-    return out
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+    out = d.join(kept.select("kept").hint("merge"), F.col("id").eqNullSafe(F.col("kept")), "left_semi")
+    if kept.filter("rows > 1").limit(1).count():  # an id that stands for several rows: equal texts under it stay once
+        key = F.md5(F.concat_ws(" ", words_of(F.col("text"))))
+        out = out.withColumn("key", F.coalesce(F.nullif(key, F.md5(F.lit(""))), F.col("text"), F.lit(""))).dropDuplicates(["id", "key"])
+    return out.select("doc.*")
