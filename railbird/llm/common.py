@@ -58,7 +58,7 @@ def min_label_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     e = stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct())
     before = None
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if e.limit(1).count() else 0):
         wide, low = star(e, True)
         forget(e, low)
         e, low = star(wide, False)
@@ -68,7 +68,8 @@ def min_label_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = now
     else:
-        raise RuntimeError("components did not settle")
+        if before:
+            raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

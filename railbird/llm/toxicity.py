@@ -25,8 +25,6 @@ from railbird.llm.common import share_of, sliced, stored
 
 #: Learning reads about so many labelled rows at most (a share of them by a hash of the id).
 MAX_LABELLED = 20_000
-#: Stems kept at most.
-MAX_STEMS = 5_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Distinct stems that one task counts before it sends them on.
 HELD_STEMS = 100_000
@@ -189,7 +187,7 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
     g2 = 2 * (x(a, (a + b) * share) + x(b, (a + b) * (1 - share)))
     odds = F.log((a + 0.5) / (p + 1)) - F.log((b + 0.5) / (n + 1))
     good = counts.select("stem", odds.alias("odds"), g2.alias("g2")).filter((F.col("g2") >= 2 * float(np.log(max(tried, 10)))) & (F.col("odds") >= 2.5))
-    rows = good.orderBy(F.desc("g2"), "stem").limit(MAX_STEMS).collect()
+    rows = good.collect()  # as the sample is bounded, so are its stems
     return {r["stem"]: float(r["odds"]) for r in rows} or {s + "$": 3.0 for s in SEED_INSULTS}
 
 
