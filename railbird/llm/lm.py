@@ -35,7 +35,7 @@ LEAST_COUNT, LEAST_G2, LEAST_KL = 20, 30.0, 0.005
 SMOOTHING = 20.0
 #: Words of at least this share of all training tokens are frequent: at most 1/FREQUENT of them.
 FREQUENT = 5e-6
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Distinct windows that one task holds before it sends their counts on.
 HELD = 1_000_000
 _U = np.uint64
