@@ -72,6 +72,52 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     check_texts(spark, texts)
 
 
+def test_large_clusters_by_buckets_or_whole(spark, monkeypatch):
+    """A chain of groups that only chance candidates join, compared bucket by bucket and as a whole: the same links."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 4)
+    rng = random.Random(3)
+    texts, n = {}, 0
+    shared = [f"s{k}" for k in range(60)]
+    for g in range(8):  # groups whose texts share half of their words with the next group's
+        b = shared[:30] + [f"g{g}w{k}" for k in range(30)]
+        for _ in range(6):
+            w = list(b)
+            w[rng.randrange(60)] = f"x{n}"
+            texts[n] = " ".join(w)
+            n += 1
+    check_texts(spark, texts)
+    real = ngram_join.bucket_plan
+    used = []
+
+    def always(large, entries):
+        plan = real(large.withColumn("blocks", large.blocks * 1000), entries)
+        used.append(plan.count())
+        return plan
+
+    monkeypatch.setattr(ngram_join, "bucket_plan", always)
+    check_texts(spark, texts)
+    assert used and used[0] > 0
+
+
+def test_texts_moved_for_a_large_cluster(spark):
+    """A cluster of 12,800 distinct texts is 25 blocks: 300 pairs of blocks move one block each, where blocks of 64 texts would make 19,900."""
+    from pyspark.sql import functions as F
+
+    members = spark.range(12_800).select(F.lit(1).cast("long").alias("cluster"), F.col("id").alias("node"), F.array("id").alias("h"))
+    blocks = -(-12_800 // ngram_join.BLOCK_DOCS)
+    sizes = spark.createDataFrame([(1, blocks)], "cluster long, blocks int")
+    pairs = ngram_join.block_pairs(members, sizes, ["h"]).select(F.size("ma").alias("a"), F.size("mb").alias("b")).collect()
+    crossed = [r for r in pairs if r.b is not None and r.b > 0]
+    assert len(crossed) == blocks * (blocks - 1) // 2 == 300 and len(pairs) - len(crossed) == blocks
+    assert sum(r.a * r.b for r in crossed) + sum(r.a * (r.a - 1) // 2 for r in pairs if r not in crossed) == 12_800 * 12_799 // 2
+
+
+def test_one_of_each_keeps_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "u", 7), (2, "a b c d e f", "v", 8), (3, None, "w", 9)], "doc_id long, text string, _kept string, kept int")
+    assert sorted(map(tuple, ngram_join.one_of_each(df).collect())) == [(1, "a b c d e f", "u", 7), (3, None, "w", 9)]
+    assert ngram_join.one_of_each(df).columns == df.columns
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (9, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_links, r.class_id) for r in ngram_join.similarity_classes(df).collect())
@@ -124,6 +170,34 @@ def test_recall_at_the_threshold(spark):
     assert check_vectors(spark, rows) >= 0.97
 
 
+def test_hot_group_of_spread_vectors(spark, monkeypatch):
+    """A group whose vectors link with one another but are no tight group: counted in blocks, each pair once."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", 40)
+    monkeypatch.setattr(embed_dedup, "TILE", 16)
+    rng = np.random.default_rng(12)
+    c = rng.normal(size=64)
+    c /= np.linalg.norm(c)
+    rows = []
+    for i in range(300):
+        v = c + 0.25 * (u := rng.normal(size=64)) / np.linalg.norm(u)
+        rows.append((i, v.tolist()))
+    rows += [(1000 + i, rng.normal(size=64).tolist()) for i in range(200)]
+    assert check_vectors(spark, rows) >= 0.99
+
+
+def test_tables_reach_the_recall_at_any_size():
+    for rows, dim in ((10, 3), (10_000, 64), (10**9, 64), (10**11, 700)):
+        tables, hashes = embed_dedup.choose_tables(rows, dim)
+        assert 2 <= tables and (tables <= embed_dedup.MOST_TABLES or hashes == 1)
+
+
+def test_many_vector_lengths(spark):
+    rows = [(n, [1.0] * (n // 2 + 1)) for n in range(2010)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()}
+    assert got == {n: (1, n - n % 2) for n in range(2010)}
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed_dedup.near_duplicates(df).count() == 0
@@ -181,6 +255,26 @@ def test_copies(spark):
     assert got[90] == 90 and got[92] == 91 and got[93] == 0 and got[91] == 91
 
 
+@pytest.mark.parametrize("groups", [20, 70])
+def test_copies_against_all_pairs(spark, groups):
+    """Classes by all pairs that agree, at two sizes: no false link, and nearly all of the true ones are found."""
+    rng = np.random.default_rng(groups)
+    rows = []
+    for _ in range(groups):
+        v = rng.normal(size=64)
+        rows += [(len(rows) + k, bytearray(media.picture(v, k))) for k in rng.permutation(4)[: rng.integers(1, 4)].tolist()]
+    rows = [(i, b) for i, (_, b) in enumerate(rows)] + [(None, rows[0][1]), (None, None)]
+    found = {i: media.describe(media.decode(bytes(b))[None])[0] for i, b in rows if i is not None}
+    links = {i: {j for j in found if j != i and media.agreement(*found[min(i, j)], *found[max(i, j)]) >= media.AGREE} for i in found}
+    want = components(links)
+    got = media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()
+    assert len(got) == len(rows) and [r.class_id for r in got if r.image_id is None] in ([0, None], [None, 0])
+    classes = {r.image_id: r.class_id for r in got if r.image_id is not None}
+    pairs = {(i, j) for i in want for j in want if i < j and want[i] == want[j]}
+    mine = {(i, j) for i in classes for j in classes if i < j and classes[i] == classes[j]}
+    assert mine <= pairs and len(mine) >= 0.9 * len(pairs) > 0
+
+
 def test_copies_in_crowded_keys(spark):
     """Every key is shared by many unrelated pictures, and unrelated ones are its first and last."""
     rng = np.random.default_rng(8)
