@@ -46,7 +46,7 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it.
 
-    Null and empty texts have no size and are not taken. Of repeated rows as many are taken as the target asks for. A null source is a
+    Null and empty texts have no words; they come along with whole copies of their source only. Of repeated rows as many are taken as the target asks for. A null source is a
     source of its own. All columns are kept, whatever their names.
     """
     mixed = mixing.mix(docs).filter("copies > 0")

@@ -134,7 +134,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     """(doc, size, source_size, target, copies, taken) for every row of ``docs``; copies is 0 or more.
 
     doc is a struct of all columns of ``docs``, so names of its columns cannot clash with ours. Null and empty
-    texts have size 0 and take nothing. A null source is a source of its own. Rows without an id draw by a digest of their
+    texts have size 0: they come along with whole copies of their source, and take no words. A null source is a source of its own. Rows without an id draw by a digest of their
     text. Equal places are ordered by id and text digest; repeated rows share a place, and as many of
     them are taken as bring the source nearest to its target (which of them is open, as they are equal in id, text and source). An
     empty table gives an empty result. No document is taken more than ``MOST_COPIES`` times.
