@@ -213,12 +213,13 @@ def block_pairs(members: DataFrame, sizes: DataFrame, payload: list[str]) -> Dat
     about equal size under different keys.
     """
     placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    blocks = stored(placed.groupBy("cluster", "block").agg(F.collect_list(F.struct("node", *payload)).alias("m")))
+    blocks = stored(placed.groupBy("cluster", "blocks", "block").agg(F.collect_list(F.struct("node", *payload)).alias("m")))
+    crossed = blocks.filter("blocks > 1")  # clusters of one block move no more
     tasks = sizes.select("cluster", "blocks", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"))
     tasks = tasks.select("cluster", "block", F.explode(F.sequence(F.col("block"), (F.col("blocks") - 1).cast("int"))).alias("block2"))
     # One row per pair of blocks, so joins on (cluster, block) are as even as the blocks are.
-    j = tasks.filter("block < block2").join(blocks.withColumnRenamed("m", "ma"), ["cluster", "block"])
-    j = j.join(blocks.select("cluster", F.col("block").alias("block2"), F.col("m").alias("mb")), ["cluster", "block2"])
+    j = tasks.filter("block < block2").join(crossed.select("cluster", "block", F.col("m").alias("ma")), ["cluster", "block"])
+    j = j.join(crossed.select("cluster", F.col("block").alias("block2"), F.col("m").alias("mb")), ["cluster", "block2"])
     same = blocks.select("cluster", F.col("m").alias("ma"), F.lit(None).cast(blocks.schema["m"].dataType).alias("mb"))
     return same.filter(F.size("ma") > 1).unionByName(j.select("cluster", "ma", "mb"))
 
