@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from railbird.llm import chat, embed_dedup, license_scan, lm, media, mixing, ngram_join, pii, sp_tokens, toxicity
+from railbird.llm import chat, collocations, embed_dedup, license_scan, lm, media, mixing, ngram_join, pii, sp_tokens, toxicity, warc, whitening
+from railbird.plans.stored import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +69,23 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(pages, folder)
+    r = warc.read(spark, folder, with_payload=False)
+    kind = dict(pages.dtypes)["page_id"]
+    return r.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 _QUERIES: dict[str, Query] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -77,12 +97,17 @@ _QUERIES: dict[str, Query] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_media_copies": op9_media_copies,
     "op10_chat_rotation": op10_chat_rotation,
+    "op11_warc": op11_warc,
+    "op12_collocations": op12_collocations,
+    "op13_whitening": op13_whitening,
 }
 _ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": embed_dedup.ORACLE,
     "op2_license_scan": license_scan.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op10_chat_rotation": chat.ORACLE,
+    "op11_warc": warc.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
 
 
