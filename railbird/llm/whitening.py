@@ -168,13 +168,16 @@ def refined_eigenvectors(a: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarra
     _, x = np.linalg.eigh(a.astype(np.float32))
     x, eye, eps = x.astype(a.dtype), np.eye(size, dtype=a.dtype), np.finfo(a.dtype).eps
     frobenius = lambda m: np.sqrt((m * m).sum())  # noqa: E731  an upper bound of the 2-norm
-    solved: set[frozenset] = set()
+    solved, fresh = set(), False
     for _ in range(rounds):
         r, s = eye - x.T @ x, x.T @ (a @ x)
+        r, s = (r + r.T) / 2, (s + s.T) / 2  # the corrections of a pair then add up to what it lacks in orthogonality
         values = np.diag(s) / (1 - np.diag(r))
         bound = 2 * (frobenius(s - np.diag(values)) + frobenius(r))
         gap = values[None, :] - values[:, None]
         near = np.abs(gap) <= bound
+        if not fresh and np.abs(r).max() <= 4 * eps * np.sqrt(size) and np.abs(s - np.diag(np.diag(s))).max() <= 4 * eps * np.sqrt(size):
+            break
         e = np.where(near, r / 2, (s + values[None, :] * r) / np.where(near, 1, gap))
         x = x + x @ e
         fresh = False
@@ -187,8 +190,6 @@ def refined_eigenvectors(a: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarra
                 solved.add(key)
                 x[:, c] = v @ np.linalg.eigh(((t + t.T) / (2 * width)).astype(np.float64))[1].astype(a.dtype)
                 fresh = True
-        if not fresh and np.abs(e).max() <= 8 * eps * np.sqrt(size):
-            break
     x = x / np.sqrt((x * x).sum(0))
     values = (x * (a @ x)).sum(0)
     order = np.argsort(-values, kind="stable")
