@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from railbird.functions.rates import rounded
+from railbird.operators import boosting
+from railbird.operators.prefix import prefix_sums
 from railbird.plans.schema import POSTS
 from railbird.plans.stored import stored
 
@@ -107,14 +114,10 @@ def size_bucket(x: Column) -> Column:
 def group_folds(groups: DataFrame, k: int = 5, group: str = "session", size: str = "n") -> DataFrame:
     """Fold of each group: by size from large to small, dealt round (ties by name). ``groups`` has one row per group.
 
-    Groups are sorted in ranges and numbered in each of them, so no task sees them all.
+    Groups are numbered by running sums over sorted ranges, so no task sees them all.
     """
-    s = stored(groups.repartitionByRange(F.desc(size), F.col(group)).withColumn("_part", F.spark_partition_id()))
-    parts = s.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a task
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(W.partitionBy("_part").orderBy(F.desc(size), group)) - 1
-    s = s.withColumn("_nth", nth).join(F.broadcast(parts.select("_part", before.alias("_before"))), "_part")
-    return s.withColumn("fold", ((F.col("_before") + F.col("_nth")) % k).cast("long")).drop("_part", "_nth", "_before")
+    s = prefix_sums(groups.withColumn("_one", F.lit(1)), [], [F.desc(size), group], ["_one"])
+    return s.withColumn("fold", (F.col("before__one") % k).cast("long")).drop("_one", "before__one", "total__one")
 
 
 def group_split(groups: DataFrame, share: float = 0.2, group: str = "session", seed: int = 42) -> DataFrame:
@@ -123,27 +126,19 @@ def group_split(groups: DataFrame, share: float = 0.2, group: str = "session", s
     return groups.withColumn("test", draw < share * float(2**48))
 
 
-def auc(scores: DataFrame, label: Column, score: str, *keys: str, threshold: float = 0.5) -> DataFrame:
-    """ROC-AUC, average precision and the accuracy of ``score >= threshold`` per ``keys``.
+def auc(scores: DataFrame, label: Column, score: str, *keys: str, threshold: float = 0.5, weight: str | None = None) -> DataFrame:
+    """ROC-AUC, average precision and the accuracy of ``score >= threshold`` per ``keys``; ``weight`` is the number of rows that a row stands for.
 
-    Rows are first counted by distinct score, so ties share their average rank and the running sums go over distinct scores.
+    Rows are first counted by distinct score, so ties share their average rank and the running sums go over distinct scores, in
+    ranges of them. A null score is lower than all others.
     """
-    c = scores.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(label.cast("long")).alias("p"), F.count("*").alias("n"))
-    bins = 1024
-    ends = c.groupBy(*keys).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    c = c.join(F.broadcast(ends), list(keys)) if keys else c.crossJoin(F.broadcast(ends))  # one row
-    b = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).otherwise(0)
-    c = c.withColumn("b", F.least(b, F.lit(bins - 1)))
-    # Running sums in two steps: over the bins, then inside each bin.
-    t = c.groupBy(*keys, "b").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
-    low = W.partitionBy(*keys).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    t = t.withColumns({"p0": F.coalesce(F.sum("bp").over(low), F.lit(0)), "n0": F.coalesce(F.sum("bn").over(low), F.lit(0)), "tp": F.sum("bp").over(W.partitionBy(*keys)), "tn": F.sum("bn").over(W.partitionBy(*keys))})
-    inside = W.partitionBy(*keys, "b").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    x = c.join(t, [*keys, "b"]).withColumns({"p1": F.col("p0") + F.coalesce(F.sum("p").over(inside), F.lit(0)), "n1": F.col("n0") + F.coalesce(F.sum("n").over(inside), F.lit(0))})
+    w = F.col(weight) if weight else F.lit(1)
+    c = scores.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(label.cast("long") * w).alias("p"), F.sum(w).cast("long").alias("n"))
+    x = prefix_sums(c, list(keys), ["s"], ["p", "n"])
     # Twice the average rank of a score is an integer; precision at a score counts everything at or above it.
-    twice = F.sum(F.col("p") * (2 * F.col("n1") + F.col("n") + 1))
-    pos, total = F.max("tp"), F.max("tn")
-    step = F.col("p") * (F.col("tp") - F.col("p1")).cast("double") / (F.col("tn") - F.col("n1"))
+    twice = F.sum(F.col("p") * (2 * F.col("before_n") + F.col("n") + 1))
+    pos, total = F.max("total_p"), F.max("total_n")
+    step = F.col("p") * (F.col("total_p") - F.col("before_p")).cast("double") / (F.col("total_n") - F.col("before_n"))
     neg = total - pos
     a = (twice - pos * (pos + 1)).cast("double") / 2 / F.nullif((pos * neg).cast("double"), F.lit(0.0))
     return x.groupBy(*keys).agg(
@@ -180,59 +175,98 @@ def feature_names(numeric: tuple[str, ...] = NUMERIC) -> list[str]:
     return [*numeric, *BOOLEAN, *[f"{c}_{v}" for c, vs in CATEGORICAL.items() for v in vs]]
 
 
-def _model(kind: str, rounds: int):
+def _logistic():
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler
 
-    if kind == "logistic":
-        return Pipeline(stages=[StandardScaler(withMean=True, inputCol="x", outputCol="z"), LogisticRegression(featuresCol="z", labelCol="y", maxIter=20)])
-    return Pipeline(stages=[GBTClassifier(featuresCol="x", labelCol="y", maxIter=rounds, stepSize=0.05, maxDepth=3, seed=42)])
+    return Pipeline(stages=[StandardScaler(withMean=True, inputCol="x", outputCol="z"), LogisticRegression(featuresCol="z", labelCol="y", maxIter=20)])
+
+
+def _with_array(d: DataFrame) -> tuple[DataFrame, int]:
+    """``d`` with the vector x as an array v, and its length."""
+    from pyspark.ml.functions import vector_to_array
+
+    d = d.withColumn("v", vector_to_array("x"))
+    first = d.select(F.size("v").alias("n")).first()
+    return d, first.n if first else 0
+
+
+SCORED = ["hand_id", "action_index", "player_name", "session", "label"]
 
 
 def out_of_fold(d: DataFrame, kinds: tuple[str, ...] = ("constant", "logistic", "boosted"), folds: int = 5, rounds: int = 300) -> DataFrame:
     """``d(x, y, fold, ..)`` -> (model, scores): every row is scored by models that saw none of its fold.
 
-    A loop over folds and models, each a distributed fit; the constant model is the mean label.
+    The constant model is the mean label. Logistic models are one distributed fit a fold; boosting grows the trees of all folds together.
     """
     from pyspark.ml.functions import vector_to_array
 
-    out = None
-    for k in range(folds):
-        train, test = d.filter(F.col("fold") != k), d.filter(F.col("fold") == k)
-        for kind in kinds:
+    parts = []
+    for kind in kinds:
+        if kind == "boosted":
+            a, n = _with_array(d)
+            b = boosting.fit(a, "v", "y", "fold", n, [(k, tuple(range(n))) for k in range(folds)], rounds)
+            parts.append(boosting.score(a, "v", "fold", b, SCORED).select(*SCORED, F.lit(kind).alias("model"), "p"))
+            continue
+        for k in range(folds):
+            train, test = d.filter(F.col("fold") != k), d.filter(F.col("fold") == k)
             if kind == "constant":
                 s = test.withColumn("p", F.lit(float(train.agg(F.avg("y")).first()[0] or 0.0)))
             else:
-                s = _model(kind, rounds).fit(train).transform(test).withColumn("p", vector_to_array("probability")[1])
-            s = s.select("hand_id", "action_index", "player_name", "session", "label", F.lit(kind).alias("model"), "p")
-            out = s if out is None else out.unionByName(s)
-    return out
+                s = _logistic().fit(train).transform(test).withColumn("p", vector_to_array("probability")[1])
+            parts.append(s.select(*SCORED, F.lit(kind).alias("model"), "p"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ablation(d: DataFrame, sets: dict[str, tuple[str, ...]], names: list[str], folds: int = 5, rounds: int = 300) -> DataFrame:
+    """Out-of-fold scores of boosting for several feature sets, grown together: (.., features, p). ``names`` are the features of x; a set names those it uses."""
+    a, n = _with_array(d)
+    models = [(k, tuple(i for i, f in enumerate(names) if f in use)) for use in map(set, sets.values()) for k in range(folds)]
+    b = boosting.fit(a, "v", "y", "fold", n, models, rounds)
+    return boosting.score(a, "v", "fold", b, SCORED, [s for s in sets for _ in range(folds)])
 
 
 def permutation_importance(d: DataFrame, names: list[str], repeats: int = 5, seed: int = 3, rounds: int = 300) -> DataFrame:
-    """Drop of the held-out AUC of boosting when a feature is shuffled: (feature, drop).
+    """Drop of the held-out AUC of boosting when a feature is shuffled: (feature, drop). Fold 0 is held out.
 
-    The shuffled copy takes the feature of another row: rows are dealt into hash buckets and numbered in two hash orders
-    there, so the shuffle is a join on (bucket, number).
+    The shuffled row takes the feature of another row: rows are dealt into hash buckets and numbered in two hash orders
+    there, so the shuffle is a join on (bucket, number). A row is scored once; for each feature only the trees that
+    split on it are scored again with the other row's value, inside the row's batch, and what leaves the batch are counts by feature and score.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    model = _model("boosted", rounds).fit(d.filter("fold <> 0"))
+    a, n = _with_array(d)
+    b = boosting.fit(a, "v", "y", "fold", n, [(0, tuple(range(n)))], rounds)
     rid = F.xxhash64("hand_id", "action_index")
-    test = d.filter("fold = 0").select(rid.alias("rid"), "y", vector_to_array("x").alias("v"))
+    test = stored(a.filter("fold = 0").select(rid.alias("rid"), F.col("y").cast("int").alias("y"), "v"))
     buckets = max(1, test.count() // 50_000)
-    score = lambda df: model.transform(df.withColumn("x", array_to_vector("v"))).select("y", "f", F.round(vector_to_array("probability")[1], 6).alias("p"))
-    base = auc(score(test.withColumn("f", F.lit("-"))), F.col("y") == 1, "p").first()["roc_auc"]
-    parts = None
+    base = auc(_swapped(test.select("y", "v", F.col("v").alias("u")), b, []), F.col("y") == 1, "p", weight="n").first()["roc_auc"]
+    parts = []
     for r in range(repeats):
         t = test.withColumn("b", F.pmod(F.xxhash64("rid", F.lit(seed + r)), F.lit(buckets)))
         one = t.withColumn("n", F.row_number().over(W.partitionBy("b").orderBy("rid")))
         two = t.withColumn("n", F.row_number().over(W.partitionBy("b").orderBy(F.xxhash64("rid", F.lit(100 + seed + r)), "rid"))).select("b", "n", F.col("v").alias("u"))
-        j = one.join(two, ["b", "n"])
-        put = lambda at: lambda x, i: F.when(i == at, F.col("u")[at]).otherwise(x)
-        swapped = [F.struct(F.lit(f).alias("f"), F.transform("v", put(at)).alias("v")) for at, f in enumerate(names)]
-        s = j.select("y", F.explode(F.array(*swapped)).alias("e")).select("y", "e.f", "e.v")
-        a = auc(score(s), F.col("y") == 1, "p", "f").select("f", "roc_auc")
-        parts = a if parts is None else parts.unionByName(a)
-    return parts.groupBy(F.col("f").alias("feature")).agg((F.lit(base) - F.avg("roc_auc")).alias("drop"))
+        s = _swapped(one.join(two, ["b", "n"]).select("y", "v", "u"), b, names)
+        parts.append(auc(s, F.col("y") == 1, "p", "f", weight="n").select("f", "roc_auc"))
+    return reduce(DataFrame.unionByName, parts).groupBy(F.col("f").alias("feature")).agg((F.lit(base) - F.avg("roc_auc")).alias("drop"))
+
+
+def _swapped(pairs: DataFrame, b: boosting.Boosted, names: list[str]) -> DataFrame:
+    """(f, y, p, n): how many rows (y, v, u) score p (6 digits) when v takes feature f from u; without ``names`` as they are."""
+    model = b.models[0]
+    uses = {i: [t for t in model.trees if ((t[0] == i) & (t[1] != boosting.STAYS)).any()] for i in range(len(b.edges))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False)
+            own, other = (b.binned(np.array(batch.column(i).to_pylist(), np.float64).reshape(-1, len(b.edges))) for i in (1, 2))
+            raw = model.raw(own)
+            of = lambda bins, trees: sum((v[boosting.leaves(bins, f, t)] for f, t, v in trees), np.zeros(len(y)))
+            for i, name in enumerate(names or ["-"]):
+                mixed = own.copy()
+                if names:
+                    mixed[i] = other[i]
+                p = np.round(boosting.probability(raw + (of(mixed, uses[i]) - of(own, uses[i]) if names else 0)), 6)
+                (yy, pp), n = np.unique(np.stack([y, p]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(n)), pa.array(yy.astype(np.int32)), pa.array(pp), pa.array(n.astype(np.int64))], ["f", "y", "p", "n"])
+
+    return pairs.mapInArrow(run, "f string, y int, p double, n long")

@@ -102,16 +102,13 @@ def oof_entities(spark, sf_dir):
 def feature_ablation(spark, sf_dir):
     """Out-of-fold AUC of boosting, by decision and by entity, with all features, with coarse bet sizes, and without bet sizes."""
     d = stored(_labelled(spark, sf_dir)).withColumn("size_bucket", decisions.size_bucket(F.col("size_pot")))
-    f = _folds(d).select("session", "fold")
-    rest = tuple(c for c in decisions.NUMERIC if c != "size_pot")
-    out = None
-    for name, cols in {"all": decisions.NUMERIC, "coarse": (*rest, "size_bucket"), "none": rest}.items():
-        x = stored(decisions.assembled(d, numeric=cols).join(f, "session"))
-        s = stored(decisions.out_of_fold(x, ("boosted",), FOLDS).withColumn("p", F.round("p", 6)))
-        e = decisions.auc(decisions.entity_scores(s, ["player_name", "session"], "p", "label", LEAST), F.col("label"), "mean_score")
-        a = decisions.auc(s, F.col("label"), "p").withColumn("features", F.lit(name)).crossJoin(F.broadcast(e.select(F.col("roc_auc").alias("entity_auc"))))  # one row each
-        out = a if out is None else out.unionByName(a)
-    return out
+    numeric = (*decisions.NUMERIC, "size_bucket")
+    names = decisions.feature_names(numeric)
+    sets = {"all": set(names) - {"size_bucket"}, "coarse": set(names) - {"size_pot"}, "none": set(names) - {"size_pot", "size_bucket"}}
+    x = stored(decisions.assembled(d, numeric=numeric).join(_folds(d).select("session", "fold"), "session"))
+    s = stored(decisions.ablation(x, sets, names, FOLDS).withColumn("p", F.round("p", 6)))
+    e = decisions.auc(decisions.entity_scores(s, ["features", "player_name", "session"], "p", "label", LEAST), F.col("label"), "mean_score", "features")
+    return decisions.auc(s, F.col("label"), "p", "features").join(e.select("features", F.col("roc_auc").alias("entity_auc")), "features", "left")
 
 
 def permutation_importance(spark, sf_dir):
