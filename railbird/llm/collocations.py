@@ -1,7 +1,8 @@
 """Phrase collocations by sorted count streams, in the layout of external language-model estimation.
 
-1. Every place of a phrase of up to ``longest`` words inside a piece of text is one row; rows are counted by phrase, on the map
-   side first. The empty phrase counts all words of a language.
+1. Every word of a piece of text begins one window of ``longest`` words, fewer at the end of the piece. Windows are counted where they
+   are read, segment by segment, and dealt out by all words but the last. Where they meet, the counts of all shorter phrases are
+   sums over the windows that begin with them, so one row a word moves, not one for every length.
 2. Phrases seen at least ``least`` times are the count stream. A part of a phrase is at least as frequent as the phrase, so the
    stream holds all parts of all its phrases.
 3. The stream is sorted in prefix order (first word, second, ..) over ranges of whole keys. There a phrase comes
@@ -16,6 +17,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,35 +28,118 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from railbird.llm.common import stored
+from railbird.llm.common import sliced, stored
 
 LONGEST, LEAST, COVER, TOP = 3, 10, 50, 2000
 SCALE = 1_000_000
-CUTS, WORD = r"[.,;:!?\x0A-\x0D]", r"[^\x20\x09]+"
-#: Words of a block; a piece without a cut is split into blocks that overlap by ``longest - 1`` words.
-BLOCK = 2048
+CUTS = r"[.,;:!?\x0A-\x0D]"
+#: Bytes of text counted at once by a worker.
+SEGMENT = 8 << 20
+#: Rows of a batch that a worker returns.
+ROWS = 50_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[65:91] += 32
+#: Kind of a byte: 0 word, 1 blank, 2 cut.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[0x20, 0x09]] = 1
+_KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 
 
-def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, f): how often each phrase of up to ``longest`` words occurs, words joined by spaces; the empty phrase counts all words."""
-    lower = F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER)
-    d = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.explode(F.split(lower, CUTS)).alias("piece"))
-    d = d.select("lang", F.regexp_extract_all("piece", F.lit(WORD), F.lit(0)).alias("w")).filter(F.size("w") > 0)
-    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(BLOCK))
-    # A block holds the places that begin in it and the words that these need.
-    d = d.select("lang", F.explode(F.transform(starts, lambda i: F.struct(F.slice("w", i + 1, F.lit(BLOCK + longest - 1)).alias("w"), F.least(F.size("w") - i, F.lit(BLOCK)).alias("n")))).alias("b"))
-    d = d.select("lang", F.col("b.w").alias("w"), F.col("b.n").alias("n"))
+def _segments(data: bytes, size: int, longest: int) -> Iterator[tuple[int, int, int]]:
+    """(first byte, end, end of the words that windows of the segment still need); segments end behind a word."""
+    word, more = re.compile(rb"[^\x20\x09-\x0D.,;:!?]*"), re.compile(rb"(?:[\x20\x09]+[^\x20\x09-\x0D.,;:!?]+){0,%d}" % (longest - 1))
+    lo = 0
+    while lo < len(data):
+        hi = word.match(data, min(lo + size, len(data))).end()
+        yield lo, hi, more.match(data, hi).end()
+        lo = hi
 
-    def places(m: int) -> Column:
-        last = F.least(F.col("n"), F.size("w") - (m - 1))  # a place begins in the block and ends in the piece
-        at = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.concat_ws(" ", *[F.get("w", i + j) for j in range(m)]))
-        return F.when(last > 0, at).otherwise(F.array().cast("array<string>"))
 
-    all_words = F.struct(F.lit("").alias("phrase"), F.col("n").cast("long").alias("f"))
-    each = F.transform(F.concat(*[places(m) for m in range(1, longest + 1)]), lambda p: F.struct(p.alias("phrase"), F.lit(1).cast("long").alias("f")))
-    rows = d.select("lang", F.explode(F.concat(F.array(all_words), each)).alias("p")).select("lang", "p.phrase", "p.f")
-    return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+def windows(texts: list[bytes], langs: list[str], size: int, longest: int) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
+    """([lang, first word, ..], counts) of the distinct windows of each segment of ``texts``."""
+    names, lang_of = np.unique(np.array(langs, object), return_inverse=True)
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    data = b"\n".join(texts)
+    for lo, hi, end in _segments(data, size, longest):
+        b = _LOWERED[np.frombuffer(data, np.uint8, end - lo, lo)]
+        kind = _KIND[b]
+        edge = np.diff(np.concatenate([[1], kind != 0, [1]]).astype(np.int8))
+        first, behind = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        count = int((first < hi - lo).sum())  # windows that begin in this segment
+        if not count:
+            continue
+        piece = np.cumsum(kind == 2, dtype=np.int32)[first]
+        offsets = np.concatenate([[0], np.cumsum(behind - first)]).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(b[kind == 0])).dictionary_encode()
+        code, none = words.indices.to_numpy().astype(np.int64), len(words.dictionary)  # none: past the end of the piece
+        parts = [code[:count]]
+        for k in range(1, longest):
+            nxt = np.full(count, none)
+            there = max(0, min(count, len(code) - k))
+            nxt[:there] = np.where(piece[k : there + k] == piece[:there], code[k : there + k], none)
+            parts.append(nxt)
+        parts[0] = parts[0] * len(names) + lang_of[np.searchsorted(begins, first[:count] + lo, "right") - 1]
+        key, spaces = parts[-1], [none + 1]
+        kept = []
+        for p in parts[-2::-1]:
+            if (int(p.max()) + 1) * int(np.prod(spaces, dtype=object)) >= 2**62:  # the words so far become numbers of what there is of them
+                seen, key = np.unique(key, return_inverse=True)
+                kept.append((seen, spaces))
+                spaces = [len(seen)]
+            key = p * int(np.prod(spaces, dtype=object)) + key
+            spaces = [int(p.max()) + 1, *spaces]
+        seen, counts = np.unique(key, return_counts=True)
+        yield _unfolded(seen, spaces, kept, names, words.dictionary, none), counts
+
+
+def _unfolded(key: np.ndarray, spaces: list[int], kept: list, names: np.ndarray, dictionary: pa.Array, none: int) -> list[pa.Array]:
+    digits: list[np.ndarray] = []
+    while True:
+        own = []
+        for space in reversed(spaces[1:]):
+            key, d = np.divmod(key, space)
+            own.append(d)
+        own = [key, *own[::-1]]  # from the first word on
+        if not kept:
+            digits += own
+            break
+        seen, spaces = kept.pop()
+        digits += own[:-1]
+        key = seen[own[-1]]
+    out = [pa.array(names[digits[0] % len(names)], pa.string()), dictionary.take(pa.array(digits[0] // len(names)))]
+    return out + [dictionary.take(pa.array(d, mask=d == none)) for d in digits[1:]]
+
+
+def _counted(longest: int, size: int, rows: int):
+    keys = ["lang", *(f"w{k}" for k in range(1, longest + 1))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 1 << 14, size):
+            texts = [t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()]
+            for columns, counts in windows(texts, b.column(1).to_pylist(), size, longest):
+                whole = pa.RecordBatch.from_arrays([*columns, pa.array(counts)], [*keys, "f"])
+                yield from (whole.slice(lo, rows) for lo in range(0, len(counts), rows))
+
+    return run
+
+
+def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+    """(lang, w1, w2, .., f): all words of a language, and the phrases of 2 to ``longest`` words that occur ``least`` times; stored."""
+    keys = ["lang", *(f"w{k}" for k in range(1, longest + 1))]
+    d = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
+    rows = d.mapInArrow(_counted(longest, SEGMENT, ROWS), ", ".join(f"{k} string" for k in keys) + ", f long")
+    # One exchange serves all lengths but the single words, whose sums are few.
+    rows = rows.repartition(*keys[: max(longest, 2)])
+    out = []
+    for m in range(longest, 0, -1):
+        c = (rows if m > 1 or longest < 3 else two).groupBy(*keys[: m + 1]).agg(F.sum("f").alias("f"))
+        if m == 2:
+            two = c
+        if m > 1:
+            c = c.filter(F.col(f"w{m}").isNotNull() & (F.col("f") >= least))
+        out.append(c.select(*keys[: m + 1], *[F.lit(None).cast("string").alias(k) for k in keys[m + 1 :]], "f"))
+    return stored(reduce(DataFrame.unionByName, out))
 
 
 def _lockstep(names: list[str], keys: list[str], carried: list[str], prefix: str):
@@ -113,14 +198,12 @@ def _big(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("decimal(19,0)")
 
 
-def scored(frequent: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(lang, w1.., a, l, r, score, m, covers_first, covers_last, p1.., s1..) of all phrases of two words or more.
+def scored(stream: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(lang, phrase, m, a, l, r, score, p1.., s1..) of the phrases of two words or more in ``stream(lang, w1, .., f)``, which holds all their parts.
 
-    p and s are the counts of the first and last 1, 2, .. words.
+    m: words; p and s: counts of the first and last 1, 2, .. words.
     """
-    words = F.split("phrase", " ")
     keys = [f"w{i}" for i in range(1, longest + 1)]
-    stream = frequent.filter("phrase <> ''").select("lang", "f", *[F.get(words, F.lit(i)).alias(k) for i, k in enumerate(keys)])
     left = prefix_counts(stream, keys, "p")
     # Suffix order: the last word first.
     size = sum((F.col(k).isNotNull().cast("int") for k in keys[1:]), F.lit(1))
@@ -150,12 +233,11 @@ def mine(
     a, l, r: occurrences of the phrase and of its two parts at its lowest-scoring cut; n: all words of the language; score:
     floor(1000000 a a / (l r)), exact. A phrase that lies in a longer one with at least ``cover`` percent of its occurrences is left
     out. A null language is ``und``. Null and empty texts, and texts of cuts and blanks only, hold no word; repeated rows count each
-    time; a very long text is split into blocks before its phrases are built. Ties go by occurrences, then by the phrase's bytes. An empty table gives no
+    time; a very long text is counted in segments. Ties go by occurrences, then by the phrase's bytes. An empty table gives no
     row. Counts may have 16 digits. Other columns are not read, whatever their names.
     """
-    counts = phrases(docs, text, lang, longest)
-    kept = stored(counts.filter((F.col("f") >= least) | (F.col("phrase") == "")))
-    s = stored(scored(kept, longest))
+    counts = phrases(docs, text, lang, longest, least)
+    s = stored(scored(counts.filter(F.col("f") >= least), longest))
     shorter = lambda drop_last: F.array_join(F.slice(F.split("phrase", " "), F.lit(1) if drop_last else F.lit(2), F.col("m") - 1), " ")
     part = lambda c: F.get(F.array(*[F.col(f"{c}{j}") for j in range(1, longest)]), F.col("m") - 2)
     covers = lambda c: _big("a") * 100 >= _big(part(c)) * cover
@@ -165,7 +247,7 @@ def mine(
     best = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     # The limit is found in every task first, so a language's window sees at most ``top`` rows of each.
     s = s.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
-    n = kept.filter("phrase = ''").select("lang", F.col("f").alias("n"))
+    n = counts.filter(F.col("w2").isNull()).groupBy("lang").agg(F.sum("f").alias("n"))
     return s.join(n, "lang").select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score")
 
 

@@ -68,19 +68,24 @@ def rows_of(df):
 
 @pytest.mark.parametrize(("seed", "longest", "least", "top"), [(0, 3, 10, 2000), (1, 3, 2, 7), (2, 4, 3, 2000), (3, 2, 2, 2000)])
 def test_equals_a_plain_count(spark, many_tasks, monkeypatch, seed, longest, least, top):
-    """Ranges cut through the phrases of single words, and pieces are cut into blocks of 5 words."""
-    monkeypatch.setattr(c, "BLOCK", 5)
+    """Ranges cut through the phrases of single words, and texts are counted in segments of 40 bytes."""
+    monkeypatch.setattr(c, "SEGMENT", 40)
+    monkeypatch.setattr(c, "ROWS", 3)
     rows = texts(seed)
     d = spark.createDataFrame(rows, "text string, lang string").withColumns({x: F.lit(1) for x in ("f", "phrase", "w1", "_part", "n", "rank")})
     want = plain(rows, longest, least, 50, top)
     assert rows_of(c.mine(d, longest=longest, least=least, top=top)) == want and len(want) > 5
 
 
+def stream(spark, rows):
+    return spark.createDataFrame([(g, f, *(p.split() + [None] * 3)[:3]) for g, p, f in rows], "lang string, f long, w1 string, w2 string, w3 string")
+
+
 def test_counts_that_begin_in_an_earlier_task(spark, many_tasks):
     """One first word with 3,000 second words fills many tasks; their counts of it come from the task where it stands."""
     rows = [("en", "the", 40_000), *[("en", f"w{i}", 10 + i) for i in range(3000)], *[("en", f"the w{i}", 10) for i in range(3000)], *[("en", f"the w7 w{i}", 10) for i in range(50)]]
     rows += [("en", f"w7 w{i}", 11) for i in range(50)]
-    s = c.scored(spark.createDataFrame(rows, "lang string, phrase string, f long"))
+    s = c.scored(stream(spark, rows))
     got = {r.phrase: r for r in s.collect()}
     assert len(got) == 3100
     assert all(got[f"the w{i}"].l == 40_000 and got[f"the w{i}"].r == 10 + i and got[f"the w{i}"].score == 10**6 * 100 // (40_000 * (10 + i)) for i in range(3000))
@@ -91,7 +96,7 @@ def test_counts_that_begin_in_an_earlier_task(spark, many_tasks):
 
 def test_products_past_64_bits(spark):
     a, l, r = 987_654_321_012_345, 1_234_567_890_123_456, 998_765_432_101_234
-    s = c.scored(spark.createDataFrame([("x", "p", l), ("x", "q", r), ("x", "p q", a)], "lang string, phrase string, f long")).first()
+    s = c.scored(stream(spark, [("x", "p", l), ("x", "q", r), ("x", "p q", a)])).first()
     assert (s.a, s.l, s.r, s.score) == (a, l, r, 10**6 * a * a // (l * r))
 
 
@@ -99,3 +104,30 @@ def test_edges(spark):
     d = spark.createDataFrame([], "text string, lang string")
     assert c.mine(d).count() == 0
     assert c.mine(spark.createDataFrame([(None, None), ("", "en"), (". ,", "en")], "text string, lang string")).count() == 0
+
+
+@pytest.mark.parametrize(("size", "longest"), [(1, 3), (7, 2), (30, 4), (10**6, 3)])
+def test_windows_of_segments(size, longest):
+    """Each word of every text begins one window, however the texts are cut into segments."""
+    rows = texts(9, 12)
+    got = Counter()
+    for columns, counts in c.windows([(t or "").encode() for t, _ in rows], [g or "und" for _, g in rows], size, longest):
+        for *key, n in zip(*(x.to_pylist() for x in columns), counts.tolist(), strict=True):
+            got[tuple(key)] += n
+    want = Counter()
+    for t, g in rows:
+        lower = re.sub("[A-Z]", lambda x: x[0].lower(), t or "")
+        for piece in re.split("[.,;:!?\n-\r]", lower):
+            w = re.findall("[^ \t]+", piece)
+            for i in range(len(w)):
+                want[(g or "und", *(w[i : i + longest] + [None] * longest)[:longest])] += 1
+    assert got == want
+
+
+def test_keys_past_64_bits():
+    """Six words from 20,000 give keys that have to be folded twice."""
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in rng.integers(0, 20_000, 30_000)]
+    [(columns, counts)] = c.windows([" ".join(words).encode()], ["x"], 1 << 20, 6)
+    got = {tuple(k) for k in zip(*(x.to_pylist() for x in columns[1:]), strict=True)}
+    assert got == {tuple((words[i : i + 6] + [None] * 6)[:6]) for i in range(len(words))} and counts.sum() == 30_000
