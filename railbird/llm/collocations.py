@@ -1,8 +1,8 @@
 """Phrase collocations by sorted count streams, in the layout of external language-model estimation.
 
 1. Every word of a piece of text begins one window of ``longest`` words, fewer at the end of the piece. Windows are counted where they
-   are read, segment by segment, and dealt out by all words but the last. Where they meet, the counts of all shorter phrases are
-   sums over the windows that begin with them, so one row a word moves, not one for every length.
+   are read, segment by segment, and dealt out by all words but the last. Where they meet, the phrase of all words but the last is counted by
+   the windows that begin with it, so about one row a word moves, not one for every length.
 2. Phrases seen at least ``least`` times are the count stream. A part of a phrase is at least as frequent as the phrase, so the
    stream holds all parts of all its phrases.
 3. The stream is sorted in prefix order (first word, second, ..) over ranges of whole keys. There a phrase comes
@@ -23,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -112,34 +113,42 @@ def _unfolded(key: np.ndarray, spaces: list[int], kept: list, names: np.ndarray,
 
 
 def _counted(longest: int, size: int, rows: int):
-    keys = ["lang", *(f"w{k}" for k in range(1, longest + 1))]
+    """(head, tail, f): head is the language, a tab, and all words but the last, tail the last. Shorter phrases that are no head have the tail ""."""
+
+    def head(columns: list) -> pa.Array:
+        return pc.binary_join_element_wise(columns[0], pc.binary_join_element_wise(*columns[1:], " ", null_handling="skip"), "\t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 1 << 14, size):
             texts = [t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()]
             for columns, counts in windows(texts, b.column(1).to_pylist(), size, longest):
-                whole = pa.RecordBatch.from_arrays([*columns, pa.array(counts)], [*keys, "f"])
-                yield from (whole.slice(lo, rows) for lo in range(0, len(counts), rows))
+                parts = [(head(columns[:-1]), columns[-1], pa.array(counts))]
+                keys = [f"k{i}" for i in range(len(columns))]
+                for m in range(1, longest - 1):
+                    t = pa.table([*columns[: m + 1], pa.array(counts)], [*keys[: m + 1], "f"]).drop_null().group_by(keys[: m + 1]).aggregate([("f", "sum")])
+                    parts.append((head([t.column(k).combine_chunks() for k in keys[: m + 1]]), pa.array([""] * t.num_rows), t.column("f_sum").combine_chunks()))
+                for part in parts:
+                    whole = pa.RecordBatch.from_arrays(list(part), ["head", "tail", "f"])
+                    yield from (whole.slice(lo, rows) for lo in range(0, whole.num_rows, rows))
 
     return run
 
 
 def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, w1, w2, .., f): all words of a language, and the phrases of 2 to ``longest`` words that occur ``least`` times; stored."""
-    keys = ["lang", *(f"w{k}" for k in range(1, longest + 1))]
+    keys = [f"w{k}" for k in range(1, longest + 1)]
     d = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
-    rows = d.mapInArrow(_counted(longest, SEGMENT, ROWS), ", ".join(f"{k} string" for k in keys) + ", f long")
-    # One exchange serves all lengths but the single words, whose sums are few.
-    rows = rows.repartition(*keys[: max(longest, 2)])
-    out = []
-    for m in range(longest, 0, -1):
-        c = (rows if m > 1 or longest < 3 else two).groupBy(*keys[: m + 1]).agg(F.sum("f").alias("f"))
-        if m == 2:
-            two = c
-        if m > 1:
-            c = c.filter(F.col(f"w{m}").isNotNull() & (F.col("f") >= least))
-        out.append(c.select(*keys[: m + 1], *[F.lit(None).cast("string").alias(k) for k in keys[m + 1 :]], "f"))
-    return stored(reduce(DataFrame.unionByName, out))
+    rows = d.mapInArrow(_counted(longest, SEGMENT, ROWS), "head string, tail string, f long").repartition("head")
+    whole = rows.groupBy("head", "tail").agg(F.sum("f").alias("f"))
+    # In the partitions that ``whole`` lies in. A head of longest - 1 words occurs as often as its windows, shorter ones have rows of their own.
+    own, tail = F.col("tail") == "", F.when((F.col("tail") != "") & (F.col("f") >= least), F.struct("tail", "f"))
+    heads = whole.groupBy("head").agg(F.sum(F.when(~F.coalesce(own, F.lit(False)), F.col("f"))).alias("all"), F.sum(F.when(own, F.col("f"))).alias("own"), F.collect_list(tail).alias("tails"))
+    tied = F.substring_index("head", "\t", -1)  # no word has a tab or blank
+    heads = heads.select(F.left(F.col("head"), F.char_length("head") - F.char_length(tied) - 1).alias("lang"), F.split(tied, " ").alias("w"), "all", "own", "tails")
+    itself = F.struct(F.lit(None).cast("string").alias("tail"), F.when(F.size("w") == longest - 1, F.col("all")).otherwise(F.col("own")).alias("f"))
+    p = heads.select("lang", "w", F.explode(F.concat(F.array(itself), "tails")).alias("p")).select("lang", F.when(F.col("p.tail").isNull(), F.col("w")).otherwise(F.array_append("w", F.col("p.tail"))).alias("w"), "p.f")
+    p = p.filter((F.col("f") >= least) | (F.size("w") == 1))
+    return stored(p.select("lang", *[F.get("w", F.lit(k)).alias(c) for k, c in enumerate(keys)], "f"))
 
 
 def _lockstep(names: list[str], keys: list[str], carried: list[str], prefix: str):
