@@ -1,8 +1,7 @@
 """Phrase collocations by sorted count streams, in the layout of external language-model estimation.
 
-1. Every word of a piece of text begins one window of ``longest`` words, fewer at the end of the piece. Windows are counted where they
-   are read, segment by segment, and dealt out by all words but the last. Where they meet, the phrase of all words but the last is counted by
-   the windows that begin with it, so about one row a word moves, not one for every length.
+1. Every word of a piece of text begins one window of ``longest`` words, fewer at the end of the piece. Windows are counted where the
+   text is read, segment by segment; what follows the same words travels as one row, and rows meet by these words once.
 2. Phrases seen at least ``least`` times are the count stream. A part of a phrase is at least as frequent as the phrase, so the
    stream holds all parts of all its phrases.
 3. The stream is sorted in prefix order (first word, second, ..) over ranges of whole keys. There a phrase comes
@@ -35,7 +34,7 @@ LONGEST, LEAST, COVER, TOP = 3, 10, 50, 2000
 SCALE = 1_000_000
 CUTS = r"[.,;:!?\x0A-\x0D]"
 #: Bytes of text counted at once by a worker.
-SEGMENT = 8 << 20
+SEGMENT = 4 << 20
 #: Rows of a batch that a worker returns.
 ROWS = 50_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,8 +56,11 @@ def _segments(data: bytes, size: int, longest: int) -> Iterator[tuple[int, int,
         lo = hi
 
 
-def windows(texts: list[bytes], langs: list[str], size: int, longest: int) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
-    """([lang, first word, ..], counts) of the distinct windows of each segment of ``texts``."""
+def windows(texts: list[bytes], langs: list[str], size: int, longest: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, pa.Array]]:
+    """(codes, counts, languages, words) of the distinct windows of each segment of ``texts``, sorted by their codes.
+
+    codes: language, first word, second word, ..; ``len(words)`` stands for none.
+    """
     names, lang_of = np.unique(np.array(langs, object), return_inverse=True)
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     data = b"\n".join(texts)
@@ -91,10 +93,11 @@ def windows(texts: list[bytes], langs: list[str], size: int, longest: int) -> It
             key = p * int(np.prod(spaces, dtype=object)) + key
             spaces = [int(p.max()) + 1, *spaces]
         seen, counts = np.unique(key, return_counts=True)
-        yield _unfolded(seen, spaces, kept, names, words.dictionary, none), counts
+        first, *rest = _unfolded(seen, spaces, kept)
+        yield [first % len(names), first // len(names), *rest], counts, names, words.dictionary
 
 
-def _unfolded(key: np.ndarray, spaces: list[int], kept: list, names: np.ndarray, dictionary: pa.Array, none: int) -> list[pa.Array]:
+def _unfolded(key: np.ndarray, spaces: list[int], kept: list) -> list[np.ndarray]:
     digits: list[np.ndarray] = []
     while True:
         own = []
@@ -103,32 +106,42 @@ def _unfolded(key: np.ndarray, spaces: list[int], kept: list, names: np.ndarray,
             own.append(d)
         own = [key, *own[::-1]]  # from the first word on
         if not kept:
-            digits += own
-            break
+            return digits + own
         seen, spaces = kept.pop()
         digits += own[:-1]
         key = seen[own[-1]]
-    out = [pa.array(names[digits[0] % len(names)], pa.string()), dictionary.take(pa.array(digits[0] // len(names)))]
-    return out + [dictionary.take(pa.array(d, mask=d == none)) for d in digits[1:]]
 
 
-def _counted(longest: int, size: int, rows: int):
-    """(head, tail, f): head is the language, a tab, and all words but the last, tail the last. Shorter phrases that are no head have the tail ""."""
+def tied(codes: list[np.ndarray], counts: np.ndarray, names: np.ndarray, words: pa.Array, longest: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(head, tails) of a segment's windows: a phrase of fewer than ``longest`` words, and ``count`` tab ``word`` of what follows it, line by line.
+
+    head is the language, a tab, and words tied by spaces. The first line, without a word, counts the head itself; only heads of ``longest - 1`` words have others.
+    """
+    none = len(words)
+    text = lambda n: pc.cast(pa.array(n), pa.string())
+    for m in range(longest - 1, 0, -1):
+        new = np.any([np.diff(c, prepend=-1) != 0 for c in codes[: m + 1]], axis=0)
+        at = np.flatnonzero(new)
+        whole = codes[m][at] != none
+        own = text(np.add.reduceat(counts, at)[whole])
+        head = pc.binary_join_element_wise(*[words.take(pa.array(c[at[whole]])) for c in codes[1 : m + 1]], " ")
+        head = pc.binary_join_element_wise(pa.array(names[codes[0][at[whole]]], pa.string()), head, "\t")
+        if m == longest - 1:
+            follows = codes[longest] != none
+            lines = pc.binary_join_element_wise(text(counts[follows]), words.take(pa.array(codes[longest][follows])), "\t")
+            ends = np.concatenate([[0], np.cumsum(follows)])[[*at, len(follows)]]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), lines).filter(pa.array(whole))
+            own = pc.binary_join_element_wise(own, pc.binary_join(lists, "\n"), "\n")
+        yield head, own
 
-    def head(columns: list) -> pa.Array:
-        return pc.binary_join_element_wise(columns[0], pc.binary_join_element_wise(*columns[1:], " ", null_handling="skip"), "\t")
 
+def _counted(longest: int, size: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 1 << 14, size):
             texts = [t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()]
-            for columns, counts in windows(texts, b.column(1).to_pylist(), size, longest):
-                parts = [(head(columns[:-1]), columns[-1], pa.array(counts))]
-                keys = [f"k{i}" for i in range(len(columns))]
-                for m in range(1, longest - 1):
-                    t = pa.table([*columns[: m + 1], pa.array(counts)], [*keys[: m + 1], "f"]).drop_null().group_by(keys[: m + 1]).aggregate([("f", "sum")])
-                    parts.append((head([t.column(k).combine_chunks() for k in keys[: m + 1]]), pa.array([""] * t.num_rows), t.column("f_sum").combine_chunks()))
-                for part in parts:
-                    whole = pa.RecordBatch.from_arrays(list(part), ["head", "tail", "f"])
+            for found in windows(texts, b.column(1).to_pylist(), size, longest):
+                for part in tied(*found, longest):
+                    whole = pa.RecordBatch.from_arrays(list(part), ["head", "tails"])
                     yield from (whole.slice(lo, rows) for lo in range(0, whole.num_rows, rows))
 
     return run
@@ -136,19 +149,17 @@ def _counted(longest: int, size: int, rows: int):
 
 def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, w1, w2, .., f): all words of a language, and the phrases of 2 to ``longest`` words that occur ``least`` times; stored."""
-    keys = [f"w{k}" for k in range(1, longest + 1)]
     d = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
-    rows = d.mapInArrow(_counted(longest, SEGMENT, ROWS), "head string, tail string, f long").repartition("head")
-    whole = rows.groupBy("head", "tail").agg(F.sum("f").alias("f"))
-    # In the partitions that ``whole`` lies in. A head of longest - 1 words occurs as often as its windows, shorter ones have rows of their own.
-    own, tail = F.col("tail") == "", F.when((F.col("tail") != "") & (F.col("f") >= least), F.struct("tail", "f"))
-    heads = whole.groupBy("head").agg(F.sum(F.when(~F.coalesce(own, F.lit(False)), F.col("f"))).alias("all"), F.sum(F.when(own, F.col("f"))).alias("own"), F.collect_list(tail).alias("tails"))
-    tied = F.substring_index("head", "\t", -1)  # no word has a tab or blank
-    heads = heads.select(F.left(F.col("head"), F.char_length("head") - F.char_length(tied) - 1).alias("lang"), F.split(tied, " ").alias("w"), "all", "own", "tails")
-    itself = F.struct(F.lit(None).cast("string").alias("tail"), F.when(F.size("w") == longest - 1, F.col("all")).otherwise(F.col("own")).alias("f"))
-    p = heads.select("lang", "w", F.explode(F.concat(F.array(itself), "tails")).alias("p")).select("lang", F.when(F.col("p.tail").isNull(), F.col("w")).otherwise(F.array_append("w", F.col("p.tail"))).alias("w"), "p.f")
-    p = p.filter((F.col("f") >= least) | (F.size("w") == 1))
-    return stored(p.select("lang", *[F.get("w", F.lit(k)).alias(c) for k, c in enumerate(keys)], "f"))
+    rows = d.mapInArrow(_counted(longest, SEGMENT, ROWS), "head string, tails string").repartition("head")
+    line = rows.select("head", F.explode(F.split("tails", "\n")).alias("line")).filter("line <> ''")
+    # No word has a tab or blank. What follows one head lies in one partition, so this is no second exchange.
+    line = line.select("head", F.substring_index("line", "\t", 1).cast("long").alias("f"), F.when(F.col("line").contains("\t"), F.substring_index("line", "\t", -1)).alias("tail"))
+    c = line.groupBy("head", "tail").agg(F.sum("f").alias("f"))
+    words = F.substring_index("head", "\t", -1)
+    c = c.filter((F.col("f") >= least) | (F.col("tail").isNull() & ~words.contains(" ")))
+    language = F.left(F.col("head"), F.char_length("head") - F.char_length(words) - 1)
+    every = F.split(F.concat_ws(" ", words, "tail"), " ")
+    return stored(c.select(language.alias("lang"), *[F.get(every, F.lit(k)).alias(f"w{k + 1}") for k in range(longest)], "f"))
 
 
 def _lockstep(names: list[str], keys: list[str], carried: list[str], prefix: str):

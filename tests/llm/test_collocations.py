@@ -111,9 +111,9 @@ def test_windows_of_segments(size, longest):
     """Each word of every text begins one window, however the texts are cut into segments."""
     rows = texts(9, 12)
     got = Counter()
-    for columns, counts in c.windows([(t or "").encode() for t, _ in rows], [g or "und" for _, g in rows], size, longest):
-        for *key, n in zip(*(x.to_pylist() for x in columns), counts.tolist(), strict=True):
-            got[tuple(key)] += n
+    for codes, counts, names, words in c.windows([(t or "").encode() for t, _ in rows], [g or "und" for _, g in rows], size, longest):
+        for g, *key, n in zip(*(x.tolist() for x in codes), counts.tolist(), strict=True):
+            got[names[g], *(words[k].as_py() if k < len(words) else None for k in key)] += n
     want = Counter()
     for t, g in rows:
         lower = re.sub("[A-Z]", lambda x: x[0].lower(), t or "")
@@ -128,6 +128,7 @@ def test_keys_past_64_bits():
     """Six words from 20,000 give keys that have to be folded twice."""
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in rng.integers(0, 20_000, 30_000)]
-    [(columns, counts)] = c.windows([" ".join(words).encode()], ["x"], 1 << 20, 6)
-    got = {tuple(k) for k in zip(*(x.to_pylist() for x in columns[1:]), strict=True)}
+    [(codes, counts, _, known)] = c.windows([" ".join(words).encode()], ["x"], 1 << 20, 6)
+    name = [*known.to_pylist(), None]
+    got = {tuple(name[i] for i in k) for k in zip(*(x.tolist() for x in codes[1:]), strict=True)}
     assert got == {tuple((words[i : i + 6] + [None] * 6)[:6]) for i in range(len(words))} and counts.sum() == 30_000
