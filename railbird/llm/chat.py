@@ -27,7 +27,7 @@ CROWDED = 100_000
 BROADCAST_BLOCKS = 10_000
 #: This role is not a participant; it stays the system's voice in every rendering.
 SYSTEM = "system"
-_BLOCK = ["ck", "tb", "sb"]
+_BLOCK = ["ck", "tb", "sn", "sb"]
 
 
 def _key(c: Column) -> Column:
@@ -36,7 +36,7 @@ def _key(c: Column) -> Column:
 
 
 def _before(blocks: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """``blocks`` with each of ``values`` replaced by its sum over the earlier blocks (tb, sb) of the same ``keys``.
+    """``blocks`` with each of ``values`` replaced by its sum over the earlier blocks (tb, sn, sb) of the same ``keys``.
 
     Stretches of blocks are summed up first, so a conversation of very many blocks does not meet in one task.
     """
@@ -44,22 +44,27 @@ def _before(blocks: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     sums = b.groupBy(*keys, "st").agg(*[F.sum(v).alias(v) for v in values])
     earlier = W.partitionBy(*keys).orderBy("st").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*keys, "st", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"{v}_0") for v in values])
-    inner = W.partitionBy(*keys, "st").orderBy("tb", "sb").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy(*keys, "st").orderBy("tb", "sn", "sb").rowsBetween(W.unboundedPreceding, -1)
     b = b.withColumns({f"{v}_1": F.coalesce(F.sum(v).over(inner), F.lit(0)) for v in values}).drop(*values)
     b = b.join(sums, [*keys, "st"])
     return b.withColumns({v: F.col(f"{v}_0") + F.col(f"{v}_1") for v in values}).drop("st", *[f"{v}_{k}" for v in values for k in (0, 1)])
 
 
 def _in_blocks(t: DataFrame) -> DataFrame:
-    """Adds tb and sb, the block of a turn: by number, and in crowded blocks by number and digest too."""
-    t = t.withColumn("tb", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))).cast("long"))
+    """Adds tb, sn and sb, the block of a turn: by a stretch of numbers, and in crowded blocks by the number itself and the digest too.
+
+    Blocks order as the turns do: null first, NaN last, fractions and signs kept.
+    """
+    stretch = F.greatest(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit(-(2**63) + 1))
+    t = t.withColumn("tb", F.when(F.col("turn").isNull(), F.lit(-(2**63))).when(F.isnan(F.col("turn").cast("double")), F.lit(2**63 - 1)).otherwise(stretch))
     crowded = stored(t.groupBy("ck", "tb").agg(F.count("*").alias("c")).filter(F.col("c") > CROWDED).select("ck", "tb", F.lit(True).alias("crowded")))
     n = crowded.limit(BROADCAST_BLOCKS + 1).count()
     if not n:
-        return t.withColumn("sb", F.lit(0).cast("long"))
+        return t.withColumns({"sn": F.lit(0), "sb": F.lit(0).cast("long")})
     t = t.join(F.broadcast(crowded) if n <= BROADCAST_BLOCKS else crowded, ["ck", "tb"], "left")
-    fine = F.coalesce(F.pmod(F.floor(F.col("turn")), F.lit(BLOCK)), F.lit(0)) * 4096 + F.conv(F.substring("dg", 1, 3), 16, 10).cast("long")
-    return t.withColumn("sb", F.when(F.col("crowded"), fine).otherwise(F.lit(0)).cast("long")).drop("crowded")
+    number = F.when(F.col("crowded"), F.col("turn"))
+    digest = F.when(F.col("crowded"), F.conv(F.substring("dg", 1, 3), 16, 10).cast("long"))
+    return t.withColumns({"sn": F.coalesce(number, F.lit(0).cast(dict(t.dtypes)["turn"])), "sb": F.coalesce(digest, F.lit(0).cast("long"))}).drop("crowded")
 
 
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -68,7 +73,7 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     piece is ``<|role name|>text<|end|>``; start and stop are code points in the participant's text,
     mask is 1 on the participant's own turns and 0 elsewhere. Turns are ordered by their number (null
     first); those of one number by a digest of role and text; equal rows stay. Conversation ids may have any type that casts to
-    text, turn numbers are numeric. Rows with a null conversation are one conversation of their own, apart from every
+    text; turn numbers are numeric, whole or not, of any sign, NaN after all others. Rows with a null conversation are one conversation of their own, apart from every
     id, and null in the result. A null role is a participant of its own: null as participant, a user without a name in
     the others' renderings. A null text is empty. A conversation with only system turns has no participant and
     gives no row; an empty table gives an empty result. Further columns of ``turns`` are not carried. Equal rows of one number stay in one task,

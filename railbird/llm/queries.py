@@ -61,8 +61,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _table(spark, sf_dir, "embeddings")
-    return media.copies(media.pictures(vectors), number=vectors.count()).withColumnRenamed("image_id", "vec_id")
+    return media.copies(media.pictures(_table(spark, sf_dir, "embeddings"))).withColumnRenamed("image_id", "vec_id")
 
 
 def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -311,3 +311,33 @@ def test_small_crops_and_strong_shrinking():
         small.append(same(p, half(half(p))))
         other.append(same(pics[i - 1], half(half(p))) or same(pics[i - 1], p[200:312, 150:262]))
     assert sum(crop) >= 7 and sum(small) >= 7 and not any(other)
+
+
+def turned(p: np.ndarray, degrees: float, scale: float) -> np.ndarray:
+    """A picture scaled, or the middle of it turned, between its pixels by bilinear weights."""
+    h, w = p.shape
+    side = int(min(h, w) * (0.68 if degrees else min(scale, 1)))
+    y, x = np.mgrid[:side, :side] - (side - 1) / 2
+    a = np.deg2rad(degrees)
+    u, v = (np.cos(a) * y + np.sin(a) * x) / scale + (h - 1) / 2, (np.cos(a) * x - np.sin(a) * y) / scale + (w - 1) / 2
+    i, j = np.clip(np.floor(u).astype(int), 0, h - 2), np.clip(np.floor(v).astype(int), 0, w - 2)
+    fy, fx = u - i, v - j
+    return (p[i, j] * (1 - fy) * (1 - fx) + p[i + 1, j] * fy * (1 - fx) + p[i, j + 1] * (1 - fy) * fx + p[i + 1, j + 1] * fy * fx).round()
+
+
+@pytest.mark.parametrize(("degrees", "scale"), [(20, 1.0), (45, 1.0), (0, 0.8), (0, 1.3)])
+def test_keys_of_freely_turned_and_scaled_copies(degrees, scale):
+    """Of the copies that agree, nine in ten share enough keys to be compared; unrelated pictures do not agree."""
+    rng = np.random.default_rng(11)
+    pics = []
+    for _ in range(24):
+        fine, coarse = media._box(media._box(rng.normal(size=(1, 224, 224)), 2), 1)[0], media._box(rng.normal(size=(1, 224, 224)), 6)[0]
+        pics.append(np.clip(128 + 40 * (fine / fine.std() + coarse / coarse.std()), 0, 255).round())
+    agree, met, wrong = 0, 0, 0
+    for i, p in enumerate(pics):
+        a, b = media.describe(p[None])[0], media.describe(turned(p, degrees, scale)[None])[0]
+        if media.agreement(*a, *b) >= media.AGREE:
+            agree += 1
+            met += len(np.intersect1d(media.corner_keys(a[1]), media.corner_keys(b[1]))) >= media.SHARED
+        wrong += media.agreement(*media.describe(pics[i - 1][None])[0], *b) >= media.AGREE
+    assert agree >= 18 and met >= 0.9 * agree and not wrong

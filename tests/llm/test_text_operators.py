@@ -361,8 +361,8 @@ def test_scores_equal_brute_force_wherever_windows_are_looked_up(spark, monkeypa
         assert Counter((r.doc_id, round(r.score, 3)) for r in lm.score(docs(spark, data)).collect()) == want
 
 
-def test_tree_beats_words_on_held_out_texts(spark):
-    """Bits a byte of held-out texts: the tree against the words (which give all unknown words one probability)."""
+def test_tree_stays_near_the_words_on_held_out_texts(spark):
+    """Bits a byte of held-out texts of known words: a tree of five bytes is worse than the words (1.36 against 1.24), by less than 0.25."""
     rng = random.Random(4)
     syllables = ["ka", "lo", "mi", "ten", "sur", "vo", "pra", "ne"]
     vocabulary = ["".join(rng.choices(syllables, k=rng.randint(2, 4))) for _ in range(3000)]
@@ -371,7 +371,7 @@ def test_tree_beats_words_on_held_out_texts(spark):
     size = sum(len(t) + 1 for i, t in data if zlib.crc32(str(i).encode()) % 10 == 0)
     tree, words = (-sum(x) / math.log10(2) / size for x in ([r.score for r in got], [r.base_score for r in got]))
     print("bits a byte", tree, words)
-    assert tree < 2.5 and tree < words + 0.7
+    assert words < tree < words + 0.25
 
 
 def test_lookup():
@@ -410,6 +410,23 @@ def test_chat(spark, monkeypatch):
     assert plain(chat.rotate(df)) == whole
 
 
+def test_turns_that_are_no_whole_numbers(spark, monkeypatch):
+    """Fractions, signs, infinities, NaN and null keep their order in crowded blocks too."""
+    numbers = [i / 10 for i in range(-30, 60)] + [1.2, 1.7, 1.2, -0.5, float("inf"), float("-inf"), float("nan"), float("nan"), None, None, 1e300, 2.0**62]
+    df = spark.createDataFrame([(1, x, ["ann", "bob", None][i % 3], f"t{i}") for i, x in enumerate(numbers)], "conv_id long, turn double, role string, text string")
+    plain = lambda d: Counter(map(tuple, d.collect()))
+    want = plain(chat.rotate(df))
+    seq = {r.piece.split(">")[1].split("<")[0]: r.seq for r in chat.rotate(df).filter("participant = 'ann'").collect()}
+    rank = lambda x: (x is not None, x is not None and x != x, 0 if x is None or x != x else x)
+    order = [rank(numbers[int(t[1:])]) for t in sorted(seq, key=seq.get)]
+    assert order == sorted(order) and len(order) == len(numbers)
+    for crowded in (5, 1):
+        monkeypatch.setattr(chat, "CROWDED", crowded)
+        assert plain(chat.rotate(df)) == want
+        whole = chat.rotate(df.filter("turn is null or abs(turn) < 100").selectExpr("conv_id", "cast(turn * 10 as decimal(20, 1)) turn", "role", "text"))
+        assert whole.count() == 3 * df.filter("turn is null or abs(turn) < 100").count()
+
+
 def test_chat_sql_and_a_long_conversation(spark, monkeypatch):
     rng = random.Random(9)
     rows = CHAT + [(5, rng.randint(0, 40), rng.choice(["ann", "bob", None, "system", "c c"]), rng.choice(["a", "bé", "x" * 50, None])) for _ in range(400)] + [(6, i, f"p{i % 3}", "t" * (i % 5)) for i in range(2000)]
