@@ -14,14 +14,14 @@ def ingest_new_files(spark: SparkSession, root: str, out: str, checkpoint: str,
     """Parse the files under ``root`` that no earlier run has read and append their hands to ``out/hands``.
 
     A file-source query with availableNow keeps the list of read files in ``checkpoint``. Hands whose id is
-    already in the table go to ``out/parse_errors`` as duplicates, rejected blocks and files that are no text as errors. A batch that
+    already in the table go to ``out/parse_errors`` as duplicates, rejected blocks and files without content as errors. A batch that
     is run again after a failure writes to the same folder and replaces what it wrote before; the folder is named by the
     query's id (kept in the checkpoint) and the batch, so a new checkpoint never overwrites what an earlier one wrote.
     """
     reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    files = reader.load(root).select(F.col("path").alias("source_file"), F.try_validate_utf8(F.col("content").cast("string")).alias("value"))
+    files = reader.load(root).select(F.col("path").alias("source_file"), handtext.decoded(F.col("content")).alias("value"))
 
     def batch(df: DataFrame, number: int) -> None:
         query = spark.read.text(f"{checkpoint}/metadata").first()["value"].split('"')[3]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,11 +122,11 @@ def test_unreadable_files_and_new_checkpoints(spark, tmp_path):
     (root / "a.txt").write_text(FULL)
     (root / "bad.txt").write_bytes(b"PokerStars Hand #9: \xff\xfe\xff")
     t = handtext.read_texts(spark, str(tmp_path / "corpus"))
-    assert [r.source_file.rpartition("/")[2] for r in handtext.unreadable(t).collect()] == ["bad.txt"]
+    assert handtext.unreadable(t).count() == 0 and handtext.unreadable(t.withColumn("value", F.lit(None).cast("string"))).count() == 2
     out = str(tmp_path / "out")
     ingest_new_files(spark, str(tmp_path / "corpus"), out, str(tmp_path / "cp1"))
     errors = lambda: sorted((r.error_type, r.hand_id) for r in spark.read.parquet(f"{out}/parse_errors").collect())
-    assert errors() == [("read_error", None)]
+    assert [e for e, _ in errors()] == ["parse_error"]  # a block whose head cannot be parsed
     # Another checkpoint reads the files again and must not overwrite what the first one wrote.
     (root / "c.txt").write_text(WALK)
     ingest_new_files(spark, str(tmp_path / "corpus"), out, str(tmp_path / "cp2"))
@@ -132,6 +134,24 @@ def test_unreadable_files_and_new_checkpoints(spark, tmp_path):
     assert ("duplicate", "1") in errors()
 
 
+def test_bytes_that_are_no_utf8_cost_no_hand(spark, tmp_path):
+    """Three hands, one of a player with a Latin-1 name."""
+    root = tmp_path / "corpus" / "NL50" / "2014"
+    root.mkdir(parents=True)
+    hands = [FULL.replace("#1:", f"#{i}:", 1) for i in (11, 12, 13)]
+    name = re.search(r"Seat 1: (\S+) ", FULL)[1]
+    data = "".join(hands).encode()
+    data = data.replace(name.encode(), b"Jos\xe9")
+    (root / "a.txt").write_bytes(data)
+    t = handtext.read_texts(spark, str(tmp_path / "corpus"))
+    p = ingest.parsed(ingest.folder_fields(ingest.blocks(t.select("source_file", "value"))))
+    assert sorted(r.hand_id for r in ingest.hands_of(p).collect()) == ["11", "12", "13"]
+    assert ingest.players_of(p).filter(F.col("player_name") == "Jos\ufffd").count() == 3
+    out = str(tmp_path / "out")
+    ingest_new_files(spark, str(tmp_path / "corpus"), out, str(tmp_path / "cp"))
+    assert spark.read.parquet(f"{out}/hands").count() == 3 and spark.read.parquet(f"{out}/parse_errors").count() == 0
+
+
 def test_tables_are_read_as_slices(spark, sf):
     from railbird.plans import hands
     from railbird.sources import fixture

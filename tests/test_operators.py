@@ -156,13 +156,23 @@ def test_vectors_that_are_null_or_ragged(spark):
     assert outliers.pca(none).filter("pc1 is not null").count() == 0 and outliers.isolation_forest(none, trees=2).count() == 5
 
 
-def test_isolation_forest_samples_follow_a_share_of_all_hashes(spark):
+def test_isolation_forest_finds_a_far_row_among_many(spark):
+    """With 256 of 4,001 rows in each of 300 trees, the far row is in some 19 of them."""
     df = spark.range(4000).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
-    r = outliers.isolation_forest(df.unionByName(spark.createDataFrame([(9999, [50.0, 50.0])], "vec_id long, embedding array<double>")), trees=20, sample=64)
+    r = outliers.isolation_forest(df.unionByName(spark.createDataFrame([(9999, [50.0, 50.0])], "vec_id long, embedding array<double>")))
     top = r.orderBy(F.desc("iso_score")).first()
     assert top.vec_id == 9999 and top.iso_flag
 
 
+@pytest.mark.parametrize("n", [40, 64, 3000])
+def test_every_tree_has_its_rows(spark, n):
+    good = spark.range(n).select("id", F.array(F.rand(1)).alias("v"))
+    rows = outliers.smallest_hashes(good, 30, 64, 42)
+    assert [r["count"] for r in rows.groupBy("tree").count().collect()] == [min(64, n)] * 30
+    h = {r.id: r.h for r in good.select("id", F.xxhash64("id", F.lit(7), F.lit(42)).alias("h")).collect()}
+    assert {r.id for r in rows.filter("tree = 7").collect()} == set(sorted(h, key=h.get)[:64])
+
+
 def test_nearest_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     x = np.round(rng.normal(size=(90, 3)), 1)
