@@ -112,10 +112,11 @@ def _unfolded(key: np.ndarray, spaces: list[int], kept: list) -> list[np.ndarray
         key = seen[own[-1]]
 
 
-def tied(codes: list[np.ndarray], counts: np.ndarray, names: np.ndarray, words: pa.Array, longest: int) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(head, tails) of a segment's windows: a phrase of fewer than ``longest`` words, and ``count`` tab ``word`` of what follows it, line by line.
+def tied(codes: list[np.ndarray], counts: np.ndarray, names: np.ndarray, words: pa.Array, longest: int) -> Iterator[pa.Array]:
+    """Lines of a segment's windows: a phrase of fewer than ``longest`` words, its count, and a line of count, tab, word for each word that follows it.
 
-    head is the language, a tab, and words tied by spaces. The first line, without a word, counts the head itself; only heads of ``longest - 1`` words have others.
+    The phrase is the language, a tab, and words tied by spaces; only phrases of ``longest - 1`` words have further lines. One text is the
+    narrowest row.
     """
     none = len(words)
     text = lambda n: pc.cast(pa.array(n), pa.string())
@@ -132,7 +133,7 @@ def tied(codes: list[np.ndarray], counts: np.ndarray, names: np.ndarray, words:
             ends = np.concatenate([[0], np.cumsum(follows)])[[*at, len(follows)]]
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), lines).filter(pa.array(whole))
             own = pc.binary_join_element_wise(own, pc.binary_join(lists, "\n"), "\n")
-        yield head, own
+        yield pc.binary_join_element_wise(head, own, "\n")
 
 
 def _counted(longest: int, size: int, rows: int):
@@ -141,7 +142,7 @@ def _counted(longest: int, size: int, rows: int):
             texts = [t or b"" for t in b.column(0).cast(pa.binary()).to_pylist()]
             for found in windows(texts, b.column(1).to_pylist(), size, longest):
                 for part in tied(*found, longest):
-                    whole = pa.RecordBatch.from_arrays(list(part), ["head", "tails"])
+                    whole = pa.RecordBatch.from_arrays([part], ["lines"])
                     yield from (whole.slice(lo, rows) for lo in range(0, whole.num_rows, rows))
 
     return run
@@ -150,8 +151,9 @@ def _counted(longest: int, size: int, rows: int):
 def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, w1, w2, .., f): all words of a language, and the phrases of 2 to ``longest`` words that occur ``least`` times; stored."""
     d = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
-    rows = d.mapInArrow(_counted(longest, SEGMENT, ROWS), "head string, tails string").repartition("head")
-    line = rows.select("head", F.explode(F.split("tails", "\n")).alias("line")).filter("line <> ''")
+    head = F.substring_index("lines", "\n", 1)
+    rows = d.mapInArrow(_counted(longest, SEGMENT, ROWS), "lines string").repartition(head)
+    line = rows.select(head.alias("head"), F.explode(F.slice(F.split("lines", "\n"), 2, 2**31 - 1)).alias("line")).filter("line <> ''")
     # No word has a tab or blank. What follows one head lies in one partition, so this is no second exchange.
     line = line.select("head", F.substring_index("line", "\t", 1).cast("long").alias("f"), F.when(F.col("line").contains("\t"), F.substring_index("line", "\t", -1)).alias("tail"))
     c = line.groupBy("head", "tail").agg(F.sum("f").alias("f"))
