@@ -16,7 +16,7 @@ def overall(facts: DataFrame, *keys: str) -> DataFrame:
     """Hands, player-hands, VPIP and PFR at ``keys``; the gap is the difference of the two rounded rates."""
     n = F.count("*")
     g = facts.groupBy(*keys).agg(
-        F.count_distinct("hand_id").alias("hands"), n.alias("player_hands"), count_if(F.col("vpip")).alias("vpip_count"), count_if(F.col("pfr")).alias("pfr_count"),
+        count_if(F.col("hand_first")).alias("hands"), n.alias("player_hands"), count_if(F.col("vpip")).alias("vpip_count"), count_if(F.col("pfr")).alias("pfr_count"),
         pct(count_if(F.col("vpip")), n).alias("vpip_pct"), pct(count_if(F.col("pfr")), n).alias("pfr_pct"),
     )
     return g.withColumn("vpip_pfr_gap_pp", rounded(F.col("vpip_pct") - F.col("pfr_pct")))
@@ -36,7 +36,7 @@ def by_year(facts: DataFrame) -> DataFrame:
     n = F.count("*")
     c = lambda x: count_if(F.col(x))
     return facts.groupBy("dataset", "year").agg(
-        F.count_distinct("hand_id").alias("hands"), n.alias("player_hands"), pct(c("vpip"), n).alias("vpip_pct"), pct(c("pfr"), n).alias("pfr_pct"),
+        count_if(F.col("hand_first")).alias("hands"), n.alias("player_hands"), pct(c("vpip"), n).alias("vpip_pct"), pct(c("pfr"), n).alias("pfr_pct"),
         c("three_bet_opp").alias("three_bet_opps"), pct(c("three_bet_hit"), c("three_bet_opp")).alias("three_bet_pct"), c("cbet_opp").alias("cbet_opps"),
         pct(c("cbet_hit"), c("cbet_opp")).alias("cbet_pct"), per_hundred(F.sum("net_won"), F.max("bb"), n).alias("bb100"),
     )
@@ -56,26 +56,32 @@ def preflop(facts: DataFrame, *keys: str) -> DataFrame:
     return facts.groupBy(*keys).agg(*out)
 
 
-def postflop(facts: DataFrame, responses: DataFrame, checks: DataFrame) -> DataFrame:
+def postflop(facts: DataFrame) -> DataFrame:
+    """Continuation bets, barrels, the answers to flop bets and check-raises; one group-by, no joins."""
     c = lambda x: count_if(F.col(x))
-    a = facts.groupBy("dataset").agg(
+    # No answer in a dataset is no rate: null, not 0.
+    answers = F.nullif(F.count("cbet_response"), F.lit(0))
+    fold = F.when(answers.isNotNull(), count_if(F.col("cbet_response") == "fold"))
+    return facts.groupBy("dataset").agg(
         c("cbet_opp").alias("cbet_opps"), c("cbet_hit").alias("cbets"), pct(c("cbet_hit"), c("cbet_opp")).alias("cbet_pct"),
         c("turn_cbet_opp").alias("turn_cbet_opps"), pct(c("turn_cbet_hit"), c("turn_cbet_opp")).alias("turn_cbet_pct"),
         c("river_cbet_opp").alias("river_cbet_opps"), pct(c("river_cbet_hit"), c("river_cbet_opp")).alias("river_cbet_pct"),
         c("double_barrel").alias("double_barrels"), pct(c("double_barrel"), c("cbet_hit")).alias("double_barrel_pct"), c("triple_barrel").alias("triple_barrels"),
+        answers.alias("fold_to_cbet_opps"), fold.alias("fold_to_cbet_count"), pct(fold, answers).alias("fold_to_cbet_pct"), *_check_raises(),
     )
-    fold = count_if(F.col("response") == "fold")
-    b = responses.groupBy("dataset").agg(F.count("*").alias("fold_to_cbet_opps"), fold.alias("fold_to_cbet_count"), pct(fold, F.count("*")).alias("fold_to_cbet_pct"))
-    return a.join(b, "dataset", "left").join(check_raise(checks), "dataset", "left")
 
 
-def check_raise(checks: DataFrame) -> DataFrame:
-    """Check-raises per dataset, one group of columns per street. ``checks(dataset, street, opp, hit)``."""
+def _check_raises() -> list[Column]:
     out = []
     for s in ("flop", "turn", "river"):
-        opp, hit = count_if((F.col("street") == s) & F.col("opp")), count_if((F.col("street") == s) & F.col("hit"))
+        opp, hit = count_if(F.col(f"check_raise_{s}_opp")), count_if(F.col(f"check_raise_{s}_hit"))
         out += [opp.alias(f"check_raise_{s}_opps"), hit.alias(f"check_raise_{s}_count"), pct(hit, opp).alias(f"check_raise_{s}_pct")]
-    return checks.groupBy("dataset").agg(*out)
+    return out
+
+
+def check_raise(facts: DataFrame) -> DataFrame:
+    """Check-raises per dataset, one group of columns per street."""
+    return facts.groupBy("dataset").agg(*_check_raises())
 
 
 def bb100(facts: DataFrame, hands: DataFrame) -> DataFrame:
@@ -86,7 +92,7 @@ def bb100(facts: DataFrame, hands: DataFrame) -> DataFrame:
         return g.withColumn("granularity", F.when(F.col("_g") == 1, "overall").otherwise("year")).drop("_g")
 
     n = F.count("*")
-    p = sets(facts, F.count_distinct("hand_id").alias("hands"), n.alias("player_hands"), per_hundred(F.sum("net_won"), F.max("bb"), n).alias("bb100"))
+    p = sets(facts, count_if(F.col("hand_first")).alias("hands"), n.alias("player_hands"), per_hundred(F.sum("net_won"), F.max("bb"), n).alias("bb100"))
     rake, raked = F.coalesce("rake", F.lit(0)), count_if(F.col("rake") > 0)
     r = sets(
         hands,

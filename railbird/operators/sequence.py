@@ -1,8 +1,8 @@
 """Facts of hands from their action sequences.
 
-Everything rests on one distribution of the actions by hand: windows over the hand number the raises and count
-what came before, one aggregation by (hand, player) and one by hand collapse them into flags. The metrics at any
-grain are then plain group-bys of the flags.
+The facts rest on one distribution by hand: hands, players and actions meet as one row per hand, and a fold over its sorted
+actions gives every player's flags in one pass. The metrics at any grain are then plain group-bys of the flags. The single steps
+(numbered raises, first actions, answers, check-raises) are also there as tables of their own, by windows over the hand.
 """
 
 from __future__ import annotations
@@ -113,59 +113,116 @@ def response_after_event(actions: DataFrame) -> DataFrame:
     return r.filter("vs_3bet is not null or vs_4bet is not null")
 
 
+def hand_rows(hands: DataFrame, players: DataFrame, actions: DataFrame) -> DataFrame:
+    """One row per primary hand: h (its own columns), ps (its seated players), acts (its actions in order).
+
+    The three tables meet in one exchange by hand, as rows of one union; a hand is some 40 small rows.
+    """
+    h = primary_hands(hands).select(
+        "hand_id",
+        F.struct(
+            "dataset", "year", "bb", (F.col("board_flop").isNotNull() & (F.col("num_players_flop") >= 2)).alias("flop_ok"), F.col("board_turn").isNotNull().alias("turn_ok"),
+            F.col("board_river").isNotNull().alias("river_ok"),
+        ).alias("h"),
+    )
+    p = players.filter("position is not null").select("hand_id", F.struct("player_name", "position", "net_won").alias("p"))
+    a = actions.select("hand_id", F.struct(F.col("action_index").alias("i"), F.col("street").alias("st"), F.col("player_name").alias("p"), F.col("action_type").alias("t"), F.col("amount").alias("m")).alias("a"))
+    u = h.unionByName(p, allowMissingColumns=True).unionByName(a, allowMissingColumns=True)
+    g = u.groupBy("hand_id").agg(F.first("h", ignorenulls=True).alias("h"), F.collect_list("p").alias("ps"), F.array_sort(F.collect_list("a")).alias("acts"))
+    return g.filter("h is not null")
+
+
+def _no(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def _with_landmarks(g: DataFrame) -> DataFrame:
+    """Adds q, what the fold over a hand refers to: places and players of its first three counted raises, its aggressor, his first flop bet, the first money.
+
+    In two steps, so that no filter runs inside another.
+    """
+    pre = lambda a: a["st"] == "preflop"
+    raises = F.filter("acts", lambda a: pre(a) & (a["t"] == "raise"))
+    g = g.withColumn("raises", raises)
+    g = g.withColumns({"big": F.filter("raises", lambda a: a["m"] > F.col("h.bb")), "pfa": F.try_element_at("raises", F.lit(-1))["p"]})
+    cbet = F.get(F.filter("acts", lambda a: (a["st"] == "flop") & (a["t"] == "bet") & (a["p"] == F.col("pfa"))), F.lit(0))["i"]
+    money = F.get(F.filter("acts", lambda a: pre(a) & a["t"].isin("call", "raise", "bet")), F.lit(0))["i"]
+    nth = lambda k: F.get("big", F.lit(k))
+    q = F.struct(nth(0)["i"].alias("i1"), nth(0)["p"].alias("n1"), nth(1)["i"].alias("i2"), nth(1)["p"].alias("n2"), nth(2)["i"].alias("i3"), "pfa", cbet.alias("cbet"), money.alias("money"))
+    return g.withColumn("q", q).drop("raises", "big", "pfa")
+
+
+def _player_fold(acts: str, me: Column, q: Column) -> Column:
+    """One pass over the hand's actions for a player: a state of flags and first answers, each updated by an action."""
+    pre = lambda a: a["st"] == "preflop"
+    mine = lambda a: a["p"] == me
+    answers = lambda a: mine(a) & pre(a) & ~a["t"].isin(*POSTS)
+    # After two counted raises and before the third is past.
+    two = lambda a: (a["i"] > q["i2"]) & _no((a["i"] <= q["i3"]) | q["i3"].isNull())
+    flag = lambda name, cond: (name, F.lit(False), lambda s, a: s[name] | _no(cond(s, a)))
+    kept = lambda name, kind, cond, value: (name, F.lit(None).cast(kind), lambda s, a: F.when(s[name].isNull() & _no(cond(a)), value(a)).otherwise(s[name]))
+    kind = lambda a: a["t"]
+    fields = [
+        flag("vpip", lambda s, a: mine(a) & pre(a) & a["t"].isin("call", "raise", "bet")),
+        flag("pfr", lambda s, a: mine(a) & pre(a) & (a["t"] == "raise")),
+        kept("f", "struct<i:bigint,t:string,m:bigint>", lambda a: mine(a) & pre(a) & a["t"].isin(*VOLUNTARY), lambda a: F.struct(a["i"].alias("i"), a["t"].alias("t"), a["m"].alias("m"))),
+        kept("vs_3bet", "string", lambda a: answers(a) & (me == q["n1"]) & (a["i"] > q["i2"]), kind),
+        kept("vs_4bet", "string", lambda a: answers(a) & (me == q["n2"]) & (a["i"] > q["i3"]), kind),
+        kept("vs_open", "string", lambda a: answers(a) & (a["i"] > q["i1"]), kind),
+        flag("faced_two", lambda s, a: answers(a) & two(a)),
+        flag("raised_second", lambda s, a: answers(a) & two(a) & (a["t"] == "raise")),
+    ]
+    for st in ("flop", "turn", "river"):
+        on = lambda a, st=st: a["st"] == st
+        fields += [
+            flag(f"bet_{st}", lambda s, a, on=on: mine(a) & on(a) & (a["t"] == "bet")),
+            # Check first, then somebody else's bet, then (before or after that bet) a raise: the earlier state counts.
+            flag(f"others_{st}", lambda s, a, on=on, st=st: s[f"checked_{st}"] & on(a) & ~mine(a) & (a["t"] == "bet")),
+            flag(f"again_{st}", lambda s, a, on=on, st=st: s[f"checked_{st}"] & on(a) & mine(a) & (a["t"] == "raise")),
+            flag(f"checked_{st}", lambda s, a, on=on: mine(a) & on(a) & (a["t"] == "check")),
+        ]
+    start = F.struct(*[zero.alias(name) for name, zero, _ in fields])
+    return F.aggregate(acts, start, lambda s, a: F.struct(*[step(s, a).alias(name) for name, _, step in fields]))
+
+
 def player_hand_facts(hands: DataFrame, players: DataFrame, actions: DataFrame) -> DataFrame:
-    """One row per primary hand and seated player with every flag that the metrics need."""
-    a = annotated(primary_actions(hands, actions))
-    act = _pre() & ~_is(*POSTS)
-    me = F.col("player_name")
-    first = F.min(F.when(_pre() & _is(*VOLUNTARY), F.struct("action_index", "action_type", "amount", "raises_before", "money_before")))
-    bet = lambda street: F.max((F.col("street") == street) & _is("bet"))
-    f = a.groupBy("hand_id", "player_name").agg(
-        F.max(_pre() & _is("call", "raise", "bet")).alias("vpip"),
-        F.max(_pre() & _is("raise")).alias("pfr"),
-        first.alias("f"),
-        F.max(F.col("big") & (F.col("raises_before") == 0)).alias("opened"),
-        F.first(F.struct("opener", "three", "four", "pfa")).alias("seq"),
-        _response(act & (me == F.col("opener.player_name")) & (F.col("action_index") > F.col("three.action_index"))).alias("vs_3bet"),
-        _response(act & (me == F.col("three.player_name")) & (F.col("action_index") > F.col("four.action_index"))).alias("vs_4bet"),
-        _response(act & (F.col("action_index") > F.col("opener.action_index"))).alias("vs_open"),
-        F.max(_pre() & _is("raise") & (F.col("raises_before") == 2)).alias("raised_second"),
-        F.max(act & (F.col("raises_before") == 2)).alias("faced_two"),
-        bet("flop").alias("bet_flop"),
-        bet("turn").alias("bet_turn"),
-        bet("river").alias("bet_river"),
-    )
-    p = primary_players(hands, players).select("hand_id", "dataset", "year", "bb", "player_name", "position", "net_won")
-    h = primary_hands(hands).select("hand_id", (F.col("board_flop").isNotNull() & (F.col("num_players_flop") >= 2)).alias("flop_ok"), F.col("board_turn").isNotNull().alias("turn_ok"), F.col("board_river").isNotNull().alias("river_ok"))
-    opener_pos = F.max(F.when(F.col("player_name") == F.col("seq.opener.player_name"), F.col("position"))).over(W.partitionBy("hand_id"))
-    x = p.join(f, ["hand_id", "player_name"], "left").join(h, "hand_id").withColumn("opener_position", opener_pos)
-    no = lambda c: F.coalesce(c, F.lit(False))
-    faced = lambda n: no(F.col("f.raises_before") == n)
-    raised = no(F.col("f.action_type") == "raise")
-    pfa = no(F.col("player_name") == F.col("seq.pfa"))
-    defends = (F.col("position") == "BB") & no(F.col("opener_position") != "BB")
+    """One row per primary hand and seated player with every flag that the metrics need.
+
+    A fold over the hand's sorted actions yields all flags of a player in one pass, so the tables are dealt out by hand once
+    and nothing is joined afterwards. hand_first is true for one row of each hand; cbet_response (the first fold, call or raise of somebody
+    else after the aggressor's flop bet) stands in the aggressor's row.
+    """
+    g = _with_landmarks(hand_rows(hands, players, actions))
+    q = F.col("q")
+    g = g.withColumn("opener_position", F.get(F.filter("ps", lambda p: p["player_name"] == q["n1"]), F.lit(0))["position"])
+    answer = F.filter("acts", lambda a: (a["st"] == "flop") & (a["i"] > q["cbet"]) & (a["p"] != q["pfa"]) & a["t"].isin("fold", "call", "raise"))
+    g = g.withColumn("response", F.get(answer, F.lit(0))["t"])
+    folds = F.transform("ps", lambda p: F.struct(p.alias("p"), _player_fold("acts", p["player_name"], q).alias("s")))
+    x = g.select("hand_id", "h", "q", "opener_position", "response", F.posexplode(folds).alias("pos", "e")).select("hand_id", "h.*", "q", "opener_position", "response", "pos", "e.p.*", "e.s.*")
+    first = F.when(F.col("f").isNotNull(), F.when(F.col("f.i") <= F.coalesce("q.i1", "f.i"), 0).when(F.col("f.i") <= F.coalesce("q.i2", "f.i"), 1).when(F.col("f.i") <= F.coalesce("q.i3", "f.i"), 2).otherwise(3))
+    x = x.withColumns({"raises_before": first, "folded_to": F.col("f").isNotNull() & ~_no(F.col("q.money") < F.col("f.i"))})
+    faced = lambda n: _no(F.col("raises_before") == n)
+    raised = _no(F.col("f.t") == "raise")
+    over = _no(F.col("f.m") > F.col("bb"))
+    pfa = _no(F.col("player_name") == F.col("q.pfa"))
+    defends = (F.col("position") == "BB") & _no(F.col("opener_position") != "BB")
+    street = lambda st: [F.col(f"others_{st}").alias(f"check_raise_{st}_opp"), (F.col(f"others_{st}") & F.col(f"again_{st}")).alias(f"check_raise_{st}_hit")]
+    cbet = pfa & F.col("flop_ok") & F.col("bet_flop")
     return x.select(
-        "hand_id", "dataset", "year", "bb", "player_name", "position", "net_won", "opener_position",
-        no(F.col("vpip")).alias("vpip"), no(F.col("pfr")).alias("pfr"), F.col("f.action_type").alias("first_action"),
-        (faced(0) & (F.col("position") != "BB")).alias("rfi_opp"), (faced(0) & raised & no(F.col("f.amount") > F.col("bb"))).alias("rfi_hit"),
-        (no(~F.col("f.money_before")) & (F.col("position") != "BB")).alias("rfi_ft_opp"), (no(~F.col("f.money_before")) & raised & no(F.col("f.amount") > F.col("bb"))).alias("rfi_ft_hit"),
+        "hand_id", "dataset", "year", "bb", "player_name", "position", "net_won", "opener_position", (F.col("pos") == 0).alias("hand_first"),
+        "vpip", "pfr", F.col("f.t").alias("first_action"),
+        (faced(0) & (F.col("position") != "BB")).alias("rfi_opp"), (faced(0) & raised & over).alias("rfi_hit"),
+        (F.col("folded_to") & (F.col("position") != "BB")).alias("rfi_ft_opp"), (F.col("folded_to") & raised & over).alias("rfi_ft_hit"),
         faced(1).alias("three_bet_opp"), (faced(1) & raised).alias("three_bet_hit"), faced(2).alias("cold_four_bet_opp"), (faced(2) & raised).alias("cold_four_bet_hit"),
-        no(F.col("faced_two")).alias("four_bet_opp"), no(F.col("raised_second")).alias("four_bet_hit"), "vs_3bet", "vs_4bet",
-        F.when(defends, F.col("vs_open")).alias("bb_response"), (pfa & F.col("flop_ok")).alias("cbet_opp"), (pfa & F.col("flop_ok") & no(F.col("bet_flop"))).alias("cbet_hit"),
-        (pfa & F.col("turn_ok")).alias("turn_cbet_opp"), (pfa & F.col("turn_ok") & no(F.col("bet_turn"))).alias("turn_cbet_hit"),
-        (pfa & F.col("river_ok")).alias("river_cbet_opp"), (pfa & F.col("river_ok") & no(F.col("bet_river"))).alias("river_cbet_hit"),
-        (pfa & F.col("flop_ok") & no(F.col("bet_flop")) & no(F.col("bet_turn"))).alias("double_barrel"),
-        (pfa & F.col("flop_ok") & no(F.col("bet_flop")) & no(F.col("bet_turn")) & no(F.col("bet_river"))).alias("triple_barrel"),
+        F.col("faced_two").alias("four_bet_opp"), F.col("raised_second").alias("four_bet_hit"), "vs_3bet", "vs_4bet",
+        F.when(defends, F.col("vs_open")).alias("bb_response"), (pfa & F.col("flop_ok")).alias("cbet_opp"), cbet.alias("cbet_hit"),
+        (pfa & F.col("turn_ok")).alias("turn_cbet_opp"), (pfa & F.col("turn_ok") & F.col("bet_turn")).alias("turn_cbet_hit"),
+        (pfa & F.col("river_ok")).alias("river_cbet_opp"), (pfa & F.col("river_ok") & F.col("bet_river")).alias("river_cbet_hit"),
+        (cbet & F.col("bet_turn")).alias("double_barrel"), (cbet & F.col("bet_turn") & F.col("bet_river")).alias("triple_barrel"),
+        F.when(pfa, F.col("response")).alias("cbet_response"), *street("flop"), *street("turn"), *street("river"),
     )
 
 
-def cbet_responses(actions: DataFrame) -> DataFrame:
-    """(hand_id, dataset, response): the first fold, call or raise of somebody else after the aggressor's flop bet."""
-    a = annotated(actions)
-    cond = (F.col("street") == "flop") & (F.col("action_index") > F.col("cbet_at")) & (F.col("player_name") != F.col("pfa")) & _is("fold", "call", "raise")
-    return a.groupBy("hand_id", "dataset").agg(_response(cond).alias("response")).filter("response is not null")
-
-
 #: The same facts for DuckDB, after ``railbird.sources.fixture.SQL``.
 SQL = """,
 pa AS (SELECT a.*, h.dataset, h.year, h.bb, h.board_flop, h.board_turn, h.board_river, h.num_players_flop FROM actions a JOIN hands h USING (hand_id) WHERE h.is_primary),

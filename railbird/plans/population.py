@@ -21,11 +21,6 @@ def _pa(spark, sf_dir):
     return sequence.primary_actions(fixture.hands(spark, sf_dir), fixture.actions(spark, sf_dir))
 
 
-def _checks(spark, sf_dir):
-    a = _pa(spark, sf_dir)
-    return sequence.check_then_raise(a).join(a.select("hand_id", "dataset").distinct(), "hand_id")
-
-
 def metrics_overall(spark, sf_dir):
     return metrics.overall(facts(spark, sf_dir), "dataset")
 
@@ -43,11 +38,11 @@ def metrics_preflop(spark, sf_dir):
 
 
 def metrics_postflop(spark, sf_dir):
-    return metrics.postflop(facts(spark, sf_dir), sequence.cbet_responses(_pa(spark, sf_dir)), _checks(spark, sf_dir))
+    return metrics.postflop(facts(spark, sf_dir))
 
 
 def metrics_check_raise(spark, sf_dir):
-    return metrics.check_raise(_checks(spark, sf_dir))
+    return metrics.check_raise(facts(spark, sf_dir))
 
 
 def metrics_bb100(spark, sf_dir):

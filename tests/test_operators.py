@@ -183,3 +183,35 @@ def test_nearest_equals_brute_force(spark):
     for i in range(90):
         order = sorted((j for j in range(90) if j != i), key=lambda j: (d[i, j], j))[:4]
         assert [got[i, k + 1] for k in range(4)] == order
+
+
+def test_facts_need_one_exchange_by_hand(spark, sf):
+    from railbird.plans import population
+
+    for name, scans in (("metrics_postflop", 3), ("metrics_by_year", 3), ("metrics_check_raise", 3)):
+        plan = population.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(") == 2 and "Join" not in plan and plan.count("FileScan") == scans, name
+        assert "hashpartitioning(hand_id" in plan
+
+
+def test_folds_equal_the_tables_of_single_steps(spark, sf):
+    """Flags of the fold against the windows that give first actions, answers and check-raises."""
+    from railbird.sources import fixture
+
+    h, p = fixture.hands_players(spark, sf)
+    a = fixture.actions(spark, sf)
+    facts = {(r.hand_id, r.player_name): r for r in sequence.player_hand_facts(h, p, a).collect()}
+    pa = sequence.primary_actions(h, a)
+    first = {(r.hand_id, r.player_name): r for r in sequence.player_first(pa).collect()}
+    assert all((facts[k].first_action == (first[k].action_type if k in first else None)) for k in facts)
+    assert all(facts[k].three_bet_opp == (k in first and first[k].raises_before == 1) for k in facts)
+    assert all(facts[k].rfi_ft_opp == (k in first and first[k].is_folded_to and facts[k].position != "BB") for k in facts)
+    answers = {(r.hand_id, r.player_name): (r.vs_3bet, r.vs_4bet) for r in sequence.response_after_event(pa).collect()}
+    assert all((facts[k].vs_3bet, facts[k].vs_4bet) == answers.get(k, (None, None)) for k in facts)
+    xr = {(r.hand_id, r.player_name, r.street): (r.opp, r.hit) for r in sequence.check_then_raise(pa).collect()}
+    for k, r in facts.items():
+        for st in ("flop", "turn", "river"):
+            assert (r[f"check_raise_{st}_opp"], r[f"check_raise_{st}_hit"]) == xr.get((*k, st), (False, False))
+    pfa = {r.hand_id: r.pfa for r in sequence.preflop_aggressor(pa).collect()}
+    assert all(r.cbet_opp <= (pfa.get(k[0]) == k[1]) for k, r in facts.items())
+    assert sum(r.hand_first for r in facts.values()) == len({k[0] for k in facts})
