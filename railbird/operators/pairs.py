@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from railbird.functions.rates import count_if, pct, rounded
+from railbird.operators.prefix import quantiles
+from railbird.plans.stored import stored
 
 
 def expand(seated: DataFrame) -> DataFrame:
@@ -85,9 +87,10 @@ def summary(pairs: DataFrame, vol: DataFrame, min_hands: int, marks: tuple[int,
     s = F.col("shared_hands")
     n = pairs.groupBy("dataset").agg(
         F.count("*").alias("n_pairs_slice_min"), *[count_if(s >= m).alias(f"n_pairs_ge_{m}") for m in marks], F.max(s).alias("max_shared_hands"), F.sum(s).alias("total"),
-        *[rounded(F.percentile(s, F.lit(q)), 1).alias(f"p{int(q * 100)}_shared") for q in (0.5, 0.9, 0.99)],
     )
-    byvalue = pairs.groupBy("dataset", "shared_hands").agg(F.count("*").alias("c"))
+    byvalue = stored(pairs.groupBy("dataset", "shared_hands").agg(F.count("*").alias("c")))
+    marked = quantiles(byvalue, ["dataset"], "shared_hands", {"p50_shared": 0.5, "p90_shared": 0.9, "p99_shared": 0.99}, weight="c")
+    n = n.join(marked.select("dataset", *[rounded(F.col(c), 1).alias(c) for c in marked.columns[1:]]), "dataset")
     w = W.partitionBy("dataset").orderBy(F.desc("shared_hands")).rowsBetween(W.unboundedPreceding, -1)
     r = byvalue.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0))).join(n.select("dataset", "n_pairs_slice_min", "total"), "dataset")
     one = F.greatest(F.lit(1), F.floor(F.col("n_pairs_slice_min") * 0.01 + 0.5))

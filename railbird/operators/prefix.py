@@ -33,14 +33,15 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[Column | str], sums:
     return j.withColumns({f"before_{c}": F.col(f"_b_{c}") + F.col(f"_i_{c}") for c in sums}).drop(*[f"_{x}_{c}" for c in sums for x in "bi"])
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], weight: str | None = None) -> DataFrame:
     """One row per ``keys`` with the exact, linearly interpolated quantiles of ``value`` (as ``percentile`` gives) under the names of ``shares``; nulls do not count.
+    ``weight`` is the number of rows that a row stands for.
 
     Rows are counted by distinct value first, numbered by ``prefix_sums``, and only the two neighbours of each quantile meet.
     A key without values gets nulls.
     """
     every = df.select(*keys).distinct() if keys else None
-    c = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("n"))
+    c = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     c = prefix_sums(c, keys, ["_v"], ["n"])
     out = []
     for name, share in shares.items():

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from railbird.functions.rates import rounded
+from railbird.operators.prefix import quantiles
+from railbird.plans.stored import stored
 
 
 def seconds(ts: Column) -> Column:
@@ -21,17 +23,17 @@ def _share(cond: Column) -> Column:
     return rounded(F.lit(100.0) * F.count(F.when(cond, 1)) / F.count("*"))
 
 
-def _p(col: str, q: float, digits: int = 1) -> Column:
-    return rounded(F.percentile(col, F.lit(q)), digits)
-
-
 def table_gaps(hands: DataFrame) -> DataFrame:
     w = W.partitionBy("dataset", "year", "table_name").orderBy("timestamp", "hand_id")
     g = hands.withColumn("gap_s", (F.unix_micros(F.col("timestamp").cast("timestamp")) - F.unix_micros(F.lag("timestamp").over(w).cast("timestamp"))).cast("double") / 1e6).filter("gap_s is not null")
-    return g.groupBy("dataset", "year").agg(
-        F.count("*").alias("hands"), F.count_distinct("table_name").alias("tables"), _p("gap_s", 0.1).alias("gap_p10_s"), _p("gap_s", 0.5).alias("gap_p50_s"), _p("gap_s", 0.9).alias("gap_p90_s"),
+    g = stored(g.select("dataset", "year", "table_name", "gap_s"))
+    q = quantiles(g, ["dataset", "year"], "gap_s", {"gap_p10_s": 0.1, "gap_p50_s": 0.5, "gap_p90_s": 0.9})
+    q = q.select("dataset", "year", *[rounded(F.col(c), 1).alias(c) for c in q.columns[2:]])
+    r = g.groupBy("dataset", "year").agg(
+        F.count("*").alias("hands"), F.count_distinct("table_name").alias("tables"),
         _share(F.col("gap_s") <= 120).alias("pct_gaps_le_2min"), _share(F.col("gap_s") > 3600).alias("pct_gaps_gt_1h"),
     )
+    return r.join(q, ["dataset", "year"])
 
 
 def player_sessions(seated: DataFrame, gap_s: float = 1800, by: tuple[str, ...] = ("dataset", "year")) -> DataFrame:
@@ -51,14 +53,18 @@ def sessions(gaps: DataFrame) -> DataFrame:
 
 def summary(gaps: DataFrame, sess: DataFrame, min_hands: int) -> DataFrame:
     regulars = sess.groupBy("player_name").agg(F.sum("hands").alias("h")).filter(F.col("h") >= min_hands).select("player_name")
-    g = gaps.filter("gap_s is not null").join(regulars, "player_name", "left_semi").groupBy("dataset", "year").agg(
-        F.count_distinct("player_name").alias("regulars"), _p("gap_s", 0.5).alias("player_gap_p50_s"), _share(F.col("gap_s") <= 120).alias("pct_player_gaps_le_2min"), _share(F.col("gap_s") > 86400).alias("pct_player_gaps_gt_1day")
+    keys = ["dataset", "year"]
+    g = stored(gaps.filter("gap_s is not null").join(regulars, "player_name", "left_semi").select(*keys, "player_name", "gap_s"))
+    gap = quantiles(g, keys, "gap_s", {"p": 0.5}).select(*keys, rounded(F.col("p"), 1).alias("player_gap_p50_s"))
+    g = g.groupBy(*keys).agg(
+        F.count_distinct("player_name").alias("regulars"), _share(F.col("gap_s") <= 120).alias("pct_player_gaps_le_2min"), _share(F.col("gap_s") > 86400).alias("pct_player_gaps_gt_1day")
     )
-    s = sess.join(regulars, "player_name", "left_semi").groupBy("dataset", "year").agg(
-        F.count("*").alias("sessions"), F.percentile("hands", F.lit(0.5)).alias("session_hands_p50"), _p("minutes", 0.5).alias("session_minutes_p50"),
-        F.percentile("tables", F.lit(0.5)).alias("session_tables_p50"), _share(F.col("hands") == 1).alias("pct_single_hand_sessions"),
-    )
-    return g.join(s, ["dataset", "year"])
+    s = stored(sess.join(regulars, "player_name", "left_semi").select(*keys, *[F.col(c).cast("double").alias(c) for c in ("hands", "minutes", "tables")]))
+    long = s.unpivot(keys, ["hands", "minutes", "tables"], "metric", "value")
+    of = lambda c: F.max(F.when(F.col("metric") == c, F.col("p")))
+    mid = quantiles(long, [*keys, "metric"], "value", {"p": 0.5}).groupBy(*keys).agg(of("hands").alias("session_hands_p50"), rounded(of("minutes"), 1).alias("session_minutes_p50"), of("tables").alias("session_tables_p50"))
+    s = s.groupBy(*keys).agg(F.count("*").alias("sessions"), _share(F.col("hands") == 1).alias("pct_single_hand_sessions"))
+    return g.join(gap, keys).join(s, keys).join(mid, keys)
 
 
 def player_year(sess: DataFrame, min_hands: int) -> DataFrame:
