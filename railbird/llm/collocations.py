@@ -17,7 +17,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -65,36 +65,41 @@ def windows(texts: list[bytes], langs: list[str], size: int, longest: int) -> It
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     data = b"\n".join(texts)
     for lo, hi, end in _segments(data, size, longest):
-        b = _LOWERED[np.frombuffer(data, np.uint8, end - lo, lo)]
-        kind = _KIND[b]
-        edge = np.diff(np.concatenate([[1], kind != 0, [1]]).astype(np.int8))
-        first, behind = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        count = int((first < hi - lo).sum())  # windows that begin in this segment
-        if not count:
-            continue
-        piece = np.cumsum(kind == 2, dtype=np.int32)[first]
-        offsets = np.concatenate([[0], np.cumsum(behind - first)]).astype(np.int32)
-        words = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(b[kind == 0])).dictionary_encode()
-        code, none = words.indices.to_numpy().astype(np.int64), len(words.dictionary)  # none: past the end of the piece
-        parts = [code[:count]]
-        for k in range(1, longest):
-            nxt = np.full(count, none)
-            there = max(0, min(count, len(code) - k))
-            nxt[:there] = np.where(piece[k : there + k] == piece[:there], code[k : there + k], none)
-            parts.append(nxt)
-        parts[0] = parts[0] * len(names) + lang_of[np.searchsorted(begins, first[:count] + lo, "right") - 1]
-        key, spaces = parts[-1], [none + 1]
-        kept = []
-        for p in parts[-2::-1]:
-            if (int(p.max()) + 1) * int(np.prod(spaces, dtype=object)) >= 2**62:  # the words so far become numbers of what there is of them
-                seen, key = np.unique(key, return_inverse=True)
-                kept.append((seen, spaces))
-                spaces = [len(seen)]
-            key = p * int(np.prod(spaces, dtype=object)) + key
-            spaces = [int(p.max()) + 1, *spaces]
-        seen, counts = np.unique(key, return_counts=True)
-        first, *rest = _unfolded(seen, spaces, kept)
-        yield [first % len(names), first // len(names), *rest], counts, names, words.dictionary
+        # A function of its own, so that a segment's arrays go before its result is used.
+        found = _windows_of(np.frombuffer(data, np.uint8, end - lo, lo), hi - lo, lambda at, lo=lo: lang_of[np.searchsorted(begins, at + lo, "right") - 1], len(names), longest)
+        if found:
+            yield found[0], found[1], names, found[2]
+
+
+def _windows_of(b: np.ndarray, size: int, language: Callable[[np.ndarray], np.ndarray], langs: int, longest: int) -> tuple[list[np.ndarray], np.ndarray, pa.Array] | None:
+    b = _LOWERED[b]
+    kind = _KIND[b]
+    edge = np.diff(np.concatenate([[1], kind != 0, [1]]).astype(np.int8))
+    first, behind = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    count = int((first < size).sum())  # windows that begin in this segment
+    if not count:
+        return None
+    piece = np.cumsum(kind == 2, dtype=np.int32)[first]
+    offsets = np.concatenate([[0], np.cumsum(behind - first)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(b[kind == 0])).dictionary_encode()
+    code, none = words.indices.to_numpy().astype(np.int64), len(words.dictionary)  # none: past the end of the piece
+    parts = [code[:count] * langs + language(first[:count])]
+    for k in range(1, longest):
+        nxt = np.full(count, none)
+        there = max(0, min(count, len(code) - k))
+        nxt[:there] = np.where(piece[k : there + k] == piece[:there], code[k : there + k], none)
+        parts.append(nxt)
+    key, spaces, kept = parts[-1], [none + 1], []
+    for p in parts[-2::-1]:
+        if (int(p.max()) + 1) * int(np.prod(spaces, dtype=object)) >= 2**62:  # the words so far become numbers of what there is of them
+            seen, key = np.unique(key, return_inverse=True)
+            kept.append((seen, spaces))
+            spaces = [len(seen)]
+        key = p * int(np.prod(spaces, dtype=object)) + key
+        spaces = [int(p.max()) + 1, *spaces]
+    seen, counts = np.unique(key, return_counts=True)
+    head, *rest = _unfolded(seen, spaces, kept)
+    return [head % langs, head // langs, *rest], counts, words.dictionary
 
 
 def _unfolded(key: np.ndarray, spaces: list[int], kept: list) -> list[np.ndarray]:
