@@ -17,6 +17,7 @@ POSTS = ("post_sb", "post_bb", "post_ante")
 #: Years of the study: first and last. Every function that applies them takes others as ``years``.
 STUDY_YEARS = (2011, 2025)
 
+#: Columns of the tables, whose names must match.
 HANDS = (
     "hand_id string, dataset string, timestamp timestamp_ntz, year long, month long, stakes_raw string, sb long, bb long, is_usd boolean, is_cap boolean, "
     "is_ante boolean, is_included boolean, is_primary boolean, table_name string, max_players long, button_seat long, num_players_dealt long, "
@@ -29,6 +30,7 @@ ACTIONS = "hand_id string, action_index long, street string, player_name string,
 PARSE_ERRORS = "source_file string, hand_id string, error_type string, message string"
 
 
+# Fixed rules: which hands the study counts.
 def included_audit(years: tuple[int, int] = STUDY_YEARS) -> Column:
     """The audits' weaker rule: dollars, no cap game, a year of the study."""
     return F.col("is_usd") & ~F.col("is_cap") & F.col("year").between(*years)
