@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from railbird.operators import decisions, sequence
 from railbird.plans.population import _c, _r
+from railbird.plans.schema import POSTS
 from railbird.plans.stored import stored
 from railbird.session import table
 from railbird.sources import decision_log, fixture
@@ -120,10 +121,19 @@ def ingest_decision_log(spark, sf_dir):
     return decision_log.read_actions(decision_log.render(a))
 
 
+def decision_replay(spark, sf_dir):
+    """Decision features from the logs alone: calls and stacks are played through, no amount of a call is read."""
+    a = _acts(spark, sf_dir)
+    log = decision_log.read_actions(decision_log.render(a.filter("action_type not like 'post%'"), boards=True))
+    blind = F.sum(F.when(F.col("action_type").isin(*POSTS), F.col("amount")))
+    seats = a.groupBy(F.col("hand_id").alias("hand"), "player_name").agg(*[F.first(c).alias(c) for c in ("seat", "position", "stack_start", "bb")], blind.alias("blind"))
+    return decisions.replay(log, seats).select(*COLS)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        decision_features, decision_mix, style_stats, bet_size_histogram, size_buckets, group_kfold, group_split, entity_scores, entity_auc, auc_ap, evidence_curve, oof_scores, oof_entities, feature_ablation, permutation_importance, ingest_decision_log,
+        decision_features, decision_mix, style_stats, bet_size_histogram, size_buckets, group_kfold, group_split, entity_scores, entity_auc, auc_ap, evidence_curve, oof_scores, oof_entities, feature_ablation, permutation_importance, ingest_decision_log, decision_replay,
     )
 }
 
@@ -164,6 +174,28 @@ def _auc(src: str, keys: str = "") -> str:
 auc_ AS (SELECT {k}max(tn)::BIGINT AS n, max(tp)::BIGINT AS positives, {_r('(sum(p * (2 * n1 + n + 1)) - max(tp) * (max(tp) + 1))::DOUBLE / 2 / nullif((max(tp) * (max(tn) - max(tp)))::DOUBLE, 0)', 6)} AS roc_auc, {_r('sum(p * (tp - p1)::DOUBLE / (tn - n1)) / nullif(max(tp), 0)', 6)} AS avg_precision, {_r('sum(CASE WHEN s >= 0.5 THEN p ELSE n - p END)::DOUBLE / max(tn)', 6)} AS accuracy FROM w_ {f'GROUP BY {keys}' if keys else ''})"""
 
 
+#: The hands played step by step: a recursive query carries stacks, street and pot from one action to the next.
+_REPLAY = _A.replace("WITH s0", "WITH RECURSIVE s0", 1) + """,
+ls AS (SELECT hand_id, list_position(['preflop', 'flop', 'turn', 'river'], street) - 1 AS sx, seat, row_number() OVER (PARTITION BY hand_id ORDER BY action_index) AS n,
+  CASE WHEN action_type = 'fold' THEN 'f' WHEN action_type IN ('check', 'call') THEN 'cc' ELSE 'cbr' END AS kind, amount AS target FROM da WHERE action_type NOT LIKE 'post%'),
+lg AS MATERIALIZED (SELECT *, n - 1 + sx AS step FROM ls),
+se AS (SELECT hand_id, any_value(bb) AS bb, player_name, any_value(seat) AS seat, any_value(position) AS position, any_value(stack_start) AS stack, coalesce(sum(amount) FILTER (action_type LIKE 'post%'), 0)::BIGINT AS blind FROM da GROUP BY hand_id, player_name),
+h_ AS (SELECT hand_id, any_value(bb) AS bb, list(seat ORDER BY seat) AS ss, list(player_name ORDER BY seat) AS names, list(position ORDER BY seat) AS places, list((stack - blind)::BIGINT ORDER BY seat) AS stack, list(blind ORDER BY seat) AS has, sum(blind)::BIGINT AS pot, max(blind) AS bet FROM se GROUP BY hand_id),
+rp AS (SELECT hand_id, bb, ss, names, places, 0::BIGINT AS n, 0::BIGINT AS sx, stack, has, list_transform(ss, lambda x: false) AS gone, pot, bet, (bet > 0)::BIGINT AS raises, 0::BIGINT AS acts, 0::BIGINT AS pfa,
+  0::BIGINT AS step, 0::BIGINT AS w, 0::BIGINT AS players_left, 0::BIGINT AS raises_before, 0::BIGINT AS actions_before, 0::BIGINT AS to_call, 0::BIGINT AS pot_before, 0::BIGINT AS mine, false AS in_position, false AS aggressor, '' AS decision, 0::BIGINT AS added FROM h_
+UNION ALL
+SELECT hand_id, bb, ss, names, places, n, sx, list_transform(stack, lambda x, i: CASE WHEN i = w THEN x - added ELSE x END), list_transform(has, lambda x, i: CASE WHEN i = w THEN x + added ELSE x END),
+  list_transform(gone, lambda x, i: CASE WHEN i = w THEN kind = 'f' ELSE x END), pot + added, CASE WHEN kind = 'cbr' THEN target ELSE bet END, raises + (kind = 'cbr')::BIGINT, acts + 1, CASE WHEN kind = 'cbr' AND sx = 0 THEN w ELSE pfa END,
+  step, w, len(list_filter(gone, lambda x: NOT x))::BIGINT, raises, acts, to_call, pot, mine, sx > 0 AND w = list_max(list_transform(gone, lambda x, i: CASE WHEN x THEN 0 ELSE i END)), sx > 0 AND pfa = w,
+  CASE kind WHEN 'f' THEN 'fold' WHEN 'cc' THEN CASE WHEN to_call > 0 THEN 'call' ELSE 'check' END ELSE CASE WHEN bet > 0 THEN 'raise' ELSE 'bet' END END, added
+FROM (SELECT *, CASE kind WHEN 'cc' THEN to_call WHEN 'cbr' THEN target - has[w] ELSE 0 END AS added FROM (SELECT *, stack[w] AS mine, least(bet - has[w], stack[w]) AS to_call FROM (
+  SELECT r.hand_id, r.bb, r.ss, r.names, r.places, l.n, l.sx, r.stack, CASE WHEN l.sx > r.sx THEN list_transform(r.has, lambda x: 0::BIGINT) ELSE r.has END AS has, r.gone, r.pot, CASE WHEN l.sx > r.sx THEN 0 ELSE r.bet END AS bet,
+    CASE WHEN l.sx > r.sx THEN 0 ELSE r.raises END AS raises, CASE WHEN l.sx > r.sx THEN 0 ELSE r.acts END AS acts, r.pfa, l.step, list_position(r.ss, l.seat)::BIGINT AS w, l.kind, l.target
+  FROM rp r JOIN lg l ON l.hand_id = r.hand_id AND l.n = r.n + 1))))
+SELECT hand_id, step AS action_index, names[w] AS player_name, ['preflop', 'flop', 'turn', 'river'][sx + 1] AS street, places[w] AS position, players_left, raises_before, actions_before, to_call > 0 AS facing_bet, pot_before::DOUBLE / bb AS pot_bb, to_call::DOUBLE / bb AS to_call_bb,
+  CASE WHEN to_call > 0 THEN to_call::DOUBLE / (pot_before + to_call) ELSE 0.0 END AS pot_odds, CASE WHEN pot_before > 0 THEN mine::DOUBLE / pot_before ELSE 0.0 END AS spr, in_position, aggressor AS was_preflop_aggressor, decision,
+  CASE WHEN pot_before > 0 AND (decision IN ('call', 'bet', 'raise')) THEN added::DOUBLE / pot_before ELSE 0.0 END AS size_pot, decision <> 'fold' AND mine = added AS all_in FROM rp WHERE n > 0"""
+
 _ENT = _A + f", sc AS (SELECT *, floor(size_pot / (1 + size_pot) * 10000)::BIGINT AS score FROM df), en AS (SELECT player_name, session, count(*) AS decisions, sum(score)::DOUBLE / 10000.0 / count(*) AS mean_score, max(label)::BIGINT AS label FROM sc GROUP BY ALL HAVING count(*) >= 10)"
 ORACLES = {
     "decision_features": _A + " SELECT " + ", ".join(COLS) + " FROM df",
@@ -177,5 +209,6 @@ ORACLES = {
     "entity_auc": _ENT + ", z_ AS (SELECT mean_score AS s, label AS y FROM en), " + _auc("z_") + " SELECT * FROM auc_",
     "auc_ap": "WITH z_ AS (SELECT value AS s, (event_type = 'purchase')::INT AS y FROM events), " + _auc("z_") + " SELECT * FROM auc_",
     "evidence_curve": f"WITH r0 AS (SELECT user_id, (user_id % 6 = 0)::INT AS y, value, event_id, unnest(range(1, {REPEATS} + 1)) AS rep FROM events), r1 AS (SELECT *, row_number() OVER (PARTITION BY user_id, rep ORDER BY md5('7/' || rep || '/' || event_id), event_id) AS rn, count(*) OVER (PARTITION BY user_id, rep) AS cnt FROM r0), r2 AS (SELECT *, unnest([{', '.join(map(str, KS))}]) AS k FROM r1), z_ AS (SELECT k, rep, user_id, sum(round(value * 10000)::BIGINT)::DOUBLE / 10000.0 / count(*) AS s, max(y) AS y FROM r2 WHERE rn <= k AND cnt >= k GROUP BY ALL), " + _auc("z_", "k, rep") + f" SELECT k, max(n) AS entities, {_r('sum(round(roc_auc * 1e6)::BIGINT)::DOUBLE / 1e6::DOUBLE / count(*)', 6)} AS roc_auc FROM auc_ GROUP BY k",
+    "decision_replay": _REPLAY,
     "ingest_decision_log": _A + " SELECT hand_id AS hand, row_number() OVER (PARTITION BY hand_id ORDER BY action_index) - 1 AS step, 'p' || seat || ' ' || CASE WHEN action_type = 'fold' THEN 'f' WHEN action_type IN ('check', 'call') THEN 'cc' ELSE 'cbr ' || amount END AS action FROM da WHERE action_type NOT LIKE 'post%'",
 }
