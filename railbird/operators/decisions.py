@@ -29,13 +29,46 @@ def features(actions: DataFrame) -> DataFrame:
 
     Money on a street follows the same rule as the net result: additions add up, a raise states the street's total.
     With S the running sum of additions and a the raises, what a player has in is S + max(0, max(a - S)).
-    One exchange by hand and one fold over its actions.
+    All windows are inside a hand and share one exchange by hand.
     """
-    kind = F.when(F.col("action_type").isin(*POSTS), "post").otherwise(F.col("action_type"))
-    act = F.struct("action_index", F.col("street").alias("st"), kind.alias("kind"), F.col("amount").alias("m"), F.col("seat").cast("int").alias("seat"))
-    seat = F.struct(F.col("seat").cast("int").alias("seat"), "player_name", "position", F.col("stack_start").alias("stack"))
-    g = actions.groupBy("hand_id").agg(F.first("bb").alias("bb"), F.array_sort(F.collect_list(act)).alias("acts"), F.array_sort(F.collect_set(seat)).alias("seats"))
-    return _decisions(g, stated=True)
+    hand = W.partitionBy("hand_id").orderBy("action_index")
+    street = W.partitionBy("hand_id", "street").orderBy("action_index")
+    own = W.partitionBy("hand_id", "street", "player_name").orderBy("action_index").rowsBetween(W.unboundedPreceding, 0)
+    me = W.partitionBy("hand_id", "player_name").orderBy("action_index")
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    is_ = lambda *k: F.col("action_type").isin(*k)
+    a = actions.repartition("hand_id").withColumn("_s", F.sum(F.when(is_(*POSTS, "call", "bet"), F.col("amount")).otherwise(0)).over(own))
+    a = a.withColumn("_in", F.col("_s") + F.greatest(F.lit(0), F.coalesce(F.max(F.when(is_("raise"), F.col("amount") - F.col("_s"))).over(own), F.lit(0))))
+    a = a.withColumn("_had", F.coalesce(F.lag("_in").over(W.partitionBy("hand_id", "street", "player_name").orderBy("action_index")), F.lit(0))).withColumn("_add", F.col("_in") - F.col("_had"))
+    post = is_(*POSTS)
+    n = lambda cond, w: F.coalesce(F.sum(cond.cast("int")).over(before(w)), F.lit(0))
+    everyone = W.partitionBy("hand_id")
+    a = a.withColumns(
+        {
+            "_pot": F.coalesce(F.sum("_add").over(before(hand)), F.lit(0)),
+            "_bet": F.coalesce(F.max("_in").over(before(street)), F.lit(0)),
+            "_spent": F.coalesce(F.sum("_add").over(before(me)), F.lit(0)),
+            "_out": F.collect_list(F.when(is_("fold"), F.col("seat"))).over(before(hand)),
+            "_seats": F.collect_set("seat").over(everyone),
+            "_raises": n(is_("raise", "bet"), street),
+            "_acts": n(~post, street),
+            "_pfa": F.last(F.when((F.col("street") == "preflop") & is_("raise"), F.col("player_name")), ignorenulls=True).over(before(hand)),
+        }
+    ).filter(~post)
+    left = F.col("stack_start") - F.col("_spent")
+    call = F.least(F.greatest(F.col("_bet") - F.col("_had"), F.lit(0)), left)
+    active = F.array_except("_seats", "_out")
+    later = F.col("street") != "preflop"
+    d = lambda x: x.cast("double")
+    return a.withColumn("_call", call).select(
+        "hand_id", "action_index", "player_name", "street", "position", F.size(active).cast("long").alias("players_left"),
+        (F.col("_raises") + F.when(later, 0).otherwise(1)).cast("long").alias("raises_before"), F.col("_acts").cast("long").alias("actions_before"), (F.col("_call") > 0).alias("facing_bet"),
+        (d(F.col("_pot")) / F.col("bb")).alias("pot_bb"), (d(F.col("_call")) / F.col("bb")).alias("to_call_bb"),
+        F.when(F.col("_call") > 0, d(F.col("_call")) / (F.col("_pot") + F.col("_call"))).otherwise(0.0).alias("pot_odds"),
+        F.when(F.col("_pot") > 0, d(left) / F.col("_pot")).otherwise(0.0).alias("spr"), (later & (F.col("seat") == F.array_max(active))).alias("in_position"),
+        (later & F.coalesce(F.col("_pfa") == F.col("player_name"), F.lit(False))).alias("was_preflop_aggressor"), F.col("action_type").alias("decision"),
+        F.when(F.col("_pot") > 0, d(F.col("_add")) / F.col("_pot")).otherwise(0.0).alias("size_pot"), (is_("call", "bet", "raise") & (left - F.col("_add") <= 0)).alias("all_in"),
+    )
 
 
 def replay(log: DataFrame, seats: DataFrame) -> DataFrame:
@@ -60,7 +93,7 @@ def replay(log: DataFrame, seats: DataFrame) -> DataFrame:
     one = lambda i, st, kind, m, seat: F.struct(i.alias("action_index"), st.alias("st"), kind.alias("kind"), m.alias("m"), seat.alias("seat"))
     posts = F.transform(F.filter("seats", lambda s: s["blind"] > 0), lambda s: one(F.lit(-1).cast("long"), F.lit("preflop"), F.lit("post"), s["blind"], s["seat"]))
     moves = F.transform(F.filter("raw", lambda x: ~x["deal"]), lambda x: one(x["step"], street(dealt(x)), x["kind"], x["m"], x["seat"]))
-    return _decisions(g.withColumn("acts", F.concat(posts, moves)), stated=False)
+    return _decisions(g.withColumn("acts", F.concat(posts, moves)))
 
 
 def _let(value: Column, body) -> Column:
@@ -68,64 +101,59 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _decisions(g: DataFrame, stated: bool) -> DataFrame:
+def _decisions(g: DataFrame) -> DataFrame:
     """Plays every hand ``g(hand_id, bb, acts, seats)`` through in one pass and gives a row for each action that is no post.
 
-    The state holds, by seat: the stack, what is in on the street, the street's additions and its greatest raise above them, and who folded; and the pot, the
-    bet, counts and the last raiser before the flop. ``stated`` takes the money from the actions, else it follows from bet and stack.
+    The state holds for each seat the stack, what is in on the street, and whether it folded; and the pot, the bet, counts and the last raiser before the flop.
+    Windows cannot say this, as what a call adds follows from all that was added before.
     """
-    zeros = F.transform("seats", lambda s: F.lit(0).cast("long"))
-    put = lambda arr, w, v: F.transform(arr, lambda x, i: F.when(i == w, v).otherwise(x))
     long = lambda n: F.lit(n).cast("long")
     g = g.withColumn("acts", F.transform("acts", lambda a: a.withField("w", (F.array_position(F.transform("seats", lambda s: s["seat"]), a["seat"]) - 1).cast("int"))))
     g = g.withColumn("acts", F.filter("acts", lambda a: a["w"] >= 0))
     fields = (
         "i long, street string, w int, players_left long, raises_before long, actions_before long, to_call long, pot long, stack long, last boolean, aggressor boolean, decision string, added long"
     )
+    seat = lambda stack, has, out: F.struct(stack.alias("stack"), has.alias("has"), out.alias("out"))
     start = F.struct(
-        F.lit("preflop").alias("st"), F.transform("seats", lambda s: s["stack"].cast("long")).alias("stack"), zeros.alias("has"), zeros.alias("sum"), zeros.alias("over"), F.transform("seats", lambda s: F.lit(False)).alias("out"),
+        F.lit("preflop").alias("st"), F.transform("seats", lambda s: seat(s["stack"].cast("long"), long(0), F.lit(False))).alias("seats"), F.size("seats").cast("long").alias("left"),
         long(0).alias("pot"), long(0).alias("bet"), long(0).alias("raises"), long(0).alias("acts"), F.lit(-1).alias("pfa"), long(0).alias("blinds"), F.array().cast(f"array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>").alias("rows"),
     )
 
-    def money(s, a):
-        """The action in its street: what stands before it, and what its player adds."""
+    def street(s, a):
+        """What stands on the action's street before it."""
         new = s["st"] != a["st"]
-        cleared = lambda name: F.when(new, F.transform(s[name], lambda x: long(0))).otherwise(s[name])
         zero = lambda name: F.when(new, long(0)).otherwise(s[name])
-        return F.struct(cleared("has").alias("has"), cleared("sum").alias("sum"), cleared("over").alias("over"), zero("bet").alias("bet"), zero("raises").alias("raises"), zero("acts").alias("acts"), F.get(s["stack"], a["w"]).alias("mine"))
-
-    def added(s, m, a):
-        had, add = F.get(m["has"], a["w"]), a["kind"].isin("post", "call", "bet")
-        if stated:
-            call = F.least(F.greatest(m["bet"] - had, long(0)), m["mine"])
-            total = F.get(m["sum"], a["w"]) + F.when(add, F.coalesce(a["m"], long(0))).otherwise(long(0))
-            over = F.greatest(F.get(m["over"], a["w"]), F.when(a["kind"] == "raise", a["m"] - total))
-            return F.struct(call.alias("call"), total.alias("sum"), over.alias("over"), (total + over - had).alias("add"), a["kind"].alias("name"))
-        call = F.least(m["bet"] - had, m["mine"])
-        add = F.when(a["kind"] == "post", a["m"]).when(a["kind"] == "cc", call).when(a["kind"] == "cbr", F.coalesce(a["m"], had) - had).otherwise(long(0))
+        seats = F.when(new, F.transform(s["seats"], lambda x: seat(x["stack"], long(0), x["out"]))).otherwise(s["seats"])
+        return F.struct(seats.alias("seats"), zero("bet").alias("bet"), zero("raises").alias("raises"), zero("acts").alias("acts"))
+
+    def added(m, me, a):
+        """What is to call, and what the player adds."""
+        call = F.least(m["bet"] - me["has"], me["stack"])
+        add = F.when(a["kind"] == "post", a["m"]).when(a["kind"] == "cc", call).when(a["kind"] == "cbr", F.coalesce(a["m"], me["has"]) - me["has"]).otherwise(long(0))
         name = F.when(a["kind"] == "f", "fold").when(a["kind"] == "cc", F.when(call > 0, "call").otherwise("check")).when(a["kind"] == "cbr", F.when(m["bet"] > 0, "raise").otherwise("bet")).otherwise("post")
-        return F.struct(call.alias("call"), long(0).alias("sum"), long(0).alias("over"), add.alias("add"), name.alias("name"))
+        return F.struct(me.alias("me"), call.alias("call"), add.alias("add"), name.alias("name"))
 
     def after(s, m, d, a):
-        w, post = a["w"], d["name"] == "post"
-        has = F.get(m["has"], w) + d["add"]
+        w, me, post, folds = a["w"], d["me"], d["name"] == "post", d["name"] == "fold"
+        has = me["has"] + d["add"]
         raised = d["name"].isin("raise", "bet")
-        bet = F.greatest(m["bet"], has) if stated else F.when(raised, has).when(post, F.greatest(m["bet"], has)).otherwise(m["bet"])
+        bet = F.when(raised, has).when(post, F.greatest(m["bet"], has)).otherwise(m["bet"])
         # Before the flop the blinds are the first raise.
-        first = F.when(a["st"] == "preflop", long(1) if stated else (s["blinds"] > 0).cast("long")).otherwise(long(0))
-        last = F.array_max(F.transform(s["out"], lambda gone, i: F.when(gone, F.lit(-1)).otherwise(i)))
+        first = F.when(a["st"] == "preflop", (s["blinds"] > 0).cast("long")).otherwise(long(0))
+        last = F.when(a["st"] != "preflop", w == F.array_max(F.transform(m["seats"], lambda x, i: F.when(x["out"], F.lit(-1)).otherwise(i)))).otherwise(F.lit(False))
         row = F.struct(
-            a["action_index"].alias("i"), a["st"].alias("street"), w.alias("w"), F.size(F.filter(s["out"], lambda gone: ~gone)).cast("long").alias("players_left"), (m["raises"] + first).alias("raises_before"), m["acts"].alias("actions_before"),
-            d["call"].alias("to_call"), s["pot"].alias("pot"), m["mine"].alias("stack"), (w == last).alias("last"), (w == s["pfa"]).alias("aggressor"), d["name"].alias("decision"), d["add"].alias("added"),
+            a["action_index"].alias("i"), a["st"].alias("street"), w.alias("w"), s["left"].alias("players_left"), (m["raises"] + first).alias("raises_before"), m["acts"].alias("actions_before"),
+            d["call"].alias("to_call"), s["pot"].alias("pot"), me["stack"].alias("stack"), last.alias("last"), (w == s["pfa"]).alias("aggressor"), d["name"].alias("decision"), d["add"].alias("added"),
         )
+        mine = seat(me["stack"] - d["add"], has, me["out"] | folds)
         return F.struct(
-            a["st"].alias("st"), put(s["stack"], w, m["mine"] - d["add"]).alias("stack"), put(m["has"], w, has).alias("has"), put(m["sum"], w, d["sum"]).alias("sum"), put(m["over"], w, d["over"]).alias("over"),
-            put(s["out"], w, F.get(s["out"], w) | (d["name"] == "fold")).alias("out"), (s["pot"] + d["add"]).alias("pot"), bet.alias("bet"), (m["raises"] + raised.cast("long")).alias("raises"), (m["acts"] + (~post).cast("long")).alias("acts"),
-            F.when((a["st"] == "preflop") & (d["name"].isin("raise") if stated else raised), w).otherwise(s["pfa"]).alias("pfa"), (s["blinds"] + F.when(post, d["add"]).otherwise(long(0))).alias("blinds"),
+            a["st"].alias("st"), F.transform(m["seats"], lambda x, i: F.when(i == w, mine).otherwise(x)).alias("seats"), (s["left"] - (folds & ~me["out"]).cast("long")).alias("left"),
+            (s["pot"] + d["add"]).alias("pot"), bet.alias("bet"), (m["raises"] + raised.cast("long")).alias("raises"), (m["acts"] + (~post).cast("long")).alias("acts"),
+            F.when((a["st"] == "preflop") & raised, w).otherwise(s["pfa"]).alias("pfa"), (s["blinds"] + F.when(post, d["add"]).otherwise(long(0))).alias("blinds"),
             F.when(post, s["rows"]).otherwise(F.concat(s["rows"], F.array(row))).alias("rows"),
         )
 
-    step = lambda s, a: _let(money(s, a), lambda m: _let(added(s, m, a), lambda d: after(s, m, d, a)))
+    step = lambda s, a: _let(street(s, a), lambda m: _let(added(m, F.get(m["seats"], a["w"]), a), lambda d: after(s, m, d, a)))
     r = g.select("hand_id", "bb", "seats", F.explode(F.aggregate("acts", start, step, lambda s: s["rows"])).alias("r")).select("hand_id", "bb", F.get("seats", F.col("r.w")).alias("p"), "r.*")
     d = lambda x: F.col(x).cast("double")
     later = F.col("street") != "preflop"
@@ -134,7 +162,7 @@ def _decisions(g: DataFrame, stated: bool) -> DataFrame:
         (d("pot") / F.col("bb")).alias("pot_bb"), (d("to_call") / F.col("bb")).alias("to_call_bb"), F.when(F.col("to_call") > 0, d("to_call") / (F.col("pot") + F.col("to_call"))).otherwise(0.0).alias("pot_odds"),
         F.when(F.col("pot") > 0, d("stack") / F.col("pot")).otherwise(0.0).alias("spr"), (later & F.col("last")).alias("in_position"), (later & F.col("aggressor")).alias("was_preflop_aggressor"), "decision",
         F.when((F.col("pot") > 0) & F.col("decision").isin("call", "bet", "raise"), d("added") / F.col("pot")).otherwise(0.0).alias("size_pot"),
-        (F.col("decision").isin("call", "bet", "raise") & (F.col("stack") - F.col("added") <= 0) if stated else (F.col("decision") != "fold") & (F.col("stack") == F.col("added"))).alias("all_in"),
+        ((F.col("decision") != "fold") & (F.col("stack") == F.col("added"))).alias("all_in"),
     )
 
 
