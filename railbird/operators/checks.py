@@ -40,7 +40,7 @@ def invariants(overall: DataFrame, by_position: DataFrame, postflop: DataFrame,
 
 def zero_sum(hands: DataFrame, players: DataFrame, tolerance: int = 1) -> DataFrame:
     """Per dataset: hands whose results and rake do not add up to zero within ``tolerance`` cents, their share, and the residual."""
-    s = players.groupBy("hand_id").agg(F.sum("net_won").alias("net")).join(hands.select("hand_id", "dataset", "rake"), "hand_id")
+    s = players.groupBy("hand_id").agg(F.sum("net_won").alias("net")).join(hands.select("hand_id", "dataset", "rake").hint("merge"), "hand_id")
     s = s.withColumn("r", F.col("net") + F.coalesce("rake", F.lit(0)))
     bad = count_if(F.abs("r") > tolerance)
     return s.groupBy("dataset").agg(F.count("*").alias("hands"), bad.alias("bad_hands"), pct(bad, F.count("*"), 3).alias("bad_pct"), F.sum("r").alias("residual_cents"), (bad == 0).alias("ok"))

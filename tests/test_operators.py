@@ -215,3 +215,21 @@ def test_folds_equal_the_tables_of_single_steps(spark, sf):
     pfa = {r.hand_id: r.pfa for r in sequence.preflop_aggressor(pa).collect()}
     assert all(r.cbet_opp <= (pfa.get(k[0]) == k[1]) for k, r in facts.items())
     assert sum(r.hand_first for r in facts.values()) == len({k[0] for k in facts})
+
+
+def test_hands_are_not_broadcast(spark, sf):
+    """Hands grow with the corpus; a few columns of their files look small enough to be sent through the driver."""
+    from railbird.operators import audits, checks, sequence
+    from railbird.plans import scoring
+    from railbird.sources import fixture
+
+    o = fixture.dealt(spark, sf)
+    h, p = fixture.hands_players(spark, sf)
+    made = [*fixture.derived_hands_players(o), fixture.derived_actions(o)]
+    joined = [sequence.primary_players(h, p), sequence.primary_actions(h, fixture.actions(spark, sf)), checks.zero_sum(h, p), audits.player_sketches(h, p).select("players"), scoring._acts(spark, sf), scoring._labelled(spark, sf)]
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    for d in made:
+        assert "Join" not in plan(d) and plan(d).count("Exchange") == 1
+    for d in joined:
+        assert "SortMergeJoin" in plan(d)
+        assert not [x for x in plan(d).splitlines() if "BroadcastHashJoin [hand_id" in x]
