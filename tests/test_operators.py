@@ -233,3 +233,25 @@ def test_hands_are_not_broadcast(spark, sf):
     for d in joined:
         assert "SortMergeJoin" in plan(d)
         assert not [x for x in plan(d).splitlines() if "BroadcastHashJoin [hand_id" in x]
+
+
+def test_nearest_moves_rows_by_sides_not_by_blocks(spark):
+    """Eight blocks of the form before, which moved every row once for each block in a join of blocks."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4096, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    near = outliers.nearest(df, 5)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Join" not in plan
+    got = {(r.id, r.rank): r.other for r in near.collect()}
+    assert len(got) == 4096 * 5
+    for i in range(0, 4096, 97):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        assert [got[i, r + 1] for r in range(5)] == list(np.argsort(d)[:5])
+
+
+def test_nearest_of_very_many_equal_rows():
+    x = np.zeros((300, 8))
+    dist, other = outliers._nearest_of(np.arange(300), x, np.arange(9000), np.zeros((9000, 8)), 3)
+    assert (dist == 0).all() and other[0].tolist() == [1, 2, 3] and other[2].tolist() == [0, 1, 3]
