@@ -341,3 +341,25 @@ def test_keys_of_freely_turned_and_scaled_copies(degrees, scale):
             met += len(np.intersect1d(media.corner_keys(a[1]), media.corner_keys(b[1]))) >= media.SHARED
         wrong += media.agreement(*media.describe(pics[i - 1][None])[0], *b) >= media.AGREE
     assert agree >= 18 and met >= 0.9 * agree and not wrong
+
+
+def test_descriptors_move_by_group_not_by_pair(spark):
+    """All pairs of 80 pictures are candidates; what moves is a few copies of each picture's descriptors."""
+    rng = np.random.default_rng(12)
+    z, bits = rng.uniform(0, 100, (80, 2, 40)), rng.random((80, 40, 256)) < 0.5
+    for k in range(0, 80, 8):
+        z[k + 1], bits[k + 1] = z[k] + 3, bits[k] ^ (rng.random((40, 256)) < 0.05)
+    rows = [(i, [float(x) for x in z[i].ravel()], bytearray(np.packbits(bits[i], axis=1).tobytes())) for i in range(80)]
+    one_each = spark.createDataFrame(rows, "node long, xy array<float>, bits binary")
+    pairs = spark.createDataFrame([(i, j) for i in range(80) for j in range(i + 1, 80)], "a long, b long")
+    store, bus = spark._jsparkSession.sparkContext().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def moved():
+        bus.waitUntilEmpty(30_000)
+        x = store.executorList(False)
+        return sum(x.apply(i).totalShuffleWrite() for i in range(x.size()))
+
+    before = moved()
+    got = {(r.a, r.b) for r in media.verified(one_each, pairs).collect()}
+    assert got == {(k, k + 1) for k in range(0, 80, 8)}
+    assert moved() - before < 1.5e6  # 3,160 pairs of 1.6 KB each would be 10 MB and more
